@@ -3,20 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, warc
+from gridloom.llm import exact_dedup, mixing, packing, simhash, simple8b, warc
 from gridloom.llm.common import LOWER, UPPER, table
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_mixing, op4_exact_dedup, op5_packing, op7_warc)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": f"""
