@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, mixing, packing, simhash, simple8b, warc
+from gridloom.llm import exact_dedup, hilbert_ann, mixing, packing, quality, simhash, simple8b, toxicity, url_filter, warc
 from gridloom.llm.common import LOWER, UPPER, table
 
 
@@ -30,11 +30,27 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_mixing, op4_exact_dedup, op5_packing, op7_warc)}
+def op8_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_mixing, op4_exact_dedup, op5_packing, op6_toxicity, op7_warc, op8_hilbert_ann, op9_quality, op10_url_filter)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": f"""
