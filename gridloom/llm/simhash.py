@@ -11,6 +11,12 @@ joins one group for each choice of that many blocks. Within a group the pivot ta
 forest of the links leaves it. A group of more than `GROUP` fingerprints is dealt in parts, and each two parts meet in
 a task of their own; its pairs are looked at once each, and those already joined are skipped.
 
+Documents with shingles in common by a given similarity (`near_dedup`: 0.8 of the shingles of five words) lie up to 18 of
+64 bits apart, where unrelated ones lie too. There fingerprints have `WIDE` words of 64 bits, enough to tell a
+similarity of 0.8 from 0.7, and agreeing blocks would be too short to part a corpus: `BANDS` keys of `ROWS` min-hashes
+each form the groups instead (a pair of similarity 0.8 shares none with a chance of 0.0004). Within the groups all goes on
+as above: pivot table, verification, spanning forest. At this radius pivots discard little.
+
 Cases: a null text is empty. Texts without a word have fingerprint zero and link like any other. Texts of fewer words
 than a shingle are one shingle. No rows give no rows. Repeated rows are copies.
 """
@@ -36,26 +42,67 @@ BLOCKS = 6
 PIVOTS = 16
 #: Fingerprints of a group that one task compares.
 GROUP = 1024
+#: Wide fingerprints: words, bits that may differ (similarity 0.8 is 155 on average, with a deviation of 11), keys, min-hashes in each.
+WIDE = 16
+WIDE_RADIUS = 174
+BANDS = 20
+ROWS = 5
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text in UTF-8: a bit is 1 if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included, in a text in UTF-8; none without a word."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # of bytes: A-Z only, and the six white-space bytes
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     begins = (ends - lengths)[: len(words) - shingle + 1].tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(begins))
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(begins))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For rows of 64-bit words: words whose bits are 1 where over half of the rows have 1."""
+    n, width = hashes.shape
+    ones = np.zeros(64 * width, np.int64)
+    for k in range(0, n, 255):
+        block = np.ascontiguousarray(hashes[k : k + 255]).view(np.uint8)
+        ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text in UTF-8: a bit is 1 if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, shingle)
+    return int(majority(hashes[:, None])[0])
+
+
+def _mixed(h: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """A hash of each h for each odd multiplier."""
+    x = h[:, None] * odd[None, :]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def wide_sketch(text: bytes, shingle: int) -> tuple[np.ndarray, list[int]]:
+    """WIDE words of SimHash over the distinct shingles of a text, and its BANDS grouping keys."""
+    from xxhash import xxh64_intdigest
+
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE + BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    h = np.unique(shingle_hashes(text, shingle))
+    if not len(h):
+        h = np.zeros(1, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    wide = []
+    for k in range(0, len(h), 4096):
+        wide.append(_mixed(h[k : k + 4096], odd[:WIDE]))
+        least = np.minimum(least, _mixed(h[k : k + 4096], odd[WIDE:]).min(axis=0))
+    keys = [xxh64_intdigest(row.tobytes(), j) for j, row in enumerate(least.reshape(BANDS, ROWS))]
+    return majority(np.concatenate(wide)), [x - (1 << 64) if x >> 63 else x for x in keys]
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,21 +117,29 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
+def pivots(width: int, n: int = PIVOTS) -> np.ndarray:
     """The reference fingerprints: fixed, and independent of the data."""
-    return np.random.default_rng(SEED).integers(0, 1 << 64, n, np.uint64)
+    return np.random.default_rng(SEED).integers(0, 1 << 64, (n, width), np.uint64)
+
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints, a row of words each."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16)
 
-def pivot_table(fps: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+
+def pivot_table(fps: np.ndarray) -> np.ndarray:
     """Distances of each fingerprint to each pivot, a row for each pivot."""
-    return np.bitwise_count(fps[None, :] ^ pivots(n)[:, None]).astype(np.int8)
+    return np.stack([distances(fps, p[None, :]) for p in pivots(fps.shape[1])])
 
 
-def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is within `radius` in runs of equal keys: a spanning forest of each run."""
+def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[list[int], list[int]]:
+    """Places of pairs that join what is within `radius` in runs of equal keys: a spanning forest of each run."""
     n = len(fps)
+    left: list[int] = []
+    right: list[int] = []
+    if not n:
+        return left, right
     table, label = pivot_table(fps), np.arange(n)
-    left, right = [], []
     for off in range(1, n):
         at = np.flatnonzero(key[off:] == key[:-off])
         if not len(at):
@@ -92,7 +147,7 @@ def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tu
         at = at[label[at] != label[at + off]]
         for row in table:  # discard by the largest coordinate difference
             at = at[np.abs(row[at] - row[at + off]) <= radius]
-        at = at[np.bitwise_count(fps[at] ^ fps[at + off]) <= radius]
+        at = at[distances(fps[at], fps[at + off]) <= radius]
         if not len(at):
             continue
         parent: dict[int, int] = {}
@@ -110,37 +165,51 @@ def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tu
                 right.append(i + off)
         changed = np.isin(label, np.fromiter(parent, np.int64, len(parent)))
         label[changed] = [find(x) for x in label[changed].tolist()]
-    return fps[left], fps[right]
+    return left, right
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
-    """From distinct fingerprints (fp): links (a, b), signed longs, that join all within `radius` bits of each other."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    masks = [sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in chosen) for chosen in itertools.combinations(range(blocks), blocks - radius)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks))).alias("choice", "bits")).select("fp", F.xxhash64("choice", "bits").alias("key"))
+def links_in_groups(keyed: DataFrame, fps: DataFrame | None, radius: int, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between nodes that share a key and whose fingerprints are within `radius` bits of each other.
+
+    `keyed` has (node, key), with a node once under a key; `fps` has (node, fp), a fingerprint's words as bytes. Without
+    it a node is its own fingerprint of one word.
+    """
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keyed.join(sizes, "key")
-    parts = F.ceil(F.col("n") / group).cast("int")
-    met = met.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / group).cast("int"))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    if fps is not None:
+        met = met.join(fps, "node")
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.withColumn("other", other).select("fp", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
+    dealt = met.withColumn("other", other).select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *["fp"] * (fps is not None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        key, node, words = np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                held_key = np.concatenate([held_key, batch.column(1).to_numpy()])
-                held_fp = np.concatenate([held_fp, batch.column(0).to_numpy().view(np.uint64)])
-                if not len(held_key):
-                    continue
+            if batch is not None and batch.num_rows:
+                new = batch.column(0).to_numpy()
+                raw = new.tobytes() if fps is None else b"".join(batch.column(2).to_pylist())
+                fp = np.frombuffer(raw, np.uint64).reshape(len(new), -1)
+                key, node = np.concatenate([key, batch.column(1).to_numpy()]), np.concatenate([node, new])
+                words = fp if words is None else np.concatenate([words, fp])
+            if not len(key) or batch is not None and not batch.num_rows:
+                continue
             # the last run may go on in the next batch
-            end = len(held_key) if batch is None else int(np.searchsorted(held_key, held_key[-1]))
-            a, b = spanning_links(held_key[:end], held_fp[:end], radius)
-            held_key, held_fp = held_key[end:], held_fp[end:]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            end = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+            a, b = spanning_links(key[:end], words[:end], radius)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+            key, node, words = key[end:], node[end:], words[end:]
+
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+
 
-    return met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """From distinct fingerprints (fp): links (a, b), signed longs, that join all within `radius` bits of each other."""
+    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+    masks = [sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in chosen) for chosen in itertools.combinations(range(blocks), blocks - radius)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    bits = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks))).alias("choice", "bits")
+    keyed = fps.select(F.col("fp").alias("node"), bits).select("node", F.xxhash64("choice", "bits").alias("key"))
+    return links_in_groups(keyed, None, radius)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +228,23 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """`docs`, all columns, with one document for each component: that with its smallest doc_id."""
-    keep = near_duplicates(docs, shingle, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """`docs`, all columns, with one document of each near-duplicate group: that with its smallest doc_id.
+
+    Near is a wide fingerprint within `radius` bits. A doc_id must be there and stand for one row; of rows that repeat
+    one, one stays, and rows without any stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = [wide_sketch(x.as_py(), shingle) for x in batch.column(1)]
+            cols = [pa.array([s.tobytes() for s, _ in sketches], pa.binary()), pa.array([k for _, k in sketches], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["node", "fp", "keys"])
+
+    known = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    sketches = written(rows.mapInArrow(run, "node long, fp binary, keys array<long>"), "sketches")
+    keyed = sketches.select("node", F.explode("keys").alias("key")).distinct()
+    reached = components(links_in_groups(keyed, sketches.select("node", "fp").dropDuplicates(["node"]), radius))
+    lost = reached.filter("node <> root").select(F.col("node").alias("__lost"))
+    return known.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti").unionByName(docs.filter("doc_id is null"))
