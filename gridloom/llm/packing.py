@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import written
-from gridloom.llm.tokens import Encoder
+from gridloom.llm.tokens import encoder as shared_encoder
 
 CAPACITY = 1024
 #: Pieces of a length that one window ranks, about.
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2,
     names = ("doc_id", "piece", "start", "length", "ids_crc32")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):

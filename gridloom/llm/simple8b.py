@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import scratch_path
-from gridloom.llm.tokens import Encoder
+from gridloom.llm.tokens import encoder as shared_encoder
 
 #: Ids in a word and bits for each, by selector.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -138,7 +138,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         part, said, total = TaskContext.get().partitionId(), [], 0
         held: list[bytes] = []
         lengths: list[int] = []

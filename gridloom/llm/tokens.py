@@ -10,12 +10,17 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
+import numpy as np
 
 SPLIT = re.compile(r" (?=\S)")
-#: Pieces kept, the longest piece kept, and characters that are cut into pieces at a time.
-KEPT = 300_000
+#: Pieces kept in each of two generations, the longest piece kept, and characters that are cut into pieces at a time.
+KEPT = 250_000
 KEPT_CHARS = 64
 AT_ONCE = 1_000_000
+#: Marks that are a pre-token of their own after a word of letters.
+STOPS = ".,"
 
 
 def default_path() -> str:
@@ -32,8 +37,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.first: dict[str, bytes] = {}  # pieces that start a text
-        self.later: dict[str, bytes] = {}  # pieces after a space, without it
+        names = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, bool)  # whether an id's bytes begin with a space
+        for name, i in names.items():
+            self.spaced[i] = name.startswith("\u0120")
+        self.stops = {c: self._alone(c) for c in STOPS}
+        self.known: dict[str, bytes] = {}  # pieces after a space, without it
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         group: list[str] = []
@@ -46,32 +56,57 @@ class Encoder:
                 group, chars = [], 0
         yield from self._group(group)
 
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [x.split(" ") for x in texts]
-        first, later = set(), set()
+        if len(self.known) > KEPT:
+            self.known, self.older = {}, self.known
+        known, parts, new = self.known, [x.split(" ") for x in texts], set()
         for i, x in enumerate(parts):
-            new = {p for p in x[1:] if p not in self.later}
-            if any(not p or p[0].isspace() for p in new):
+            unknown = [p for p in x[1:] if p not in known]
+            if any(not p or p[0].isspace() for p in unknown):
                 parts[i] = x = SPLIT.split(texts[i])
-                new = {p for p in x[1:] if p not in self.later}
-            later |= new
-            if x[0] not in self.first:
-                first.add(x[0])
-        self._learn(self.first, list(first), "")
-        self._learn(self.later, list(later), " ")
-        for x in parts:
-            yield self.first[x[0]] + b"".join(map(self.later.__getitem__, x[1:]))
-        for known, new in ((self.first, first), (self.later, later)):
-            for p in new:
-                if len(p) > KEPT_CHARS:
-                    del known[p]
-            if len(known) > KEPT:
-                known.clear()
-
-    def _learn(self, known: dict[str, bytes], pieces: list[str], before: str) -> None:
-        import numpy as np
-
-        for k in range(0, len(pieces), 5000):
-            some = pieces[k : k + 5000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast([before + p for p in some], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
+                unknown = [p for p in x[1:] if p not in known]
+            new.update(unknown)
+        self._learn(new)
+        heads = [x[0] for x in parts]
+        firsts = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
+        for x, first in zip(parts, firsts, strict=True):
+            yield np.array(first.ids, dtype="<u4").tobytes() + b"".join(map(known.__getitem__, x[1:]))
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                del known[p]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode pieces. Those without a space inside go in long strings: each of their ids that begins with a space begins a piece."""
+        known, older = self.known, self.older
+        words, stopped = set(), []
+        for p in new:
+            if p in older:
+                known[p] = older[p]
+            elif p[-1] in STOPS and p[:-1].isalpha():
+                stopped.append(p)
+                if p[:-1] not in known:
+                    words.add(p[:-1])
+            elif " " in p:
+                known[p] = self._alone(" " + p)
+            else:
+                words.add(p)
+        order = list(words)
+        for k in range(0, len(order), 2000):
+            some = order[k : k + 2000]
+            raw = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            begins = np.flatnonzero(self.spaced[raw])
+            if len(begins) != len(some):
+                raise ValueError("the tokenizer doesn't begin a token at each space")
+            data, at = raw.tobytes(), [*(4 * begins).tolist(), 4 * len(raw)]
+            known.update(zip(some, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+        for p in stopped:
+            known[p] = known[p[:-1]] + self.stops[p[-1]]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of this process: tasks that follow one another share what it has met."""
+    return Encoder(path)
