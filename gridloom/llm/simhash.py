@@ -179,6 +179,7 @@ def links_in_groups(keyed: DataFrame, fps: DataFrame | None, radius: int, group:
     met = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     if fps is not None:
         met = met.join(fps, "node")
+    own = fps is None
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = met.withColumn("other", other).select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *["fp"] * (fps is not None))
 
@@ -187,7 +188,7 @@ def links_in_groups(keyed: DataFrame, fps: DataFrame | None, radius: int, group:
         for batch in itertools.chain(batches, [None]):
             if batch is not None and batch.num_rows:
                 new = batch.column(0).to_numpy()
-                raw = new.tobytes() if fps is None else b"".join(batch.column(2).to_pylist())
+                raw = new.tobytes() if own else b"".join(batch.column(2).to_pylist())
                 fp = np.frombuffer(raw, np.uint64).reshape(len(new), -1)
                 key, node = np.concatenate([key, batch.column(1).to_numpy()]), np.concatenate([node, new])
                 words = fp if words is None else np.concatenate([words, fp])
