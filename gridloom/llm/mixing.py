@@ -5,8 +5,9 @@ r - floor(r). The cube method draws those last copies: it moves the probabilitie
 constraints "words taken" and "documents taken" until each is 0 or 1, so both totals stay what they were.
 
 The flight runs in chunks of a source (documents dealt by a hash of their id, so a hot source is many chunks). A chunk
-flies the larger half of its documents first. What that leaves undecided, two at most, is settled against all smaller
-ones at once, words in balance; then the smaller half flies in its turn, and so on down to the smallest. What a chunk
+flies its largest documents first, those within half the size of the largest, but half of the chunk at most. What that
+leaves undecided, two at most, is settled against all smaller ones at once, both totals in balance where they allow it
+and words in any case; then the largest of the rest fly in their turn, and so on down to the smallest. What a chunk
 leaves, one small document at most, meets again in chunks of chunks, until one small landing problem for each source is
 left, whose document falls to the nearer side. Every draw is seeded: reruns agree.
 
@@ -96,24 +97,55 @@ def flight(p: list[float], size: list[int], order: list[int], constraints: int,
     return held
 
 
+def balanced(p: list[float], size: list[int], rest: list[int], words: float, docs: float) -> list[float] | None:
+    """How to move the probabilities of `rest`, those far from 0 and 1 most, for both totals to move by `words` and `docs`; None if they can't."""
+    room = [p[k] * (1 - p[k]) for k in rest]
+    n, once, twice = (sum(r * size[k] ** e for r, k in zip(room, rest, strict=True)) for e in (0, 1, 2))
+    spread = n * twice - once * once
+    if spread <= 1e-6 * n * twice:
+        return None
+    a, b = (docs * twice - words * once) / spread, (words * n - docs * once) / spread
+    return [r * (a + b * size[k]) for r, k in zip(room, rest, strict=True)]
+
+
 def settle(p: list[float], size: list[int], i: int, rest: list[int], rng: random.Random) -> None:
-    """Decide i, if it can be, by moving the probabilities of all of `rest` the other way, words in balance."""
+    """Decide i, if it can be, by moving the probabilities of all of `rest` the other way.
+
+    Words and documents both stay in balance if one such move decides i whichever way it goes, words alone otherwise.
+    """
     while EPS < p[i] < 1 - EPS:
-        rest = [k for k in rest if EPS < p[k] < 1 - EPS and size[k]]
-        if not rest:
+        rest = [k for k in rest if EPS < p[k] < 1 - EPS]
+        words = sum(p[k] * (1 - p[k]) * size[k] for k in rest)
+        if not words:
             return
-        share = -size[i] / sum(size[k] for k in rest)
-        _step(p, [i, *rest], [1.0] + [share] * len(rest), rng)
+        u = balanced(p, size, rest, -size[i], -1)
+        if u is None or not all(0 < p[k] + way * x < 1 for way in (1 - p[i], -p[i]) for k, x in zip(rest, u, strict=True)):
+            u = [-size[i] * p[k] * (1 - p[k]) / words * (size[k] > 0) for k in rest]
+        _step(p, [i, *rest], [1.0, *u], rng)
+
+
+def make_up(p: list[float], size: list[int], rest: list[int], docs: float) -> None:
+    """Move the documents of `rest` by `docs`, or as far that way as none passes 0 or 1, words in balance."""
+    rest = [k for k in rest if EPS < p[k] < 1 - EPS]
+    u = balanced(p, size, rest, 0, docs) if abs(docs) > EPS else None
+    if u is not None:
+        far = min([1.0, *((1 - p[k]) / x if x > 0 else -p[k] / x for k, x in zip(rest, u, strict=True) if x)])
+        for k, x in zip(rest, u, strict=True):
+            p[k] += far * x
 
 
 def decide(p: list[float], size: list[int], rng: random.Random) -> list[int]:
-    """Decide all but one place at most; places are in descending order of size."""
-    rest = list(range(len(p)))
+    """Decide all but one place at most; places are in descending order of size.
+
+    Documents of like size fly together: beside two much smaller ones a large one hardly moves, and would be left.
+    """
+    rest, docs = list(range(len(p))), sum(p)
     while len(rest) > 2:
-        half = -(-len(rest) // 2)
-        held, rest = flight(p, size, rest[:half], 2, rng), rest[half:]
+        alike = min(-(-len(rest) // 2), sum(2 * size[i] >= size[rest[0]] for i in rest))
+        held, rest = flight(p, size, rest[:alike], 2, rng), rest[alike:]
         for i in held:
             settle(p, size, i, rest, rng)
+        make_up(p, size, rest, docs - sum(p))
     return flight(p, size, [i for i, x in enumerate(p) if EPS < x < 1 - EPS], 1, rng)
 
 
