@@ -3,7 +3,8 @@
 Pass 1 counts how many rows hit each slot of a Bloom filter (two slots a row, from one 64-bit hash of the text) and
 marks the slots hit at least twice in bitmaps. Pass 2 tests every row: if a slot is unmarked, its hash occurs once,
 and the row passes straight through. Only the others shuffle: they are grouped by SHA-256, so a false positive costs
-a shuffled row, never a wrong result.
+a shuffled row, never a wrong result. Groups are pre-aggregated; the copies of a hot group don't meet in one task:
+`duplicate_groups` broadcasts what it says of such groups, and `exact_dedup` deals rows by text and id together.
 
 The marks have a fixed size (`slots` / 8 bytes, 4 MB by default), which bounds what is broadcast at any input size.
 More rows than slots fill the filter: the results stay the same, and more rows shuffle. Raise `slots` with the input.
@@ -22,6 +23,8 @@ from gridloom.llm.common import ascii_lower, written
 
 #: Slots of the Bloom filter; a power of two from 32,768 to 2^32.
 SLOTS = 1 << 25
+#: Groups with this part of all rows or more, of which there are so many at most, are broadcast: their copies stay where they are.
+HOT_GROUPS = 1000
 #: Bits in one bitmap of Spark's bitmap functions.
 BITMAP_LOG = 15
 BITMAP_BITS = 1 << BITMAP_LOG
@@ -69,16 +72,15 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """For each row: doc_id, keep_id (largest doc_id of equal texts), group_size, kept, text_sha256."""
     rows = written(_digests(docs, id_col, text_col), "digests")
-    return _grouped(rows, repeated_slots(rows, slots), slots)
-
-
-def _grouped(rows: DataFrame, marks: DataFrame, slots: int) -> DataFrame:
-    tested = possibly_repeated(rows, marks, "h", "maybe", slots)
+    tested = possibly_repeated(rows, repeated_slots(rows, slots), "h", "maybe", slots)
     straight = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = tested.filter("maybe").select("doc_id", "text_sha256")
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    shuffled = maybe.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return straight.unionByName(shuffled)
+    groups = written(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    hot = groups.filter(F.col("group_size") * HOT_GROUPS >= rows.count())
+    met = maybe.join(F.broadcast(hot), "text_sha256", "left")
+    cold = met.filter("group_size is null").select("doc_id", "text_sha256").join(groups, "text_sha256")
+    grouped = met.filter("group_size is not null").unionByName(cold)
+    return straight.unionByName(grouped.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -86,15 +88,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(_digests(docs, id_col, text_col), "digests")
     marks = written(repeated_slots(rows, slots), "marks")
     tested = possibly_repeated(rows, marks, "h", "maybe", slots).filter("maybe")
-    keep = tested.groupBy("text_sha256").agg(F.max("doc_id").alias("__keep_id")).withColumnRenamed("text_sha256", "__sha")
+    keep = tested.groupBy("text_sha256").agg(F.max("doc_id").alias("__keep_id")).withColumnRenamed("text_sha256", "__keep_sha")
     norm = normal_text(F.col(f"`{text_col}`"))
     full = possibly_repeated(docs.withColumn("__h", F.xxhash64(norm)), marks, "__h", "__maybe", slots)
     straight = full.filter(~F.col("__maybe")).select(*(F.col(f"`{c}`") for c in docs.columns))
     shuffled = (
         full.filter("__maybe")
         .withColumn("__sha", F.sha2(norm, 256))
-        .join(keep, "__sha")
-        .filter(F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id")))
+        .join(keep, (F.col("__sha") == F.col("__keep_sha")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id")))
         .dropDuplicates(["__sha"])
         .select(*(F.col(f"`{c}`") for c in docs.columns))
     )
