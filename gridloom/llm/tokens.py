@@ -2,7 +2,9 @@
 
 A byte-level BPE first cuts a text into pre-tokens. A space before a character that isn't white space always starts a
 pre-token, and what stands left of it cannot change what comes after; so the ids of a text are those of its pieces,
-cut at such spaces, one after the other. Texts repeat most of their pieces, and a cache saves encoding them again.
+cut at such spaces, one after the other. Texts repeat most of their pieces, and a cache saves encoding them again. A
+single line end between characters that aren't white space is a pre-token of its own, and so are the signs that close a
+word of letters: pieces with either are put together from smaller ones.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ import numpy as np
 
 SPLIT = re.compile(r" (?=\S)")
 #: Pieces kept in each of two generations, the longest piece kept, and characters that are cut into pieces at a time.
-KEPT = 250_000
+KEPT = 600_000
 KEPT_CHARS = 64
 AT_ONCE = 1_000_000
-#: Marks that are a pre-token of their own after a word of letters.
-STOPS = ".,"
+#: Signs that are a pre-token of their own after a word of letters, and runs of such signs at the end.
+STOPS = ".,;:!?*#%&$"
+SIGNS = re.compile(r"[^\w\s'][^\w\s]*\Z")
 
 
 def default_path() -> str:
@@ -38,12 +41,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         names = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(names.values()) + 1, bool)  # whether an id's bytes begin with a space
+        self.spaced, self.line_end = np.zeros((2, max(names.values()) + 1), bool)  # whether an id's bytes begin so
         for name, i in names.items():
-            self.spaced[i] = name.startswith("\u0120")
-        self.stops = {c: self._alone(c) for c in STOPS}
+            self.spaced[i], self.line_end[i] = name.startswith("\u0120"), name.startswith("\u010a")
         self.known: dict[str, bytes] = {}  # pieces after a space, without it
         self.older: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}  # the same after a line end, with its id
+        self.runs: dict[str, bytes] = {}  # signs after letters
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         group: list[str] = []
@@ -62,13 +66,17 @@ class Encoder:
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > KEPT:
             self.known, self.older = {}, self.known
-        known, parts, new = self.known, [x.split(" ") for x in texts], set()
-        for i, x in enumerate(parts):
-            unknown = [p for p in x[1:] if p not in known]
-            if any(not p or p[0].isspace() for p in unknown):
-                parts[i] = x = SPLIT.split(texts[i])
-                unknown = [p for p in x[1:] if p not in known]
-            new.update(unknown)
+        if len(self.lines) > KEPT:
+            self.lines = {}
+        known, parts = self.known, [x.split(" ") for x in texts]
+        new = set().union(*(x[1:] for x in parts)).difference(known)
+        odd = {p for p in new if not p or p[0].isspace()}
+        if odd:
+            new -= odd
+            for i, x in enumerate(parts):
+                if not odd.isdisjoint(x):
+                    parts[i] = x = SPLIT.split(texts[i])
+                    new.update(p for p in x[1:] if p not in known)
         self._learn(new)
         heads = [x[0] for x in parts]
         firsts = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
@@ -79,31 +87,63 @@ class Encoder:
                 del known[p]
 
     def _learn(self, new: set[str]) -> None:
-        """Encode pieces. Those without a space inside go in long strings: each of their ids that begins with a space begins a piece."""
-        known, older = self.known, self.older
-        words, stopped = set(), []
-        for p in new:
-            if p in older:
-                known[p] = older[p]
-            elif p[-1] in STOPS and p[:-1].isalpha():
-                stopped.append(p)
-                if p[:-1] not in known:
-                    words.add(p[:-1])
-            elif " " in p:
+        """Encode pieces. Those without a space inside are put together from lines, and those from a stem of letters and a run of signs."""
+        known, older, lines = self.known, self.older, self.lines
+        again = list(filter(older.__contains__, new))
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        new = new.difference(again)
+        stems = set(filter(str.isalpha, new))  # to be encoded after a space; `after` are those after a line end
+        after: set[str] = set()
+        signed, joined = [], []
+        for p in new - stems:
+            if "\n" not in p and " " not in p:
+                stem, run = self._cut(p)
+                if stem not in known:
+                    stems.add(stem)
+                if run:
+                    signed.append((p, stem, run))
+            elif " " in p or (of := p.split("\n")) != p.split():  # other white space too
                 known[p] = self._alone(" " + p)
             else:
-                words.add(p)
-        order = list(words)
+                cut = [self._cut(x) for x in of]
+                if cut[0][0] not in known:
+                    stems.add(cut[0][0])
+                after.update(x for x, _ in cut[1:] if x not in lines)
+                joined.append((p, cut))
+        self._encode(stems, " ", self.spaced, known)
+        self._encode(after, "\n", self.line_end, lines)
+        for p, stem, run in signed:
+            known[p] = known[stem] + run
+        for p, cut in joined:
+            known[p] = known[cut[0][0]] + cut[0][1] + b"".join([lines[x] + run for x, run in cut[1:]])
+
+    def _cut(self, part: str) -> tuple[str, bytes]:
+        """A stem of letters and the ids of the signs after it; the whole part and no ids if it isn't made so."""
+        stem = part[:-1]
+        if not stem.isalpha():
+            m = SIGNS.search(part)
+            if m is None or not (stem := part[: m.start()]).isalpha():
+                return part, b""
+        elif part[-1] not in STOPS:
+            return part, b""
+        run = part[len(stem) :]
+        if run not in self.runs:
+            if len(self.runs) > KEPT:
+                self.runs = {}
+            self.runs[run] = self._alone(run)
+        return stem, self.runs[run]
+
+    def _encode(self, stems: set[str], mark: str, begins_with: np.ndarray, out: dict[str, bytes]) -> None:
+        """Ids of each stem after `mark`: they are encoded in long strings, where each id that begins with the mark begins a stem."""
+        order = list(stems)
         for k in range(0, len(order), 2000):
             some = order[k : k + 2000]
-            raw = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            begins = np.flatnonzero(self.spaced[raw])
+            raw = np.array(self.tokenizer.encode_batch_fast([mark + mark.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            begins = np.flatnonzero(begins_with[raw])
             if len(begins) != len(some):
-                raise ValueError("the tokenizer doesn't begin a token at each space")
+                raise ValueError("the tokenizer doesn't begin a token at each mark")
             data, at = raw.tobytes(), [*(4 * begins).tolist(), 4 * len(raw)]
-            known.update(zip(some, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
-        for p in stopped:
-            known[p] = known[p[:-1]] + self.stops[p[-1]]
+            out.update(zip(some, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
 
 
 @lru_cache(maxsize=1)
