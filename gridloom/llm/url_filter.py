@@ -1,33 +1,38 @@
 """URL filter: host and path rules, and character language models for the urls that no rule fits.
 
-Urls that a rule accepts or rejects are the labelled rows. From a bounded sample of them (`SAMPLE` urls of each kind,
-those of smallest hash) one model of accepted and one of rejected urls is counted: character n-grams of orders 0 to
-`ORDER`, interpolated after Witten and Bell, so that a context that was never seen falls back on its shorter suffixes.
-A url's score is the difference of its log-likelihoods under both, over its length. The threshold is calibrated on
-labelled urls that the models haven't seen. A url above it is allowed.
+Urls that a rule accepts or rejects are the labelled rows; each distinct one counts once. From half of them (by hash) one
+model of accepted and one of rejected urls is counted: character n-grams of orders 0 to `ORDER`, interpolated after Witten
+and Bell, so that a context that was never seen falls back on its shorter suffixes (`CharModel` is the definition). A
+url's score is the difference of its log-likelihoods under both, over its length. The threshold is calibrated on the other
+half, which the models haven't seen. A url above it is allowed.
+
+Both halves are counted whole, as tables of grams that grow with the input and are neither collected nor broadcast by
+hand. Rows are dealt in blocks of `BLOCK`; a block asks once for each of its grams, so that no gram is a hot key, and gets
+their scores back. Only the histogram of the held-out scores comes to the driver.
 
 Cases: a null url, or one without ://, has an empty host and path; no rule fits it, and it is scored as an empty
-string, which is allowed (nothing speaks against it). Without labelled urls of both kinds everything that no rule fits is
-allowed. Repeated rows are judged alike. Columns beside id and url are ignored.
+string, which is allowed (nothing speaks against it). Without two distinct labelled urls of both kinds everything that no
+rule fits is allowed. Repeated rows are judged alike. Columns beside id and url are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower
+from gridloom.llm.common import ascii_lower, written
 
 #: The rules of the registered query: verdict, and host and path together.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 ORDER = 4
-#: Labelled urls of each kind that the models are counted from, and as many again for the threshold.
-SAMPLE = 4000
+#: Rows that ask for the scores of their grams together, and bins of the held-out scores' histogram in a unit of score.
+BLOCK = 4096
+BINS = 4096
 #: Marks for the start and the end of a url.
 START, END = "\x02", "\x03"
 
@@ -80,68 +85,103 @@ class CharModel:
         return p
 
 
-class Scorer:
-    """Length-normalised log-likelihood difference of two models; keeps the grams it has met."""
-
-    def __init__(self, accepted: CharModel, rejected: CharModel, keep: int = 300_000):
-        self.models, self.keep, self.met = (accepted, rejected), keep, {}
+def grams(text: str, order: int = ORDER) -> list[str]:
+    """For each character of a text and its end: that character after the `order` before it."""
+    padded = START * order + text + END
+    return [padded[i : i + order + 1] for i in range(len(text) + 1)]
 
-    def __call__(self, text: str) -> float:
-        order = self.models[0].order
-        padded = START * order + text + END
-        sum_ = 0.0
-        for i in range(order, len(padded)):
-            gram = padded[i - order : i + 1]
-            x = self.met.get(gram)
-            if x is None:
-                if len(self.met) >= self.keep:
-                    self.met.clear()
-                x = self.met[gram] = log(self.models[0].chance(gram)) - log(self.models[1].chance(gram))
-            sum_ += x
-        return sum_ / (len(text) + 1)
 
+def counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, a, b): how often a gram of full order is in the accepted and in the rejected of labelled urls (text, verdict)."""
 
-def _threshold(allowed: list[float], blocked: list[float]) -> float:
-    """The cut with the fewest errors on either side, as shares; in the middle of the gap where there is one."""
-    cuts = sorted({*allowed, *blocked})
-    best = min(range(len(cuts) + 1), key=lambda k: sum(x < cuts[k] if k < len(cuts) else True for x in allowed) / len(allowed) + sum(x >= cuts[k] if k < len(cuts) else False for x in blocked) / len(blocked))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = {"allow": Counter(), "block": Counter()}
+            for text, verdict in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n[verdict].update(grams(text, order))
+            met = [*{*n["allow"], *n["block"]}]
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.string()), *(pa.array([n[v][g] for g in met], pa.int64()) for v in n)], names=["gram", "a", "b"])
+
+    return labelled.mapInArrow(run, "gram string, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def log_ratios(counted: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, x): for each asked gram (distinct), the log of its last character's chance when accepted, less that when rejected.
+
+    As CharModel.chance has it, from counts of grams of full order. Shorter grams are the ends of those.
+    """
+    end, context = F.expr("substring(gram, 2)"), F.expr("substring(gram, 1, length(gram) - 1)")
+    levels = [(counted, asked)]
+    for _ in range(order):
+        seen, need = levels[-1]
+        levels.append((seen.groupBy(end.alias("gram")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")), need.select(end.alias("gram")).distinct()))
+    chances = None
+    for seen, need in reversed(levels):
+        sums = [f(v).alias(f"{name}_{v}") for v in "ab" for name, f in (("total", F.sum), ("kinds", lambda v: F.count_if(F.col(v) > 0)))]
+        rows = need.join(seen, "gram", "left").withColumn("context", context).join(seen.groupBy(context.alias("context")).agg(*sums), "context", "left")
+        if chances is None:
+            rows = rows.withColumn("p_a", F.lit(1 / 65536)).withColumn("p_b", F.lit(1 / 65536))
+        else:
+            rows = rows.withColumn("end", end).join(chances.withColumnRenamed("gram", "end"), "end")
+        chance = lambda v: F.expr(f"CASE WHEN total_{v} > 0 THEN (coalesce({v}, 0) + kinds_{v} * p_{v}) / (total_{v} + kinds_{v}) ELSE p_{v} END")
+        chances = rows.select("gram", chance("a").alias("p_a"), chance("b").alias("p_b"))
+    return chances.select("gram", (F.log("p_a") - F.log("p_b")).alias("x"))
+
+
+def threshold(bins: list[tuple[float, float, int, int]]) -> float:
+    """The cut with the fewest errors on either side, as shares; in the middle of the gap where there is one.
+
+    Bins are (least score, greatest score, allowed, blocked), in order; cuts are between them.
+    """
+    allowed, blocked = sum(x[2] for x in bins), sum(x[3] for x in bins)
+    wrong = [allowed * blocked]
+    for _, _, a, b in bins:
+        wrong.append(wrong[-1] + a * blocked - b * allowed)
+    best = wrong.index(min(wrong))
     if best == 0:
-        return cuts[0] - 1.0
-    return (cuts[best - 1] + cuts[best]) / 2 if best < len(cuts) else cuts[-1] + 1.0
-
-
-def fit(judged: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> tuple[Scorer, float] | None:
-    """Models and threshold from labelled urls (text, verdict); None unless both kinds are there."""
-    kinds = {}
-    for verdict in ("allow", "block"):
-        rows = judged.filter(F.col("verdict") == verdict).select("text").distinct()
-        kinds[verdict] = [r[0] for r in rows.orderBy(F.xxhash64("text"), "text").limit(2 * sample).collect()]
-    if min(map(len, kinds.values())) < 2:
-        return None
-    models, held = {}, {}
-    for verdict, texts in kinds.items():
-        models[verdict] = CharModel(order)
-        for text in texts[::2]:
-            models[verdict].learn(text)
-        held[verdict] = texts[1::2]
-    scorer = Scorer(models["allow"], models["block"])
-    return scorer, _threshold(*([scorer(t) for t in held[v][:1000]] for v in ("allow", "block")))
-
-
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
+        return bins[0][0] - 1.0
+    return (bins[best - 1][1] + bins[best][0]) / 2 if best < len(bins) else bins[-1][1] + 1.0
+
+
+def scores(rows: DataFrame, labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """`rows` (block, text and others) with their score, from models of `labelled` (text, verdict)."""
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met: dict[int, set[str]] = {}
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                met.setdefault(block, set()).update(grams(text, order))
+            for block, found in met.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([*found], pa.string())], names=["block", "gram"])
+
+    def summed(own: pa.Table, answers: pa.Table) -> pa.Table:
+        x = dict(zip(answers.column("gram").to_pylist(), answers.column("x").to_pylist(), strict=True))
+        sums = [sum(map(x.__getitem__, grams(t, order))) / (len(t) + 1) for t in own.column("text").to_pylist()]
+        return own.append_column("score", pa.array(sums, pa.float64()))
+
+    asked = written(rows.select("block", "text").mapInArrow(asks, "block long, gram string"), "asked")
+    known = log_ratios(written(counts(labelled, order), "grams"), asked.select("gram").distinct(), order)
+    fields = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    return rows.groupBy("block").cogroup(asked.join(known, "gram").groupBy("block")).applyInArrow(summed, f"{fields}, score double")
+
+
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score (log-likelihood difference a character; null without models)."""
-    spark = pages.sparkSession
     host, path = parsed(F.col(f"`{url_col}`"))
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("said"), F.concat("host", "path").alias("text"))
-    model = fit(rows.filter("said is not null").select("text", F.col("said").alias("verdict")), sample)
-    shared, cut = (spark.sparkContext.broadcast(model[0]), model[1]) if model else (None, 0.0)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(5).to_pylist()
-            scores = [shared.value(t) for t in texts] if shared else [None] * len(texts)
-            said = [v or ("allow" if not t or s is None or s >= cut else "block") for v, t, s in zip(batch.column(4).to_pylist(), texts, scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
-
-    return rows.mapInArrow(score, f"page_id {rows.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string, score double")
+    rows = written(rows.select("*", F.expr(f"monotonically_increasing_id() div {BLOCK}").alias("block"), F.xxhash64("text").alias("hash")), "urls")
+    ends = {r["said"]: r for r in rows.filter("said is not null").groupBy("said").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).collect()}
+    if len(ends) == 2 and all(r["low"] < r["high"] for r in ends.values()):
+        # each kind has a url in either half
+        low, high = ([r[k] for r in ends.values()] for k in ("low", "high"))
+        held = F.col("hash").isin(high) | (F.expr("hash % 2 <> 0") & ~F.col("hash").isin(low))
+        labelled = rows.filter("said is not null").select("text", F.col("said").alias("verdict"), held.alias("held")).distinct()
+        rows = written(scores(rows, labelled.filter("NOT held").select("text", "verdict")), "scored")
+        unseen = rows.filter("said is not null").filter(held).select("text", "said", "score").dropDuplicates(["text"])
+        kinds = [F.count_if(F.col("said") == v) for v in ("allow", "block")]
+        cut = threshold(sorted(r[1:] for r in unseen.groupBy(F.floor(F.col("score") * BINS)).agg(F.min("score"), F.max("score"), *kinds).collect()))
+    else:
+        rows, cut = rows.withColumn("score", F.lit(None).cast("double")), 0.0
+    fine = (F.col("text") == "") | F.col("score").isNull() | (F.col("score") >= cut)
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(fine, "allow").otherwise("block")).alias("verdict"), "score")

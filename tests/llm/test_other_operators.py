@@ -222,3 +222,43 @@ def test_url_models(spark):
     rows = [(i, f"http://s{i}.com/en/{i}") for i in range(200)] + [(1000 + i, f"http://s{i}.net/de/{i}") for i in range(200)] + [(5000, "http://q.com/fr/5"), (5001, "http://q.net/fr/5")]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[5000] == "block" and got[5001] == "allow"
+
+
+def test_url_models_count_all_labelled_urls(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh漢"), rng.integers(3, 9)))
+    # 12,000 rows of each kind, more than fixed samples of 8000 hold
+    urls = [f"http://{word()}.com/en/{word()}" for _ in range(12_000)] + [f"http://{word()}.net/de/{word()}" for _ in range(12_000)] + [f"http://{word()}.{t}/fr/{word()}" for t in ("com", "net") for _ in range(200)]
+    monkeypatch.setattr(url_filter, "BLOCK", 1000)
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = url_filter.judge(rows).selectExpr("*", "xxhash64(concat(host, path)) AS hash").collect()
+    text = lambda r: r["host"] + r["path"]
+    labelled = {text(r): r for r in got if r["rule"] is not None}
+    models, held = {}, {}
+    for verdict in ("allow", "block"):
+        own = [r for r in labelled.values() if r["verdict"] == verdict]
+        low, high = (f(r["hash"] for r in own) for f in (min, max))
+        held[verdict] = [r["score"] for r in own if r["hash"] == high or r["hash"] % 2 and r["hash"] != low]
+        models[verdict] = url_filter.CharModel()
+        for r in own:
+            if not (r["hash"] == high or r["hash"] % 2 and r["hash"] != low):
+                models[verdict].learn(text(r))
+    chance = {v: lambda g, m=m: math.log(m.chance(g)) for v, m in models.items()}
+    for r in got[::50]:
+        grams = url_filter.grams(text(r))
+        want = sum(chance["allow"](g) - chance["block"](g) for g in grams) / (len(text(r)) + 1)
+        assert abs(r["score"] - want) < 1e-9
+    # the cut is the best for all held-out urls
+    wrong = lambda cut: sum(x < cut for x in held["allow"]) / len(held["allow"]) + sum(x >= cut for x in held["block"]) / len(held["block"])
+    free = [r for r in got if r["rule"] is None]
+    low, high = max(r["score"] for r in free if r["verdict"] == "block"), min(r["score"] for r in free if r["verdict"] == "allow")
+    assert low < high and min(map(wrong, (low, high))) <= min(map(wrong, sorted(held["allow"])[:: len(held["allow"]) // 200])) + 0.01
+
+
+def test_url_threshold():
+    rng = np.random.default_rng(1)
+    bins = sorted((float(x), float(x), int(a), int(b)) for x, a, b in zip(rng.normal(size=50), rng.integers(0, 3, 50), rng.integers(0, 3, 50), strict=True))
+    allowed, blocked = sum(x[2] for x in bins), sum(x[3] for x in bins)
+    wrong = lambda cut: sum(x[2] for x in bins if x[0] < cut) / allowed + sum(x[3] for x in bins if x[0] >= cut) / blocked
+    assert abs(wrong(url_filter.threshold(bins)) - min(wrong(x[0] + d) for x in bins for d in (0, 1e-9))) < 1e-12
+    assert url_filter.threshold([(0.0, 1.0, 0, 3), (2.0, 3.0, 2, 0)]) == 1.5
