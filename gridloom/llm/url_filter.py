@@ -10,9 +10,12 @@ Both halves are counted whole, as tables of grams that grow with the input and a
 hand. Rows are dealt in blocks of `BLOCK`; a block asks once for each of its grams, so that no gram is a hot key, and gets
 their scores back. Only the histogram of the held-out scores comes to the driver.
 
-Cases: a null url, or one without ://, has an empty host and path; no rule fits it, and it is scored as an empty
-string, which is allowed (nothing speaks against it). Without two distinct labelled urls of both kinds everything that no
-rule fits is allowed. Repeated rows are judged alike. Columns beside id and url are ignored.
+The models learn and score whole urls, query string and fragment included; the rules look at host and path alone.
+
+Cases: a null url, or one without ://, has an empty host and path, and no rule fits it. A null url is scored as an empty
+string, which is allowed (nothing speaks against it); one without :// is scored as it is. Without two distinct labelled
+urls of both kinds everything that no rule fits is allowed. Repeated rows are judged alike. Columns beside id and url are
+ignored.
 """
 
 from __future__ import annotations
@@ -168,8 +171,8 @@ def scores(rows: DataFrame, labelled: DataFrame, order: int = ORDER) -> DataFram
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score (log-likelihood difference a character; null without models)."""
     host, path = parsed(F.col(f"`{url_col}`"))
-    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    rows = rows.select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("said"), F.concat("host", "path").alias("text"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"), F.col(f"`{url_col}`").alias("url")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    rows = rows.select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("said"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("text"))
     rows = written(rows.select("*", F.expr(f"monotonically_increasing_id() div {BLOCK}").alias("block"), F.xxhash64("text").alias("hash")), "urls")
     ends = {r["said"]: r for r in rows.filter("said is not null").groupBy("said").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).collect()}
     if len(ends) == 2 and all(r["low"] < r["high"] for r in ends.values()):

@@ -231,8 +231,8 @@ def test_url_models_count_all_labelled_urls(spark, monkeypatch):
     urls = [f"http://{word()}.com/en/{word()}" for _ in range(12_000)] + [f"http://{word()}.net/de/{word()}" for _ in range(12_000)] + [f"http://{word()}.{t}/fr/{word()}" for t in ("com", "net") for _ in range(200)]
     monkeypatch.setattr(url_filter, "BLOCK", 1000)
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
-    got = url_filter.judge(rows).selectExpr("*", "xxhash64(concat(host, path)) AS hash").collect()
-    text = lambda r: r["host"] + r["path"]
+    got = url_filter.judge(rows).join(rows, "page_id").selectExpr("*", "xxhash64(url) AS hash").collect()
+    text = lambda r: r["url"]
     labelled = {text(r): r for r in got if r["rule"] is not None}
     models, held = {}, {}
     for verdict in ("allow", "block"):
@@ -255,6 +255,15 @@ def test_url_models_count_all_labelled_urls(spark, monkeypatch):
     assert low < high and min(map(wrong, (low, high))) <= min(map(wrong, sorted(held["allow"])[:: len(held["allow"]) // 200])) + 0.01
 
 
+def test_url_models_see_the_whole_url(spark):
+    rows = [(i, f"http://s{i}.com/en/{i}?casino={i}#win") for i in range(200)] + [(1000 + i, f"http://s{i}.net/de/{i}?lesson={i}#top") for i in range(200)]
+    rows += [(5000, "http://q.at/fr/5?casino=7#win"), (5001, "http://q.at/fr/5?lesson=7#top"), (5002, "s9.com/en/9?casino=9#win"), (5003, None), (5004, "")]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[i]["verdict"] for i in range(5000, 5005)] == ["block", "allow", "block", "allow", "allow"]
+    assert (got[5000]["host"], got[5000]["path"], got[5000]["rule"]) == ("q.at", "/fr/5", None) and got[5002]["host"] == got[5002]["path"] == ""
+    assert got[5000]["score"] != got[5001]["score"] and got[5003]["score"] == got[5004]["score"]
+
+
 def test_url_threshold():
     rng = np.random.default_rng(1)
     bins = sorted((float(x), float(x), int(a), int(b)) for x, a, b in zip(rng.normal(size=50), rng.integers(0, 3, 50), rng.integers(0, 3, 50), strict=True))
