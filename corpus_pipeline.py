@@ -26,7 +26,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near links join, that with the smallest doc_id.
 
-    Near means shingles of five words and a similarity of 0.8 or more; SimHash finds them by fingerprints within four bits.
+    Near means shingles of five words and a similarity of 0.8 or more; SimHash proposes them and the shingles decide.
     """
     return simhash.near_dedup(docs, shingle=5)
 

@@ -12,10 +12,12 @@ forest of the links leaves it. A group of more than `GROUP` fingerprints is deal
 a task of their own; its pairs are looked at once each, and those already joined are skipped.
 
 Documents with shingles in common by a given similarity (`near_dedup`: 0.8 of the shingles of five words) lie up to 18 of
-64 bits apart, where unrelated ones lie too. There fingerprints have `WIDE` words of 64 bits, enough to tell a
-similarity of 0.8 from 0.7, and agreeing blocks would be too short to part a corpus: `BANDS` keys of `ROWS` min-hashes
-each form the groups instead (a pair of similarity 0.8 shares none with a chance of 0.0004). Within the groups all goes on
-as above: pivot table, verification, spanning forest. At this radius pivots discard little.
+64 bits apart, where unrelated ones lie too. There fingerprints have `WIDE` words of 64 bits, and agreeing blocks would be
+too short to part a corpus: `BANDS` keys of `ROWS` min-hashes each form the groups instead (a pair of similarity 0.8
+shares none with a chance of 0.0004); of groups with the same members one is looked at. Within the groups a pair is
+proposed by its fingerprints, within a radius so wide that pairs at the similarity are not lost, or at once if one text has
+fewer than `SHORT` shingles, too few for a fingerprint to tell. A proposed pair is a link only if the sets of its
+shingles' 64-bit hashes have the similarity. At this radius pivots discard little.
 
 Cases: a null text is empty. Texts without a word have fingerprint zero and link like any other. Texts of fewer words
 than a shingle are one shingle. No rows give no rows. Repeated rows are copies.
@@ -42,11 +44,14 @@ BLOCKS = 6
 PIVOTS = 16
 #: Fingerprints of a group that one task compares.
 GROUP = 1024
-#: Wide fingerprints: words, bits that may differ (similarity 0.8 is 155 on average, with a deviation of 11), keys, min-hashes in each.
+#: Wide fingerprints: words, bits that may differ in a proposed pair (similarity 0.8 is 155 on average, with a deviation of 11), keys, min-hashes in each.
 WIDE = 16
-WIDE_RADIUS = 174
+WIDE_RADIUS = 240
 BANDS = 20
 ROWS = 5
+#: Shingles below which fingerprints propose nothing, and the similarity of a link as a fraction.
+SHORT = 128
+SIMILAR = (4, 5)
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -132,22 +137,37 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.stack([distances(fps, p[None, :]) for p in pivots(fps.shape[1])])
 
 
-def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[list[int], list[int]]:
-    """Places of pairs that join what is within `radius` in runs of equal keys: a spanning forest of each run."""
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets of shingles have SIMILAR of their union in common."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
+
+
+def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS, sets: list[np.ndarray] | None = None) -> tuple[list[int], list[int]]:
+    """Places of pairs that join what is within `radius` in runs of equal keys: a spanning forest of each run.
+
+    With `sets` of shingles, those pairs are proposals, and so are all with a short set; what is joined is similar.
+    """
     n = len(fps)
     left: list[int] = []
     right: list[int] = []
     if not n:
         return left, right
     table, label = pivot_table(fps), np.arange(n)
+    sizes = None if sets is None else np.array([len(x) for x in sets])
     for off in range(1, n):
         at = np.flatnonzero(key[off:] == key[:-off])
         if not len(at):
             break
         at = at[label[at] != label[at + off]]
+        short = at[:0]
+        if sizes is not None:
+            less, more = np.minimum(sizes[at], sizes[at + off]), np.maximum(sizes[at], sizes[at + off])
+            can = less * SIMILAR[1] >= more * SIMILAR[0]
+            short, at = at[can & (less < SHORT)], at[can & (less >= SHORT)]
         for row in table:  # discard by the largest coordinate difference
             at = at[np.abs(row[at] - row[at + off]) <= radius]
-        at = at[distances(fps[at], fps[at + off]) <= radius]
+        at = np.concatenate([short, at[distances(fps[at], fps[at + off]) <= radius]])
         if not len(at):
             continue
         parent: dict[int, int] = {}
@@ -159,7 +179,7 @@ def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tu
 
         for i in at.tolist():
             a, b = find(int(label[i])), find(int(label[i + off]))
-            if a != b:
+            if a != b and (sets is None or similar(sets[i], sets[i + off])):
                 parent[max(a, b)] = min(a, b)
                 left.append(i)
                 right.append(i + off)
@@ -171,8 +191,9 @@ def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tu
 def links_in_groups(keyed: DataFrame, fps: DataFrame | None, radius: int, group: int = GROUP) -> DataFrame:
     """Links (a, b) between nodes that share a key and whose fingerprints are within `radius` bits of each other.
 
-    `keyed` has (node, key), with a node once under a key; `fps` has (node, fp), a fingerprint's words as bytes. Without
-    it a node is its own fingerprint of one word.
+    `keyed` has (node, key), with a node once under a key; `fps` has (node, fp, shingles), a fingerprint's words and a
+    sorted set of shingles' hashes as bytes, and links are similar by those. Without it a node is its own fingerprint of
+    one word.
     """
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / group).cast("int"))
@@ -181,10 +202,10 @@ def links_in_groups(keyed: DataFrame, fps: DataFrame | None, radius: int, group:
         met = met.join(fps, "node")
     own = fps is None
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = met.withColumn("other", other).select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *["fp"] * (fps is not None))
+    dealt = met.withColumn("other", other).select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *["fp", "shingles"] * (fps is not None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, words = np.empty(0, np.int64), np.empty(0, np.int64), None
+        key, node, words, sets = np.empty(0, np.int64), np.empty(0, np.int64), None, None if own else []
         for batch in itertools.chain(batches, [None]):
             if batch is not None and batch.num_rows:
                 new = batch.column(0).to_numpy()
@@ -192,13 +213,15 @@ def links_in_groups(keyed: DataFrame, fps: DataFrame | None, radius: int, group:
                 fp = np.frombuffer(raw, np.uint64).reshape(len(new), -1)
                 key, node = np.concatenate([key, batch.column(1).to_numpy()]), np.concatenate([node, new])
                 words = fp if words is None else np.concatenate([words, fp])
+                if not own:
+                    sets += [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
             if not len(key) or batch is not None and not batch.num_rows:
                 continue
             # the last run may go on in the next batch
             end = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
-            a, b = spanning_links(key[:end], words[:end], radius)
+            a, b = spanning_links(key[:end], words[:end], radius, None if own else sets[:end])
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
-            key, node, words = key[end:], node[end:], words[end:]
+            key, node, words, sets = key[end:], node[end:], words[end:], None if own else sets[end:]
 
     return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
@@ -232,7 +255,7 @@ def hex_fingerprint(fp):
 def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """`docs`, all columns, with one document of each near-duplicate group: that with its smallest doc_id.
 
-    Near is a wide fingerprint within `radius` bits. A doc_id must be there and stand for one row; of rows that repeat
+    Near is a similarity of SIMILAR or more of the sets of shingles; wide fingerprints propose within `radius` bits. A doc_id must be there and stand for one row; of rows that repeat
     one, one stays, and rows without any stay.
     """
 
@@ -246,6 +269,18 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) ->
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     sketches = written(rows.mapInArrow(run, "node long, fp binary, keys array<long>"), "sketches")
     keyed = sketches.select("node", F.explode("keys").alias("key")).distinct()
-    reached = components(links_in_groups(keyed, sketches.select("node", "fp").dropDuplicates(["node"]), radius))
+    # of groups with the same members, one
+    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"members{k}") for k in range(2)]
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1").groupBy("n", "members0", "members1").agg(F.min("key").alias("key"))
+    keyed = written(keyed.join(groups.select("key"), "key", "left_semi"), "groups")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    met = rows.toDF("node", "text").join(keyed.select("node").distinct(), "node", "left_semi")
+    sets = met.mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"])
+    reached = components(links_in_groups(keyed, sketches.select("node", "fp").dropDuplicates(["node"]).join(sets, "node"), radius))
     lost = reached.filter("node <> root").select(F.col("node").alias("__lost"))
     return known.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti").unionByName(docs.filter("doc_id is null"))

@@ -168,6 +168,27 @@ def test_near_dedup_by_shingles(docs_of):
     assert kept.filter("doc_id is null").count() == 2
 
 
+def test_near_dedup_is_exact_about_the_similarity(docs_of):
+    rng = np.random.default_rng(4)
+    rows, near = [], {}
+    shingles = lambda t: {" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    # pairs of a text and its start: n shingles, of which the other has a share from 0.7 to 0.9
+    for n in (5, 6, 10, 15, 20, 25, 60, 127, 128, 180, 400):
+        for part in sorted({round(n * x / 100) for x in range(70, 91, 1)}):
+            for _ in range(3 if n < 128 else 1):
+                words = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+                one, two = shingles(words), shingles(words[: part + 4])
+                near[len(rows) + 1] = 5 * len(one & two) >= 4 * len(one | two)
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: part + 4]))]
+    # a chain whose ends are joined by its middle alone, through a text that isn't similar to the first
+    base = [f"c{x}" for x in range(104)]
+    for k, size in enumerate((104, 89, 76, 40)):
+        near[len(rows)] = 0 < k < 3
+        rows.append((len(rows), " ".join(base[:size])))
+    kept = {r["doc_id"] for r in simhash.near_dedup(docs_of(rows)).collect()}
+    assert kept == {i for i, _ in rows if not near.get(i, False)}
+
+
 def test_mixing(spark, some, rows):
     sizes = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
     source = {i: s for i, _, s in rows}
