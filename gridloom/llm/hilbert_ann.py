@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by shifted Hilbert curves.
 
-Each curve projects the vectors to `DIMS` random directions, shifts them, and orders them along a Hilbert curve. Every
+Each curve projects the vectors to `DIMS` random directions, takes the place of each projection among those of the fitted
+vectors (so that a dense cluster fills as many cells as its share of the rows asks for, and no far vector widens the
+cells), shifts them, and orders them along a Hilbert curve. Every
 curve's order is cut into ranges of equal size; a query looks at its own range and those beside it, on every curve,
 and the nearest found are merged and ranked by exact distances on the original vectors.
 
@@ -11,7 +13,7 @@ most, so tasks stay small whatever it is.
 
 Equal vectors are indexed once: their rows with the smallest ids stand for them, and come back in the results.
 
-What is fitted: the scale of each projection, on the `FIT_ROWS` vectors of smallest digest. Ranges come from
+What is fitted: `KNOTS` quantiles of each projection, on the `FIT_ROWS` distinct vectors of smallest digest. Ranges come from
 quantiles over all vectors; those few numbers a range are sent to every task.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id or
@@ -42,6 +44,7 @@ REACH = 1
 RANGE = 8192
 LEAST_RANGE = 64
 FIT_ROWS = 4096
+KNOTS = 513
 TIE_BITS = 20
 SEED = 11
 
@@ -77,12 +80,21 @@ def _directions(curves: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([np.linalg.qr(rng.normal(size=(width, dims)))[0] for _ in range(curves)]), rng.random((curves, dims))
 
 
-def curve_keys(vectors: np.ndarray, ties: np.ndarray, curve: int, curves: int, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Places of vectors on one curve; the tie bits tell vectors in one cell apart."""
+def fitted_knots(fit: np.ndarray, curves: int) -> np.ndarray:
+    """Quantiles of the projections of `fit`, by curve and direction."""
+    projected = np.einsum("nw,cwd->cdn", fit, _directions(curves, fit.shape[1])[0])
+    return np.moveaxis(np.quantile(projected, np.linspace(0, 1, KNOTS), axis=2), 0, 2)
+
+
+def curve_keys(vectors: np.ndarray, ties: np.ndarray, curve: int, curves: int, knots: np.ndarray) -> np.ndarray:
+    """Places of vectors on one curve; the tie bits, in another order on each curve, tell vectors in one cell apart."""
     directions, shifts = _directions(curves, vectors.shape[1])
-    unit = (((vectors @ directions[curve] - centre[curve]) / scale[curve]) + 3 + shifts[curve] / 2) / 6.5
+    places = np.linspace(0, 1, knots.shape[2])
+    ranks = np.stack([np.interp(x, at, places) for x, at in zip((vectors @ directions[curve]).T, knots[curve], strict=True)], axis=1)
+    unit = (6 * ranks + shifts[curve] / 2) / 6.5
     cells = (np.clip(unit, 0, 1 - 1e-9) * (1 << BITS)).astype(np.int64)
-    return (hilbert_keys(cells) << TIE_BITS) | ties
+    mixed = ((ties * (2 * curve + 1) * 0x9E3779B1) >> 12) & ((1 << TIE_BITS) - 1)
+    return (hilbert_keys(cells) << TIE_BITS) | mixed
 
 
 def _as_bytes(rows: DataFrame, kind: str) -> DataFrame:
@@ -106,14 +118,13 @@ def nearest(rows: DataFrame, k: int = 10, query_every: int = 100, id_col: str =
     all_vecs = written(_as_bytes(valid.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v), kind), "vectors")
     out = "query_id long, rank int, vec_id long, score double"
 
-    sample = [r[0] for r in all_vecs.select("vec").orderBy("digest", "vec_id").limit(FIT_ROWS).collect()]
+    sample = [r[0] for r in all_vecs.dropDuplicates(["digest"]).orderBy("digest").select("vec").limit(FIT_ROWS).collect()]
     if not sample:
         return rows.sparkSession.createDataFrame([], out)
     widths = [len(x) for x in sample]
     width = max(sorted(set(widths)), key=widths.count)
     fit = np.stack([np.frombuffer(x, kind) for x in sample if len(x) == width]).astype(np.float64)
-    projected = np.einsum("nw,cwd->cnd", fit, _directions(curves, fit.shape[1])[0])
-    centre, scale = projected.mean(axis=1), projected.std(axis=1) + 1e-12
+    knots = fitted_knots(fit, curves)
 
     by_id = Window.partitionBy("digest").orderBy("vec_id")
     members = all_vecs.filter(F.length("vec") == width).dropDuplicates(["digest", "vec_id"])
@@ -137,7 +148,7 @@ def nearest(rows: DataFrame, k: int = 10, query_every: int = 100, id_col: str =
             if batch.num_rows:
                 vecs, ties = keys_of(batch, 1)
                 for c in range(curves):
-                    keys = curve_keys(vecs, ties, c, curves, centre, scale)
+                    keys = curve_keys(vecs, ties, c, curves, knots)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys)], names=["curve", "key"])
 
     cuts = np.zeros((curves, 0), np.int64)
@@ -153,7 +164,7 @@ def nearest(rows: DataFrame, k: int = 10, query_every: int = 100, id_col: str =
             vecs, ties = keys_of(batch, 2)
             is_query = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
             for c in range(curves):
-                own = np.searchsorted(cuts[c], curve_keys(vecs, ties, c, curves, centre, scale), side="right")
+                own = np.searchsorted(cuts[c], curve_keys(vecs, ties, c, curves, knots), side="right")
                 for off in range(-reach, reach + 1):
                     near = own + off
                     asks = np.flatnonzero(is_query & (near >= 0) & (near < ranges))

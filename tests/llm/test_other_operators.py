@@ -175,6 +175,23 @@ def test_ann_recall(spark):
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 10 for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("spread,far", [(0.01, False), (0.003, True)])
+def test_ann_recall_in_a_dense_cluster(spark, spread, far):
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(6000, 64))
+    dense = np.arange(0, 6000, 3)
+    vecs[dense] = rng.normal(size=64) + spread * rng.normal(size=(2000, 64))
+    if far:
+        vecs[1] *= 1e6
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in hilbert_ann.nearest(frame, query_every=30).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = _brute(np.arange(6000), vecs, 30, 10)
+    recall = np.mean([len(got[q] & {v for v, _ in want[q]}) / 10 for q in want])
+    assert recall >= 0.9, recall
+
+
 def test_ann_odd_rows(spark):
     nan = float("nan")
     rows = [(i, [float(i % 7), 1.0, 2.0]) for i in range(1, 40)] + [(100, [1.0, 1.0, 2.0]), (200, [1.0, 1.0, 2.0]), (200, [1.0, 1.0, 2.0]), (300, None), (400, [0.0, 0.0, 0.0]), (500, [nan, 1.0, 1.0]), (600, [None, 1.0, 1.0]), (700, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
