@@ -1,4 +1,4 @@
-"""What the operators share: the scratch folder, written tables, and word patterns."""
+"""What the operators share: the scratch folder, written tables, joins with hot keys, row digests, and word patterns."""
 
 from __future__ import annotations
 
@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with one of so many parts of all rows or more is hot. There are so many hot keys at most.
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of its own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -26,17 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables."""
+    return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written as Parquet to the shared folder and read again: later work starts from those files."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As `written`, and the path, for whoever deletes it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def deleted(spark: SparkSession, path: str) -> None:
@@ -45,6 +59,34 @@ def deleted(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Results that haven't been written or collected are lost with them."""
+    deleted(spark, scratch_root(spark))
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, on: str | list[str], n: str, total: int) -> DataFrame:
+    """`rows` joined with `groups`, which has one row a key, its rows in `rows` counted in column `n`.
+
+    Keys with a thousandth of all `total` rows or more, a thousand keys at most, are broadcast, so that the rows of a hot
+    key stay where they are. Both sides should be written tables.
+    """
+    names = [on] if isinstance(on, str) else on
+    hot = groups.filter(F.col(n) * HOT_KEYS >= total)
+    cold = groups.filter(F.col(n) * HOT_KEYS < total)
+    near = rows.join(F.broadcast(hot), on)
+    return near.unionByName(rows.join(F.broadcast(hot.select(*names)), on, "left_anti").join(cold, on))
+
+
+def row_hashes(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """Two 64-bit hashes of a row, over all columns or some: together they stand for what the row holds."""
+    parts = [F.lit(0)]
+    for c, kind in df.dtypes:
+        if columns is None or c in columns:
+            parts.append(F.to_json(F.col(f"`{c}`")) if "map<" in kind or "variant" in kind else F.col(f"`{c}`"))
+            parts.append(F.col(f"`{c}`").isNull())  # a null alone would leave the hash as it is
+    return [F.xxhash64(F.lit(k), *parts[1:]) for k in (1, 2)]
+
+
 def ascii_lower(text: Column) -> Column:
     """`text` with A-Z only in lower case. A text of ASCII alone takes Spark's fast path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -52,3 +94,14 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`docs` with its columns named c0, c1, ... in order, so that no name of its own meets one of ours."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
+def place_of(docs: DataFrame, column: str) -> str:
+    """The plain name of a column."""
+    return f"c{docs.columns.index(column)}"

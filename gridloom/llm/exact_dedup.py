@@ -1,17 +1,17 @@
 """Exact dedup with a two-pass Bloom filter, in DataFrame functions alone.
 
 Pass 1 counts how many rows hit each slot of a Bloom filter (two slots a row, from one 64-bit hash of the text) and
-marks the slots hit at least twice in bitmaps. Pass 2 tests every row: if a slot is unmarked, its hash occurs once,
-and the row passes straight through. Only the others shuffle: they are grouped by SHA-256, so a false positive costs
-a shuffled row, never a wrong result. Groups are pre-aggregated; the copies of a hot group don't meet in one task:
-`duplicate_groups` broadcasts what it says of such groups, and `exact_dedup` deals rows by text and id together.
+marks the slots hit at least twice. Pass 2 tests every row: if a slot is unmarked, its hash occurs once, and the row
+passes straight through. Only the others shuffle: they are grouped by SHA-256, so a false positive costs a shuffled row,
+never a wrong result. Groups are pre-aggregated, so the copies of a hot group don't meet in one task: `exact_dedup` takes
+the row that stays by partial maxima, and `duplicate_groups` broadcasts what it says of hot groups.
 
-The marks have a fixed size (`slots` / 8 bytes, 4 MB by default), which bounds what is broadcast at any input size.
-More rows than slots fill the filter: the results stay the same, and more rows shuffle. Raise `slots` with the input.
+The filter grows with the rows up to 2^30 slots (see `bloom`); beyond 134 million rows more of them shuffle.
 
 Cases: a null text is the empty text. No rows give no rows. Rows that repeat both a text and the largest doc_id of its
-group are the same document: `duplicate_groups` reports each as kept, `exact_dedup` keeps one of them. A null doc_id
-loses to any other. Further columns are kept by `exact_dedup`, under whatever names.
+group: `duplicate_groups` reports each as kept; `exact_dedup` keeps one of them, always the same of those that differ in
+case or in another column. A null doc_id loses to any other. Very long texts are hashed whole. Further columns are kept by
+`exact_dedup`, under whatever names, and ignored by `duplicate_groups`.
 """
 
 from __future__ import annotations
@@ -19,84 +19,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower, written
-
-#: Slots of the Bloom filter; a power of two from 32,768 to 2^32.
-SLOTS = 1 << 25
-#: Groups with this part of all rows or more, of which there are so many at most, are broadcast: their copies stay where they are.
-HOT_GROUPS = 1000
-#: Bits in one bitmap of Spark's bitmap functions.
-BITMAP_LOG = 15
-BITMAP_BITS = 1 << BITMAP_LOG
+from gridloom.llm import bloom
+from gridloom.llm.common import ascii_lower, hot_join, place_of, plain_names, row_hashes, written
 
 
 def normal_text(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def _slots(h: Column, slots: int) -> list[Column]:
-    """Two slots from the halves of a 64-bit hash."""
-    return [h.bitwiseAND(F.lit(slots - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(slots - 1))]
-
-
-def repeated_slots(hashes: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Pass 1: from a column `h`, bitmaps (bucket, bits) of the slots that two or more rows hit."""
-    return (
-        hashes.select(F.explode(F.array(*_slots(F.col("h"), slots))).alias("slot"))
-        .groupBy("slot")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n >= 2")
-        .groupBy(F.shiftright("slot", BITMAP_LOG).alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("bits"))
-    )
-
-
-def possibly_repeated(rows: DataFrame, marks: DataFrame, h: str, flag: str, slots: int = SLOTS) -> DataFrame:
-    """Pass 2: `rows` with a boolean `flag`: false means that the hash in column `h` surely occurs once. No shuffle."""
-    columns, hit = rows.columns, F.lit(True)
-    for i, slot in enumerate(_slots(F.col(f"`{h}`"), slots)):
-        bits, bucket = f"__bits{i}", f"__bucket{i}"
-        side = F.broadcast(marks.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)))
-        rows = rows.join(side, F.shiftright(slot, BITMAP_LOG) == F.col(bucket), "left")
-        at = slot.bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
-        byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("bigint")
-        hit = hit & F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1, F.lit(False))
-    return rows.select(*(F.col(f"`{c}`") for c in columns), hit.alias(flag))
-
-
-def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    norm = normal_text(F.col(f"`{text_col}`"))
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("text_sha256"))
-
-
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int | None = None) -> DataFrame:
     """For each row: doc_id, keep_id (largest doc_id of equal texts), group_size, kept, text_sha256."""
-    rows = written(_digests(docs, id_col, text_col), "digests")
-    tested = possibly_repeated(rows, repeated_slots(rows, slots), "h", "maybe", slots)
-    straight = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    maybe = tested.filter("maybe").select("doc_id", "text_sha256")
+    norm = normal_text(F.col(f"`{text_col}`"))
+    rows = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("text_sha256")), "digests")
+    total = rows.count()
+    slots = slots or bloom.slots_for(total)
+    straight, maybe = bloom.parted(rows, written(bloom.marks(rows, slots, 2), "marks"), "h", slots)
+    straight = straight.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    maybe = maybe.select("doc_id", "text_sha256")
     groups = written(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    hot = groups.filter(F.col("group_size") * HOT_GROUPS >= rows.count())
-    met = maybe.join(F.broadcast(hot), "text_sha256", "left")
-    cold = met.filter("group_size is null").select("doc_id", "text_sha256").join(groups, "text_sha256")
-    grouped = met.filter("group_size is not null").unionByName(cold)
+    grouped = hot_join(maybe, groups, "text_sha256", "group_size", total)
     return straight.unionByName(grouped.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int | None = None) -> DataFrame:
     """`docs`, all columns, with one row for each text. Rows whose text surely occurs once don't shuffle."""
-    rows = written(_digests(docs, id_col, text_col), "digests")
-    marks = written(repeated_slots(rows, slots), "marks")
-    tested = possibly_repeated(rows, marks, "h", "maybe", slots).filter("maybe")
-    keep = tested.groupBy("text_sha256").agg(F.max("doc_id").alias("__keep_id")).withColumnRenamed("text_sha256", "__keep_sha")
-    norm = normal_text(F.col(f"`{text_col}`"))
-    full = possibly_repeated(docs.withColumn("__h", F.xxhash64(norm)), marks, "__h", "__maybe", slots)
-    straight = full.filter(~F.col("__maybe")).select(*(F.col(f"`{c}`") for c in docs.columns))
-    shuffled = (
-        full.filter("__maybe")
-        .withColumn("__sha", F.sha2(norm, 256))
-        .join(keep, (F.col("__sha") == F.col("__keep_sha")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id")))
-        .dropDuplicates(["__sha"])
-        .select(*(F.col(f"`{c}`") for c in docs.columns))
-    )
-    return straight.unionByName(shuffled)
+    rows, names = plain_names(docs)
+    doc_id, norm = F.col(place_of(docs, id_col)), normal_text(F.col(place_of(docs, text_col)))
+    rows = rows.withColumn("h", F.xxhash64(norm))
+    hashes = written(rows.select("h"), "hashes")
+    slots = slots or bloom.slots_for(hashes.count())
+    straight, maybe = bloom.parted(rows, written(bloom.marks(hashes, slots, 2), "marks"), "h", slots)
+    last = F.struct(doc_id, *row_hashes(rows, names))  # of rows with the largest id, always the same
+    stays = maybe.groupBy(F.sha2(norm, 256).alias("sha")).agg(F.max_by(F.struct(*names), last).alias("row"))
+    return straight.select(*names).unionByName(stays.select(*(F.col(f"row.{c}").alias(c) for c in names))).toDF(*docs.columns)
