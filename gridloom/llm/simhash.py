@@ -1,39 +1,50 @@
 """SimHash near-duplicates, with pivot distance tables.
 
-Every distinct fingerprint has a table of its Hamming distances to fixed reference fingerprints (pivots). By the
-triangle inequality two fingerprints within `RADIUS` bits differ by RADIUS at most in every coordinate of that table:
-a pair whose maximum coordinate difference is larger is discarded, and the survivors are verified bit by bit.
-
-Which pairs are looked at: comparing all would grow with the square of the corpus, and in 64 dimensions distances to
-pivots alone don't separate random fingerprints. So fingerprints first meet in groups that lose no pair: cut into
-`BLOCKS` blocks, two fingerprints within RADIUS bits agree on BLOCKS - RADIUS blocks at least, so each fingerprint
-joins one group for each choice of that many blocks. Within a group the pivot table decides, and only a spanning
-forest of the links leaves it. A group of more than `GROUP` fingerprints is dealt in parts, and each two parts meet in
-a task of their own; its pairs are looked at once each, and those already joined are skipped.
+Every distinct fingerprint has a table of its Hamming distances to fixed reference fingerprints (pivots), computed once and
+carried along. By the triangle inequality two fingerprints within `RADIUS` bits differ by RADIUS at most in every
+coordinate of that table: a pair whose maximum coordinate difference is larger is discarded, and the survivors are verified
+bit by bit. Of random pairs 16 pivots discard more than 99.9% at 4 of 64 bits.
+
+Which pairs are looked at: comparing all would grow with the square of the corpus. So fingerprints first meet in groups
+that lose no pair: cut into `BLOCKS` blocks, two fingerprints within RADIUS bits agree on BLOCKS - RADIUS blocks at least,
+so each fingerprint joins one group for each choice of that many blocks. Within a group the pivot table decides, and only a
+spanning forest of the links leaves it.
+
+A group of more than `GROUP` members is dealt twice at random into parts of about that size, and the links found within
+the parts joined to components: a dense group falls into one, with fewer than two links and two copies a member. What is
+left is exact: members outside of a group's largest component meet all other members once more, a part of them with a part
+of the others in a task, and pairs that a component joins already are skipped. Copies are two for each member, and beyond
+that as many as members outside of the largest component take.
 
 Documents with shingles in common by a given similarity (`near_dedup`: 0.8 of the shingles of five words) lie up to 18 of
 64 bits apart, where unrelated ones lie too. There fingerprints have `WIDE` words of 64 bits, and agreeing blocks would be
 too short to part a corpus: `BANDS` keys of `ROWS` min-hashes each form the groups instead (a pair of similarity 0.8
-shares none with a chance of 0.0004); of groups with the same members one is looked at. Within the groups a pair is
-proposed by its fingerprints, within a radius so wide that pairs at the similarity are not lost, or at once if one text has
-fewer than `SHORT` shingles, too few for a fingerprint to tell. A proposed pair is a link only if the sets of its
-shingles' 64-bit hashes have the similarity. At this radius pivots discard little.
+shares none with a chance of 0.0004); of groups with the same members one is looked at. Pivots of whole wide fingerprints
+would discard nothing, as distances of unrelated ones hardly spread. So each byte of a fingerprint has `BYTE_PIVOTS`
+pivots of its own, and the table says the distances of every byte to its pivots: the maximum coordinate differences of the
+bytes, added up, are never more than the distance in bits, and a pair is discarded where they exceed the radius. That
+discards all but one in a thousand unrelated pairs at most (a test measures it). The radius is so wide that pairs at the
+similarity are not lost; texts of fewer than `SHORT` shingles, too few for a fingerprint to tell, are proposed at once. A
+proposed pair is a link only if the sets of its shingles' 64-bit hashes have the similarity.
 
 Cases: a null text is empty. Texts without a word have fingerprint zero and link like any other. Texts of fewer words
-than a shingle are one shingle. No rows give no rows. Repeated rows are copies.
+than a shingle are one shingle. No rows give no rows. Repeated rows are copies. Further columns are ignored by
+`near_duplicates` and kept by `near_dedup`, under whatever names; very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
+from gridloom.llm import bloom
+from gridloom.llm.common import hot_join, place_of, plain_names, row_hashes, written
 from gridloom.llm.graph import components
 
 #: Fixed values of the fingerprint: seed of XXH64, words in a shingle.
@@ -42,8 +53,10 @@ SHINGLE = 4
 RADIUS = 4
 BLOCKS = 6
 PIVOTS = 16
-#: Fingerprints of a group that one task compares.
+BYTE_PIVOTS = 4
+#: Members of a group that one task compares, and how often a larger one is dealt at random.
 GROUP = 1024
+DEALS = 2
 #: Wide fingerprints: words, bits that may differ in a proposed pair (similarity 0.8 is 155 on average, with a deviation of 11), keys, min-hashes in each.
 WIDE = 16
 WIDE_RADIUS = 240
@@ -93,12 +106,13 @@ def _mixed(h: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return x
 
 
-def wide_sketch(text: bytes, shingle: int) -> tuple[np.ndarray, list[int]]:
-    """WIDE words of SimHash over the distinct shingles of a text, and its BANDS grouping keys."""
+def wide_sketch(text: bytes, shingle: int) -> tuple[bytes, np.ndarray, list[int]]:
+    """A digest of the set of a text's shingles, WIDE words of SimHash over the set, and its BANDS grouping keys."""
     from xxhash import xxh64_intdigest
 
     odd = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE + BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
     h = np.unique(shingle_hashes(text, shingle))
+    digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
     if not len(h):
         h = np.zeros(1, np.uint64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -107,24 +121,36 @@ def wide_sketch(text: bytes, shingle: int) -> tuple[np.ndarray, list[int]]:
         wide.append(_mixed(h[k : k + 4096], odd[:WIDE]))
         least = np.minimum(least, _mixed(h[k : k + 4096], odd[WIDE:]).min(axis=0))
     keys = [xxh64_intdigest(row.tobytes(), j) for j, row in enumerate(least.reshape(BANDS, ROWS))]
-    return majority(np.concatenate(wide)), [x - (1 << 64) if x >> 63 else x for x in keys]
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row, as a signed long with the same bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+    return digest, majority(np.concatenate(wide)), [x - (1 << 64) if x >> 63 else x for x in keys]
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """Distances of each fingerprint (a row of words) to its pivots, as rows of small numbers.
 
-def pivots(width: int, n: int = PIVOTS) -> np.ndarray:
-    """The reference fingerprints: fixed, and independent of the data."""
-    return np.random.default_rng(SEED).integers(0, 1 << 64, (n, width), np.uint64)
+    One word has PIVOTS pivots; several have BYTE_PIVOTS for each byte. Pivots are fixed and independent of the data.
+    """
+    rng = np.random.default_rng(SEED)
+    if fps.shape[1] == 1:
+        return np.bitwise_count(fps ^ rng.integers(0, 1 << 64, PIVOTS, np.uint64)[None, :]).astype(np.int8)
+    octets = np.ascontiguousarray(fps).view(np.uint8)
+    reference = rng.integers(0, 256, (octets.shape[1], BYTE_PIVOTS), np.uint8)
+    return np.bitwise_count(octets[:, :, None] ^ reference[None]).astype(np.int8).reshape(len(fps), -1)
+
+
+def not_discarded(table: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs of rows of a pivot table may be within `radius` bits: those whose maximum coordinate difference, or the sum of each byte's, is not larger."""
+    kept = np.arange(len(left))
+    if table.shape[1] == PIVOTS:
+        for k in range(0, PIVOTS, 4):
+            kept = kept[np.abs(table[left[kept], k : k + 4] - table[right[kept], k : k + 4]).max(axis=1, initial=0) <= radius]
+        return kept
+    low = np.zeros(len(left), np.int16)
+    for k in range(0, table.shape[1], 16 * BYTE_PIVOTS):
+        part = slice(k, k + 16 * BYTE_PIVOTS)
+        differences = np.abs(table[left[kept], part] - table[right[kept], part]).reshape(len(kept), 16, BYTE_PIVOTS)
+        low[kept] += differences.max(axis=2).sum(axis=1, dtype=np.int16)
+        kept = kept[low[kept] <= radius]
+    return kept
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,9 +158,17 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16)
 
 
-def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Distances of each fingerprint to each pivot, a row for each pivot."""
-    return np.stack([distances(fps, p[None, :]) for p in pivots(fps.shape[1])])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, pivots): each row's fingerprint, as a signed long with the same bits, and its distances to the pivots as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
+            near = [x.tobytes() for x in pivot_table(fps[:, None])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(near, pa.binary())], names=["doc_id", "fp", "pivots"])
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, pivots binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -143,17 +177,19 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
 
 
-def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS, sets: list[np.ndarray] | None = None) -> tuple[list[int], list[int]]:
+def spanning_links(key: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int = RADIUS, sets: list[np.ndarray] | None = None, known: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """Places of pairs that join what is within `radius` in runs of equal keys: a spanning forest of each run.
 
-    With `sets` of shingles, those pairs are proposals, and so are all with a short set; what is joined is similar.
+    With `sets` of shingles, those pairs are proposals, and so are all with a short set; what is joined is similar. Places
+    with the same number in `known` are joined already.
     """
     n = len(fps)
     left: list[int] = []
     right: list[int] = []
-    if not n:
-        return left, right
-    table, label = pivot_table(fps), np.arange(n)
+    label = np.arange(n)
+    if known is not None:
+        _, first, back = np.unique(np.stack([key, known]), axis=1, return_index=True, return_inverse=True)
+        label = first[back.ravel()]
     sizes = None if sets is None else np.array([len(x) for x in sets])
     for off in range(1, n):
         at = np.flatnonzero(key[off:] == key[:-off])
@@ -165,8 +201,7 @@ def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS, sets:
             less, more = np.minimum(sizes[at], sizes[at + off]), np.maximum(sizes[at], sizes[at + off])
             can = less * SIMILAR[1] >= more * SIMILAR[0]
             short, at = at[can & (less < SHORT)], at[can & (less >= SHORT)]
-        for row in table:  # discard by the largest coordinate difference
-            at = at[np.abs(row[at] - row[at + off]) <= radius]
+        at = at[not_discarded(table, at, at + off, radius)]
         at = np.concatenate([short, at[distances(fps[at], fps[at + off]) <= radius]])
         if not len(at):
             continue
@@ -188,63 +223,97 @@ def spanning_links(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS, sets:
     return left, right
 
 
-def links_in_groups(keyed: DataFrame, fps: DataFrame | None, radius: int, group: int = GROUP) -> DataFrame:
-    """Links (a, b) between nodes that share a key and whose fingerprints are within `radius` bits of each other.
-
-    `keyed` has (node, key), with a node once under a key; `fps` has (node, fp, shingles), a fingerprint's words and a
-    sorted set of shingles' hashes as bytes, and links are similar by those. Without it a node is its own fingerprint of
-    one word.
-    """
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / group).cast("int"))
-    met = met.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    if fps is not None:
-        met = met.join(fps, "node")
-    own = fps is None
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = met.withColumn("other", other).select("node", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), *["fp", "shingles"] * (fps is not None))
+def _linked(dealt: DataFrame, radius: int, by_sets: bool) -> DataFrame:
+    """Links (a, b) within equal keys of `dealt`: node, key, known, pivots and, if `by_sets`, fp and shingles; else the node is its own fingerprint."""
+    names = ["key", "node", "known", "pivots", *["fp", "shingles"] * by_sets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, words, sets = np.empty(0, np.int64), np.empty(0, np.int64), None, None if own else []
+        held = None
         for batch in itertools.chain(batches, [None]):
-            if batch is not None and batch.num_rows:
-                new = batch.column(0).to_numpy()
-                raw = new.tobytes() if own else b"".join(batch.column(2).to_pylist())
-                fp = np.frombuffer(raw, np.uint64).reshape(len(new), -1)
-                key, node = np.concatenate([key, batch.column(1).to_numpy()]), np.concatenate([node, new])
-                words = fp if words is None else np.concatenate([words, fp])
-                if not own:
-                    sets += [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
-            if not len(key) or batch is not None and not batch.num_rows:
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+            if held is None:
                 continue
+            key = held.column("key").to_numpy()
             # the last run may go on in the next batch
             end = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
-            a, b = spanning_links(key[:end], words[:end], radius, None if own else sets[:end])
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
-            key, node, words, sets = key[end:], node[end:], words[end:], None if own else sets[end:]
+            if end:
+                now = held.slice(0, end).combine_chunks()
+                node, known = now.column("node").to_numpy(), now.column("known").to_numpy()
+                table = np.frombuffer(b"".join(now.column("pivots").to_pylist()), np.int8).reshape(end, -1)
+                fps = np.frombuffer(b"".join(now.column("fp").to_pylist()) if by_sets else np.ascontiguousarray(node).tobytes(), np.uint64).reshape(end, -1)
+                sets = [np.frombuffer(x, np.uint64) for x in now.column("shingles").to_pylist()] if by_sets else None
+                a, b = spanning_links(key[:end], fps, table, radius, sets, known)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+                held = held.slice(end)
 
-    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+    return dealt.select(*names).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """From distinct fingerprints (fp): links (a, b), signed longs, that join all within `radius` bits of each other."""
+def _span(n: Column) -> Column:
+    """0, 1, ... n - 1."""
+    return F.sequence(F.lit(0), n.cast("int") - 1)
+
+
+def links_in_groups(keyed: DataFrame, facts: DataFrame | None, radius: int, group: int = GROUP) -> DataFrame:
+    """Links (a, b) that join all nodes that share a key and lie within `radius` bits of each other.
+
+    `keyed` is a written table with (node, key), a node once under a key. `facts` has (node, fp, pivots, shingles): a
+    fingerprint's words, its pivot table and a sorted set of shingles' hashes, all as bytes; links are similar by the sets.
+    Without it `keyed` has the pivots, and a node is its own fingerprint of one word.
+    """
+    by_sets = facts is not None
+    full = (lambda x: x.join(facts, "node")) if by_sets else (lambda x: x)
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    met = hot_join(keyed, sizes, "key", "n", keyed.count())
+    # small groups are one part, large ones are dealt at random, more than once
+    parts = F.ceil(F.col("n") / group)
+    deal = F.array(*(F.pmod(F.xxhash64(F.col("node"), F.lit(k)), parts) + F.lit(k << 40) for k in range(DEALS)))
+    part = F.explode(F.when(F.col("n") <= group, F.array(F.lit(0).cast("long"))).otherwise(deal))
+    dealt = full(met).withColumn("part", part).withColumn("key", F.xxhash64("key", "part")).withColumn("known", F.col("node"))
+    links = _linked(dealt, radius, by_sets)
+    hot = sizes.filter(F.col("n") > group)
+    if hot.isEmpty():
+        return links
+    # the rest of large groups, exactly
+    links = written(links, "group-links")
+    hot_rows = hot_join(keyed, hot, "key", "n", keyed.count()).join(components(links), "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
+    hot_rows = written(hot_rows, "group-rows")
+    each = hot_rows.groupBy("key", "known").agg(F.count(F.lit(1)).alias("k"))
+    largest = each.groupBy("key").agg(F.max(F.struct("k", "known")).alias("top"), F.sum("k").alias("m")).select("key", "m", F.col("top.known").alias("most"), (F.col("m") - F.col("top.k")).alias("others"))
+    largest = written(largest.filter("others > 0"), "group-largest")
+    left = hot_join(hot_rows, largest, "key", "m", hot_rows.count())
+    parts, other_parts = F.ceil(F.col("m") / group), F.ceil(F.col("others") / group)
+    mine, theirs = F.pmod(F.xxhash64("node"), parts), F.pmod(F.xxhash64("node", F.lit(1)), other_parts)
+    cell = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+    row, column = F.transform(_span(other_parts), lambda j: cell(mine, j)), F.transform(_span(parts), lambda i: cell(i, theirs))
+    cells = F.when(F.col("known") == F.col("most"), row).otherwise(F.array_distinct(F.concat(row, column)))
+    dealt = full(left).withColumn("cell", F.explode(cells)).withColumn("key", F.xxhash64("key", "cell.i", "cell.j", F.lit(7)))
+    return links.unionByName(_linked(dealt, radius, by_sets))
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
+    """From distinct fingerprints (fp, pivots): links (a, b), signed longs, that join all within `radius` bits of each other."""
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     masks = [sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in chosen) for chosen in itertools.combinations(range(blocks), blocks - radius)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     bits = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks))).alias("choice", "bits")
-    keyed = fps.select(F.col("fp").alias("node"), bits).select("node", F.xxhash64("choice", "bits").alias("key"))
-    return links_in_groups(keyed, None, radius)
+    keyed = fps.select(F.col("fp").alias("node"), "pivots", bits).select("node", "pivots", F.xxhash64("choice", "bits").alias("key"))
+    return links_in_groups(keyed, None, radius, group)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, fp, component_id (the smallest doc_id that its fingerprint's links reach)."""
     marked = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    reached = components(near_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    roots = classes.join(reached, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("pivots").alias("pivots"), F.count(F.lit(1)).alias("copies")), "classes")
+    reached = components(near_links(classes.select("fp", "pivots"), radius)).withColumnRenamed("node", "fp")
+    roots = classes.drop("pivots").join(reached, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = roots.join(least, "root").select("fp", "component_id")
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = written(roots.join(least, "root").select("fp", "component_id", "copies"), "component-ids")
+    return hot_join(marked.select("doc_id", "fp"), ids, "fp", "copies", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -252,35 +321,68 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """`docs`, all columns, with one document of each near-duplicate group: that with its smallest doc_id.
 
-    Near is a similarity of SIMILAR or more of the sets of shingles; wide fingerprints propose within `radius` bits. A doc_id must be there and stand for one row; of rows that repeat
-    one, one stays, and rows without any stay.
+    Near is a similarity of SIMILAR or more of the sets of shingles; wide fingerprints propose within `radius` bits. A row is
+    known by hashes of all its columns, not by its id: rows with one id and different texts are different documents, rows
+    that are equal in all columns are copies, and a row without an id stays only if its group has none with one. Texts with
+    equal sets of shingles are one node. No text shuffles but those of groups with more than one row.
     """
+    named, names = plain_names(docs)
+    rows = named.withColumns(dict(zip(("r0", "r1"), row_hashes(named), strict=True)))
+    text = F.coalesce(F.col(place_of(docs, text_col)).cast("string"), F.lit("")).cast("binary")
+    best = F.struct(F.col(place_of(docs, id_col)).isNull().alias("none"), F.col(place_of(docs, id_col)).alias("id"), "r0", "r1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches = [wide_sketch(x.as_py(), shingle) for x in batch.column(1)]
-            cols = [pa.array([s.tobytes() for s, _ in sketches], pa.binary()), pa.array([k for _, k in sketches], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["node", "fp", "keys"])
-
-    known = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    sketches = written(rows.mapInArrow(run, "node long, fp binary, keys array<long>"), "sketches")
-    keyed = sketches.select("node", F.explode("keys").alias("key")).distinct()
+            got = [wide_sketch(x.as_py(), shingle) for x in batch.column(1)]
+            cols = [pa.array([d for d, _, _ in got], pa.binary()), pa.array([s.tobytes() for _, s, _ in got], pa.binary()), pa.array([k for _, _, k in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["best", "set_id", "fp", "keys"])
+
+    asked = rows.select(best.alias("best"), text.alias("text"))
+    kind = asked.schema["best"].dataType.simpleString()
+    sketches = written(asked.mapInArrow(sketched, f"best {kind}, set_id binary, fp binary, keys array<long>").withColumn("node", F.monotonically_increasing_id()), "sketches")
+    classes = written(sketches.groupBy("set_id").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("best").alias("best")), "classes")
+    keyed = sketches.join(classes.select("node"), "node", "left_semi").select("node", F.explode("keys").alias("key")).distinct()
     # of groups with the same members, one
     members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"members{k}") for k in range(2)]
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1").groupBy("n", "members0", "members1").agg(F.min("key").alias("key"))
     keyed = written(keyed.join(groups.select("key"), "key", "left_semi"), "groups")
+    facts = written(_facts(rows, text, sketches, keyed, shingle), "facts")
+    reached = components(links_in_groups(keyed, facts, radius, group))
+
+    # what each component keeps, and which rows that concerns
+    roots = classes.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keepers = roots.groupBy("root").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("sets"), F.min("best").alias("keep")).filter("n > 1")
+    concerned = hot_join(written(roots.select("set_id", "copies", "root"), "roots"), written(keepers, "keepers"), "root", "sets", classes.count())
+    decided = hot_join(sketches.select("set_id", "best"), written(concerned, "concerned"), "set_id", "copies", sketches.count())
+    same = (F.col("best.r0") == F.col("keep.r0")) & (F.col("best.r1") == F.col("keep.r1"))
+    decided = written(decided.groupBy(F.col("best.r0").alias("r0"), F.col("best.r1").alias("r1")).agg(F.max(same).alias("stays")), "decided")
+    slots = bloom.slots_for(decided.count())
+    straight, maybe = bloom.parted(rows, written(bloom.marks(decided.select(F.col("r0").alias("h")), slots), "marks"), "r0", slots)
+    kept = maybe.join(decided, ["r0", "r1"], "left").filter("stays IS NULL OR stays")
+    kept = kept.groupBy("r0", "r1").agg(F.first(F.struct(*names)).alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in names))
+    return straight.select(*names).unionByName(kept).toDF(*docs.columns)
+
+
+def _facts(rows: DataFrame, text: Column, sketches: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
+    """(node, fp, pivots, shingles) of the nodes that are in a group."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py(), shingle)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    met = rows.toDF("node", "text").join(keyed.select("node").distinct(), "node", "left_semi")
-    sets = met.mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"])
-    reached = components(links_in_groups(keyed, sketches.select("node", "fp").dropDuplicates(["node"]).join(sets, "node"), radius))
-    lost = reached.filter("node <> root").select(F.col("node").alias("__lost"))
-    return known.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti").unionByName(docs.filter("doc_id is null"))
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], names=["r0", "r1", "shingles"])
+
+    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            near = [x.tobytes() for x in pivot_table(fps)] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.binary())], names=["node", "r0", "r1", "fp", "pivots"])
+
+    met = sketches.join(keyed.select("node").distinct(), "node", "left_semi").select("node", F.col("best.r0").alias("r0"), F.col("best.r1").alias("r1"), "fp")
+    met = written(met.mapInArrow(tabled, "node long, r0 long, r1 long, fp binary, pivots binary"), "met")
+    slots = bloom.slots_for(met.count())
+    _, texts = bloom.parted(rows.select("r0", "r1", text.alias("text")), written(bloom.marks(met.select(F.col("r0").alias("h")), slots), "marks"), "r0", slots)
+    sets = texts.mapInArrow(shingled, "r0 long, r1 long, shingles binary").groupBy("r0", "r1").agg(F.first("shingles").alias("shingles"))
+    return met.join(sets, ["r0", "r1"]).select("node", "fp", "pivots", "shingles")
