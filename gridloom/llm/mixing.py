@@ -1,18 +1,23 @@
 """Mixing sources to target weights by the cube method.
 
 A source's documents are taken floor(r) times each, r being its target over its size, and once more with probability
-r - floor(r). The cube method draws those last copies: it moves the probabilities along the null space of the
-constraints "words taken" and "documents taken" until each is 0 or 1, so both totals stay what they were.
-
-The flight runs in chunks of a source (documents dealt by a hash of their id, so a hot source is many chunks). A chunk
-flies its largest documents first, those within half the size of the largest, but half of the chunk at most. What that
-leaves undecided, two at most, is settled against all smaller ones at once, both totals in balance where they allow it
-and words in any case; then the largest of the rest fly in their turn, and so on down to the smallest. What a chunk
-leaves, one small document at most, meets again in chunks of chunks, until one small landing problem for each source is
-left, whose document falls to the nearer side. Every draw is seeded: reruns agree.
+r - floor(r), its inclusion probability. The cube method draws those last copies: it moves the probabilities along the null
+space of the constraints "words taken" and "documents taken" until each is 0 or 1, so both totals stay what they were.
+Every move goes one way or the other by a draw whose mean is no move at all, so each document's chance to be taken is
+exactly its inclusion probability.
+
+The flight runs in chunks of a source (documents dealt by a hash, so a hot source is many chunks). Documents of like size
+fly together, from the largest down: beside two much smaller ones a large one hardly moves, and would be left. What such a
+group leaves undecided, two at most, is moved against all smaller documents at once, as far as both totals allow. What
+that leaves flies once more, and a chunk passes two documents on at most, mostly its smallest; they meet again in chunks of
+chunks, until two documents at most are left for each source. They are the landing problem: the documents' total is given
+up first, which decides one of them for the other, and the last one is drawn. Its size is the most by which a source's words
+miss their target, and the documents' total is missed by less than two. Every draw is seeded: reruns agree.
 
 Cases: a null or blank text has size 0 and is taken floor(r) or floor(r) + 1 times for 0 words. A null source is a
-source, the last in order. Sources without a word have target 0. Rows with the same doc_id are documents of their own.
+source, the last in order. Sources without a word have target 0. Rows with the same doc_id are documents of their own; in
+`mixed`, rows that are equal in all columns share the copies of all of them. No rows give no rows. Very long texts are
+counted whole. Further columns are ignored by `mix` and kept by `mixed`, under whatever names.
 """
 
 from __future__ import annotations
@@ -20,11 +25,12 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, written
+from gridloom.llm.common import WORD, place_of, plain_names, row_hashes, written
 
 #: The weights of sources in order, repeating, and the most that a document is repeated.
 WEIGHTS = (1, 2, 3)
@@ -33,7 +39,6 @@ MOST = 3
 CHUNK = 2048
 FAN_IN = 512
 EPS = 1e-9
-SCHEMA = "row_id long, doc_id {id}, source string, size long, source_size long, target double, base int, part double, bucket long, copies int"
 
 
 def word_count(text):
@@ -41,12 +46,12 @@ def word_count(text):
 
 
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """From (source, size): source, source_size, docs, target, one row for each source.
+    """From (source, size, n), a row for each n documents: source, source_size, docs, target, one row for each source.
 
     Water filling over one row a source: sources in order of the level at which they reach their cap; those whose cap
     lies below the level that the rest would get stop there, and the rest share what is left by weight.
     """
-    total = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    total = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     every = Window.partitionBy()
     by_level = Window.orderBy("reach", "place").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,7 +69,7 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     return out.select("source", "source_size", "docs", target.alias("target"))
 
 
-def _step(p: list[float], at: list[int], u: list[float], rng: random.Random) -> None:
+def _moved(p: list[float], at: list[int], u: list[float], rng: random.Random) -> None:
     """Move the probabilities at `at` along u, one way or the other, till one is 0 or 1; expectations stay."""
     up = min((1 - p[i]) / x if x > 0 else -p[i] / x for i, x in zip(at, u, strict=True) if x)
     down = min(p[i] / x if x > 0 else (p[i] - 1) / x for i, x in zip(at, u, strict=True) if x)
@@ -92,92 +97,92 @@ def flight(p: list[float], size: list[int], order: list[int], constraints: int,
                 u = [x[1] - x[2], x[2] - x[0], x[0] - x[1]] if not x[0] == x[1] == x[2] else [1.0, -1.0, 0.0]
             else:
                 u = [x[1], -x[0]] if any(x) else [1.0, -1.0]
-            _step(p, held, u, rng)
+            _moved(p, held, u, rng)
             held = [k for k in held if 0 < p[k] < 1]
     return held
 
 
-def balanced(p: list[float], size: list[int], rest: list[int], words: float, docs: float) -> list[float] | None:
-    """How to move the probabilities of `rest`, those far from 0 and 1 most, for both totals to move by `words` and `docs`; None if they can't."""
-    room = [p[k] * (1 - p[k]) for k in rest]
-    n, once, twice = (sum(r * size[k] ** e for r, k in zip(room, rest, strict=True)) for e in (0, 1, 2))
-    spread = n * twice - once * once
-    if spread <= 1e-6 * n * twice:
-        return None
-    a, b = (docs * twice - words * once) / spread, (words * n - docs * once) / spread
-    return [r * (a + b * size[k]) for r, k in zip(room, rest, strict=True)]
-
+def settle(p: list[float], size: list[int], i: int, rest: list[int], rng: random.Random, tries: int = 16) -> None:
+    """Decide i by moving the probabilities of all of `rest` the other way, those far from 0 and 1 most, both totals in balance.
 
-def settle(p: list[float], size: list[int], i: int, rest: list[int], rng: random.Random) -> None:
-    """Decide i, if it can be, by moving the probabilities of all of `rest` the other way.
-
-    Words and documents both stay in balance if one such move decides i whichever way it goes, words alone otherwise.
+    Each try moves until i or one of the rest is decided; after `tries` i may be left.
     """
-    while EPS < p[i] < 1 - EPS:
-        rest = [k for k in rest if EPS < p[k] < 1 - EPS]
-        words = sum(p[k] * (1 - p[k]) * size[k] for k in rest)
-        if not words:
-            return
-        u = balanced(p, size, rest, -size[i], -1)
-        if u is None or not all(0 < p[k] + way * x < 1 for way in (1 - p[i], -p[i]) for k, x in zip(rest, u, strict=True)):
-            u = [-size[i] * p[k] * (1 - p[k]) / words * (size[k] > 0) for k in rest]
-        _step(p, [i, *rest], [1.0, *u], rng)
-
-
-def make_up(p: list[float], size: list[int], rest: list[int], docs: float) -> None:
-    """Move the documents of `rest` by `docs`, or as far that way as none passes 0 or 1, words in balance."""
     rest = [k for k in rest if EPS < p[k] < 1 - EPS]
-    u = balanced(p, size, rest, 0, docs) if abs(docs) > EPS else None
-    if u is not None:
-        far = min([1.0, *((1 - p[k]) / x if x > 0 else -p[k] / x for k, x in zip(rest, u, strict=True) if x)])
-        for k, x in zip(rest, u, strict=True):
-            p[k] += far * x
+    for _ in range(tries):
+        if len(rest) < 2 or not EPS < p[i] < 1 - EPS:
+            return
+        now, sizes = np.array([p[k] for k in rest]), np.array([size[k] for k in rest], float)
+        room = now * (1 - now)
+        n, once, twice = room.sum(), (room * sizes).sum(), (room * sizes * sizes).sum()
+        spread = n * twice - once * once
+        if spread <= 1e-6 * n * twice:
+            return
+        u = room * ((once * size[i] - twice) / spread + (once - n * size[i]) / spread * sizes)
+        _moved(p, [i, *rest], [1.0, *u.tolist()], rng)
+        rest = [k for k in rest if EPS < p[k] < 1 - EPS]
 
 
 def decide(p: list[float], size: list[int], rng: random.Random) -> list[int]:
-    """Decide all but one place at most; places are in descending order of size.
-
-    Documents of like size fly together: beside two much smaller ones a large one hardly moves, and would be left.
-    """
-    rest, docs = list(range(len(p))), sum(p)
+    """Decide all but two places at most; places are in descending order of size. Both totals stay."""
+    rest = list(range(len(p)))
     while len(rest) > 2:
         alike = min(-(-len(rest) // 2), sum(2 * size[i] >= size[rest[0]] for i in rest))
         held, rest = flight(p, size, rest[:alike], 2, rng), rest[alike:]
         for i in held:
             settle(p, size, i, rest, rng)
-        make_up(p, size, rest, docs - sum(p))
-    return flight(p, size, [i for i, x in enumerate(p) if EPS < x < 1 - EPS], 1, rng)
+    return flight(p, size, [i for i, x in enumerate(p) if EPS < x < 1 - EPS], 2, rng)
+
+
+def land(p: list[float], size: list[int], left: list[int], rng: random.Random) -> None:
+    """Decide the last places: one constraint less at a time, each move by a draw that keeps the probabilities."""
+    for i in flight(p, size, left, 1, rng):
+        p[i] = float(rng.random() < p[i])
 
 
 def _run(pdf: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values(["size", "doc_id", "row_id"], ascending=[False, True, True], kind="stable")
-    name = f"{seed}|{pdf['source'].iloc[0]}|{-1 if last else pdf['bucket'].iloc[0]}"
+    pdf = pdf.sort_values(["size", "doc_id", "h0", "h1", "nth"], ascending=[False, True, True, True, True], kind="stable")
+    name = f"{seed}|{pdf['source'].iloc[0]}|{-1 if last else pdf['bucket'].iloc[0]}|{len(pdf)}"
     rng = random.Random(zlib.crc32(name.encode()))
     p, size = pdf["part"].tolist(), pdf["size"].tolist()
     held = decide(p, size, rng)
     if last:
-        for i in held:
-            p[i] = float(round(p[i]))
+        land(p, size, held, rng)
         held = []
     left = set(held)
     return pdf.assign(part=p, copies=[None if i in left else int(b) + round(x) for i, (b, x) in enumerate(zip(pdf["base"], p, strict=True))])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, chunk: int = CHUNK) -> DataFrame:
-    """One row for each row of `docs`: doc_id, source, size, source_size, target, copies, taken (copies times size)."""
-    sizes = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")), "sizes")
+def _counted(n: Column, name: str) -> tuple[Column, Column]:
+    """Two generators, one after the other, that together give n rows: neither makes a long array of a large n."""
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 4096))).alias(f"{name}_block")
+    inner = F.explode(F.sequence(F.col(f"{name}_block") * 4096, F.least(n - 1, F.col(f"{name}_block") * 4096 + 4095))).alias(name)
+    return blocks, inner
+
+
+def _times(rows: DataFrame, n: str, name: str) -> DataFrame:
+    """Each row as often as its column `n` (1 or more) says, numbered from 0 in column `name`."""
+    blocks, inner = _counted(F.col(n).cast("long"), name)
+    return rows.select("*", blocks).select("*", inner).drop(f"{name}_block")
+
+
+def _mixed_units(docs: DataFrame, hashes: list[Column], doc_id: Column, text: Column, source: Column, seed: int, chunk: int) -> DataFrame:
+    """One row for each row of `docs`: doc_id, source, h0, h1, size, source_size, target, copies."""
+    rows = docs.select(doc_id.alias("doc_id"), source.cast("string").alias("source"), hashes[0].alias("h0"), hashes[1].alias("h1"), word_count(text).alias("size"))
+    # rows that repeat all of it are counted first: whichever of them is taken is no matter
+    sizes = written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "sizes")
     targets = source_targets(sizes)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = (
-        sizes.withColumn("row_id", F.monotonically_increasing_id())
+        _times(sizes, "n", "nth")
         .join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("ratio", ratio)
         .withColumn("base", F.least(F.floor("ratio"), F.lit(MOST)).cast("int"))
         .withColumn("part", F.col("ratio") - F.col("base"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("docs") / chunk)))
-        .select("row_id", "doc_id", "source", "size", "source_size", "target", "base", "part", "bucket")
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h0", "nth"), F.ceil(F.col("docs") / chunk)))
+        .select("doc_id", "source", "h0", "h1", "nth", "size", "source_size", "target", "base", "part", "bucket")
     )
-    schema = SCHEMA.format(id=sizes.schema["doc_id"].dataType.simpleString())
+    kinds = dict(units.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in units.columns) + ", copies int"
     flown = written(units.groupBy("source", "bucket").applyInPandas(lambda pdf: _run(pdf, seed, False), schema), "flight")
     done, left = [flown.filter("copies is not null")], flown.filter("copies is null")
     buckets = flown.agg(F.max("bucket")).first()[0] or 0
@@ -190,15 +195,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = done[0]
     for x in [*done[1:], landed]:
         out = out.unionByName(x)
+    return out
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, chunk: int = CHUNK) -> DataFrame:
+    """One row for each row of `docs`: doc_id, source, size, source_size, target, copies, taken (copies times size)."""
+    doc_id, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    out = _mixed_units(docs, [F.lit(0).cast("long")] * 2, doc_id, text, source, seed, chunk)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """`docs`, all columns, each row as often as the mix takes it. Rows of one doc_id are told apart by size and source."""
-    same = Window.partitionBy("__id").orderBy("__size", "__source")
-    take = mix(docs, seed=seed).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), F.col("copies").alias("__copies"))
-    take = take.withColumn("__nth", F.row_number().over(same)).filter("__copies > 0").select(F.col("__id").alias("__take_id"), F.col("__nth").alias("__take_nth"), "__copies")
-    rows = docs.withColumn("__id", F.col("doc_id")).withColumn("__size", word_count(F.col("text"))).withColumn("__source", F.col("source"))
-    rows = rows.withColumn("__nth", F.row_number().over(same))
-    rows = rows.join(take, F.col("__id").eqNullSafe(F.col("__take_id")) & (F.col("__nth") == F.col("__take_nth")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, chunk: int = CHUNK) -> DataFrame:
+    """`docs`, all columns, each row as often as the mix takes it. A row is known by hashes of all its columns; whole rows shuffle once."""
+    named, names = plain_names(docs)
+    doc_id, text, source = (F.col(place_of(docs, c)) for c in (id_col, text_col, source_col))
+    hashes = row_hashes(named)
+    units = _mixed_units(named, hashes, doc_id, text, source, seed, chunk)
+    take = units.groupBy("h0", "h1").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    rows = named.select(hashes[0].alias("h0"), hashes[1].alias("h1"), F.struct(*names).alias("row")).groupBy("h0", "h1").agg(F.first("row").alias("row"))
+    out = _times(rows.join(take, ["h0", "h1"]), "copies", "nth")
+    return out.select(*(F.col(f"row.{c}").alias(c) for c in names)).toDF(*docs.columns)
