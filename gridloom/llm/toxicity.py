@@ -1,18 +1,21 @@
 """Toxicity: a learnt lexicon, matched through misspellings, scored by the context of each match.
 
-1. Lexicon. From a bounded sample of labelled rows (`FIT_DOCS`, those of smallest hash) words and word beginnings that
-   stand in toxic documents significantly more often than elsewhere. A word's support is the number of different
-   neighbourhoods that it stands in, `PER_DOC` a document at most, so a copied document speaks once.
+1. Lexicon. From a bounded sample of labelled rows (`FIT_DOCS` ids of smallest hash, one text each) all words and word
+   beginnings that stand in toxic documents significantly more often than elsewhere. A term's support is the number of
+   different neighbourhoods that it stands in, so a copied document speaks once. What this gathers is bounded by the sample.
 2. Matching. The lexicon is a trie. Its product with the Levenshtein automaton of one edit is a deterministic automaton
-   that is built as words walk it, and dies on most words after a few letters. Short terms match exactly only.
+   that is built as words walk it, and dies on most words after a few letters. Words and beginnings are walked alike: a
+   word ends where the token ends, a beginning anywhere in it, and each match has its number of edits. Words of fewer than
+   `FUZZY_FROM` letters and beginnings of fewer than `FUZZY_BEGINNING` match without an edit only.
 3. Context. A match between quotation marks, or in a line that is quoted, counts apart from the others.
 4. A logistic model over counts of exact, misspelled and quoted matches and their density, fitted on the same sample.
 
 Labels are the only other input: neither language, source nor id reaches a score. Every whole text is scored.
 
-Cases: a null or empty text is scored as a text without a match. Rows that repeat an id are scored alike; an id with
-several labels is toxic if one says so. Without labels of both kinds the lexicon is empty and the score is the share
-of toxic labels. Columns beside id and text are ignored.
+Cases: a null or empty text is scored as a text without a match. Rows that repeat an id are scored each by its own text,
+and the least of their texts is fitted on; an id with several labels is toxic if one says so. Without labels of both
+kinds the lexicon is empty and the score is the share of toxic labels. Very long texts are read whole. No rows give no
+rows. Columns beside id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,15 +34,13 @@ from gridloom.llm.common import written
 
 #: Labelled documents that the lexicon and the model are fitted on at most.
 FIT_DOCS = 20_000
-#: Least support of a term, least documents, neighbourhoods that count of one document, most terms, most candidates, and letters from which a term may be misspelled.
+#: Least support of a term, least documents, and letters from which a word and a beginning may be misspelled.
 LEAST_SUPPORT = 4
 LEAST_DOCS = 3
-PER_DOC = 3
-MOST_TERMS = 2000
-MOST_CANDIDATES = 50_000
 FUZZY_FROM = 5
-#: Letters of a word beginning, characters of context on each side, and the cut of the predicted label.
-BEGINNING = 5
+FUZZY_BEGINNING = 7
+#: Lengths of word beginnings that are looked at, characters of context on each side, and the cut of the predicted label.
+BEGINNINGS = (5, 6, 7, 8)
 CONTEXT = 80
 CUT = 0.3
 TOKEN = re.compile(r"\w+(?:[*@$!]\w+)*")
@@ -103,18 +104,23 @@ class Matcher:
         """0: no match; 1: exact; 2: one edit away."""
         if len(self.moves) > self.keep:
             self._forget()
-        state, begun = self.start, False
+        state, near = self.start, False
         for c in token:
             to = self.moves.get((state, c))
             if to is None:
                 to = self.moves[state, c] = self._move(state, c)
             state, states = to, self.sets[to]
             if not states:
-                break
-            begun = begun or any(not e and self.begins[n] for n, e in states)
-        if begun or any(not e and self.word[n] for n, e in self.sets[state]):
+                return 2 if near else 0
+            for n, edits in states:
+                if self.begins[n]:
+                    if not edits:
+                        return 1
+                    near = near or self.depth[n] >= FUZZY_BEGINNING
+        states = self.sets[state]
+        if any(not e and self.word[n] for n, e in states):
             return 1
-        return 2 if any(self.word[n] and self.depth[n] >= FUZZY_FROM for n, _ in self.sets[state]) else 0
+        return 2 if near or any(self.word[n] and self.depth[n] >= FUZZY_FROM for n, _ in states) else 0
 
 
 def quoted(text: str, begin: int, end: int) -> bool:
@@ -171,12 +177,13 @@ def _terms_of(text: str) -> Iterator[tuple[str, int]]:
     for before, t, after in zip(["", *tokens[:-1]], tokens, [*tokens[1:], ""], strict=True):
         near = zlib.crc32(f"{before} {after}".encode())
         yield t, near
-        if len(t) > BEGINNING:
-            yield t[:BEGINNING] + "*", near
+        for k in BEGINNINGS:
+            if len(t) > k:
+                yield t[:k] + "*", near
 
 
 def _term_rows(docs: DataFrame, only: set[str] | None) -> DataFrame:
-    """(term, near, doc) of each document, PER_DOC neighbourhoods of a term at most; only the terms in `only`, if given."""
+    """(term, near, doc) of each document; only the terms in `only`, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,8 +191,8 @@ def _term_rows(docs: DataFrame, only: set[str] | None) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 places: dict[str, set[int]] = {}
                 for t, near in _terms_of(text):
-                    if (only is None or t in only) and len(at := places.setdefault(t, set())) < PER_DOC:
-                        at.add(near)
+                    if only is None or t in only:
+                        places.setdefault(t, set()).add(near)
                 out += [(t, near, doc) for t, at in places.items() for near in at]
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["term", "near", "doc"])
@@ -201,20 +208,20 @@ def _tail(hits: int, n: int, share: float) -> float:
     return min(0.0, each + log(n - hits + 1))
 
 
-def learn_lexicon(fit: DataFrame, most: int = MOST_TERMS) -> tuple[list[str], list[str]]:
+def learn_lexicon(fit: DataFrame) -> tuple[list[str], list[str]]:
     """Words and beginnings that mark toxic rows of `fit` (doc, text, toxic)."""
     sizes = {r["toxic"]: r["n"] for r in fit.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return [], []
     share = sizes[1] / (sizes[0] + sizes[1])
     rows = _term_rows(fit.filter("toxic = 1"), None).groupBy("term").agg(F.count_distinct("near").alias("hits"), F.count_distinct("doc").alias("docs"))
-    found = rows.filter((F.col("hits") >= LEAST_SUPPORT) & (F.col("docs") >= LEAST_DOCS)).orderBy(F.desc("hits"), "term").limit(MOST_CANDIDATES).collect()
+    found = rows.filter((F.col("hits") >= LEAST_SUPPORT) & (F.col("docs") >= LEAST_DOCS)).collect()  # terms of FIT_DOCS documents at most
     hits = {r["term"]: r["hits"] for r in found}
     only = set(hits)
     other = _term_rows(fit.filter("toxic = 0"), only).groupBy("term").agg(F.count_distinct("near").alias("n"))
-    misses = {r["term"]: r["n"] for r in other.collect()}  # of `only`, so MOST_CANDIDATES rows at most
+    misses = {r["term"]: r["n"] for r in other.collect()}  # of `only`
     sure = log(0.01 / max(1, len(hits)))
-    scored = sorted((t for t in hits if misses.get(t, 0) * 4 < hits[t] and _tail(hits[t], hits[t] + misses.get(t, 0), share) < sure), key=lambda t: (-hits[t], t))[:most]
+    scored = sorted((t for t in hits if misses.get(t, 0) * 4 < hits[t] and _tail(hits[t], hits[t] + misses.get(t, 0), share) < sure), key=lambda t: (-hits[t], t))
     return [t for t in scored if t[-1] != "*"], [t[:-1] for t in scored if t[-1] == "*"]
 
 
@@ -235,7 +242,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("doc")).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(F.xxhash64("doc"), "doc").limit(most)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return written(rows.join(F.broadcast(known), "doc"), "toxicity-fit")  # `most` pairs of numbers
+    fit = rows.join(F.broadcast(known), "doc")  # `most` pairs of numbers
+    return written(fit.groupBy("doc").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity-fit")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
