@@ -8,13 +8,14 @@ and the nearest found are merged and ranked by exact distances on the original v
 
 How much a query sees is a share of all rows (`SHARE` for each curve): vectors without near neighbours, as about half
 of a random set in 64 dimensions are, show themselves to no smaller windows. Recall against brute force is measured in
-the tests (0.9 or more); with well clustered vectors a smaller share does. The share is cut in ranges of `RANGE` rows at
-most, so tasks stay small whatever it is.
+the tests (0.9 or more); with well clustered vectors a smaller share does. A range is that share's third, so there are as
+many ranges at any size, and their cuts stay few. The rows of a range are dealt into parts of `RANGE` about, and the queries
+that look at it into parts of `QUERIES`; each two meet in a task of their own, whose size so doesn't grow with the table.
 
 Equal vectors are indexed once: their rows with the smallest ids stand for them, and come back in the results.
 
 What is fitted: `KNOTS` quantiles of each projection, on the `FIT_ROWS` distinct vectors of smallest digest. Ranges come from
-quantiles over all vectors; those few numbers a range are sent to every task.
+quantiles over all vectors; those few numbers (40 a curve at the default share) are sent to every task.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id or
 with another number of components than most of the fitted rows. Rows that repeat an id and its vector are one row. No
@@ -38,11 +39,13 @@ from gridloom.llm.common import written
 CURVES = 16
 DIMS = 8
 BITS = 5
-#: Share of all vectors in a query's window on one curve, and rows in a range.
+#: Share of all vectors in a query's window on one curve, ranges on either side of its own, and rows and queries that meet in a task.
 SHARE = 0.075
 REACH = 1
-RANGE = 8192
-LEAST_RANGE = 64
+RANGE = 16_384
+QUERIES = 4096
+#: Rows below which a range isn't cut further: small tables (under 1,300 rows) see wider windows.
+LEAST_RANGE = 32
 FIT_ROWS = 4096
 KNOTS = 513
 TIE_BITS = 20
@@ -134,9 +137,10 @@ def nearest(rows: DataFrame, k: int = 10, query_every: int = 100, id_col: str =
     distinct = members.filter("nth = 1").join(asked, F.col("digest") == F.col("q"), "left").select("vec_id", "digest", "vec", F.col("q").isNotNull().alias("asked"))
 
     total = members.filter("nth = 1").count()
-    size = min(RANGE, max(LEAST_RANGE, int(total * share) // (2 * REACH + 1)))
+    size = max(LEAST_RANGE, int(total * share) // (2 * REACH + 1))
     ranges = max(1, -(-total // size))
-    reach = max(REACH, int(np.ceil((total * share / size - 1) / 2)))
+    parts = -(-size // RANGE)
+    asking = max(1, -(-asked.count() * (2 * REACH + 1) // (ranges * QUERIES)))
 
     def keys_of(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
         vecs = np.stack([np.frombuffer(x.as_py(), kind) for x in batch.column(at)]).astype(np.float64)
@@ -163,16 +167,17 @@ def nearest(rows: DataFrame, k: int = 10, query_every: int = 100, id_col: str =
                 continue
             vecs, ties = keys_of(batch, 2)
             is_query = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            mine, theirs = ties % parts, ties // 7 % asking
             for c in range(curves):
                 own = np.searchsorted(cuts[c], curve_keys(vecs, ties, c, curves, knots), side="right")
-                for off in range(-reach, reach + 1):
-                    near = own + off
-                    asks = np.flatnonzero(is_query & (near >= 0) & (near < ranges))
-                    for rows_, query in ((np.arange(len(own)), False), (asks, True)) if off == 0 else ((asks, True),):
-                        if len(rows_):
-                            part = batch.take(pa.array(rows_))
-                            cell = c * ranges + near[rows_]
-                            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(rows_), query)), *part.columns[:3]], names=["cell", "query", "vec_id", "digest", "vec"])
+                sends = [(np.arange(len(own)), own, mine, np.full(len(own), k), False) for k in range(asking)]
+                for off in range(-REACH, REACH + 1):
+                    asks = np.flatnonzero(is_query & (own + off >= 0) & (own + off < ranges))
+                    sends += [(asks, own[asks] + off, np.full(len(asks), k), theirs[asks], True) for k in range(parts)]
+                for rows_, at, part, ask, query in sends:
+                    if len(rows_):
+                        cell = ((c * ranges + at) * parts + (part if query else part[rows_])) * asking + ask
+                        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(rows_), query)), *batch.take(pa.array(rows_)).columns[:3]], names=["cell", "query", "vec_id", "digest", "vec"])
 
     def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
         asks, base = pdf[pdf["query"]], pdf[~pdf["query"]]
