@@ -8,7 +8,8 @@ Content-Length, measures and digests the payloads in them, and looks up the reco
 Of records with equal payloads of at least `min_revisit` bytes, that with the largest id is a `response`; the others
 are `revisit` records that refer to it. Shorter payloads are stored once too, but all their records are responses.
 
-Payload bytes shuffle once to be stored and once to be joined; a short payload that a thousandth of all records have is
+Payload bytes that surely occur once are stored without a shuffle (a Bloom filter of the digests tells), and shuffle once to
+be joined with their headers; a short payload that a thousandth of all records have is
 broadcast instead (a thousand payloads below `min_revisit` bytes at most). Longer ones have one response each.
 
 Cases: a null payload is empty, a null url leaves its header out, line ends in a url are percent-encoded. A null id
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm import bloom
 from gridloom.llm.common import HOT_KEYS, hot_join, scratch_path, written
 
 #: Payloads below this many bytes are never revisits.
@@ -67,7 +69,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     rows = written(base.select("page_id", "url", *facts).withColumn("record_no", F.monotonically_increasing_id()), "records")
     first = F.struct("page_id", (-F.col("record_no")).alias("no"))
     chosen = rows.groupBy("sha256").agg(F.max(first).alias("top"), F.count(F.lit(1)).alias("n")).select("sha256", "n", F.col("top.page_id").alias("chosen"), (-F.col("top.no")).alias("original"))
-    named = hot_join(rows, written(chosen, "chosen"), "sha256", "n", rows.count())
+    total = rows.count()
+    named = hot_join(rows, written(chosen, "chosen"), "sha256", "n", total)
     http, warc = _headers(date)
     (
         named.withColumn("record_type", F.when((F.col("bytes") < min_revisit) | F.col("page_id").eqNullSafe(F.col("chosen")), "response").otherwise("revisit"))
@@ -76,8 +79,14 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         .select("sha256", F.encode("warc", "UTF-8").alias("warc"), F.encode("http", "UTF-8").alias("http"), (F.col("record_type") == "revisit").alias("revisit"))
         .write.parquet(f"{path}/headers")
     )
-    stored = base.select(F.sha2("payload", 256).alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("records"))
-    stored.withColumn("records", F.when(F.octet_length("payload") < min_revisit, F.col("records")).otherwise(1)).write.parquet(f"{path}/payloads")
+    # payloads that surely occur once are stored where they are; the others meet, pre-aggregated
+    slots = bloom.slots_for(total)
+    marked = written(bloom.marks(rows.select(F.xxhash64("sha256").alias("h")), slots, 2), "marks")
+    payloads = base.select(F.sha2("payload", 256).alias("sha256"), "payload").withColumn("h", F.xxhash64("sha256"))
+    straight, maybe = bloom.parted(payloads, marked, "h", slots)
+    stored = maybe.groupBy("sha256").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("records"))
+    stored = stored.withColumn("records", F.when(F.octet_length("payload") < min_revisit, F.col("records")).otherwise(1))
+    straight.select("sha256", "payload", F.lit(1).cast("long").alias("records")).unionByName(stored).write.parquet(f"{path}/payloads")
 
 
 def _verified(payloads: DataFrame) -> Column:
