@@ -45,15 +45,16 @@ def encode(lat: Column, lon: Column, digits: int = 8) -> Column:
     return F.when(_usable(lat) & _usable(lon), F.concat(*(part for pair in pairs for part in pair)))
 
 
-def bounds(code: Column) -> Column:
-    """struct(south, west, north, east) of a code of 4, 6 or 8 digits; null for anything else."""
+def bounds(code: Column, strict: bool = False) -> Column:
+    """struct(south, west, north, east) of a code of 4, 6 or 8 digits; null for anything else, or an error if `strict`."""
     digit = lambda i, n=1: F.substring(code, i, n).cast("int")
     n = F.length(code)
     south = digit(1, 2) * F.lit(PRIMARY[0]) + F.when(n >= 6, digit(5) * F.lit(SECONDARY[0])).otherwise(0.0) + F.when(n == 8, digit(7) * F.lit(TERTIARY[0])).otherwise(0.0)
     west = digit(3, 2) + F.lit(100.0) + F.when(n >= 6, digit(6) * F.lit(SECONDARY[1])).otherwise(0.0) + F.when(n == 8, digit(8) * F.lit(TERTIARY[1])).otherwise(0.0)
     span = lambda k: F.when(n == 4, PRIMARY[k]).when(n == 6, SECONDARY[k]).otherwise(TERTIARY[k])
     box = F.struct(south.alias("south"), west.alias("west"), (south + span(0)).alias("north"), (west + span(1)).alias("east"))
-    return F.when(code.rlike("^([0-9]{4}|[0-9]{6}|[0-9]{8})$"), box)
+    out = F.when(code.rlike("^([0-9]{4}|[0-9]{6}|[0-9]{8})$"), box)
+    return out.otherwise(F.raise_error(F.concat(F.lit("not a mesh code: "), F.coalesce(code, F.lit("null"))))) if strict else out
 
 
 def centre(box: Column) -> Column:

@@ -1,6 +1,6 @@
 """Transverse Mercator both ways, local offsets and units, as Column expressions.
 
-Each step is a column of its own, so shared terms are computed once. Rows need lat0, lon0 and arc0 of their zone
+Each step is a column of its own, so shared terms are computed once, and results may be filtered on. Rows need lat0, lon0 and arc0 of their zone
 (`gridloom.sources.crs.with_crs`); without them the results are null.
 """
 
@@ -21,6 +21,15 @@ def _series(coefficients, first: Column, second: Column, trig, hyper) -> Column:
     return sum((F.lit(c) * trig(2 * j * first) * hyper(2 * j * second) for j, c in enumerate(coefficients, 1)), F.lit(0.0))
 
 
+def _given(rows: DataFrame, kept: list[str], out: dict[str, Column]) -> DataFrame:
+    """`rows` with `out` beside the columns kept.
+
+    The results come out of a generator of one row each: a filter on them stays above it, where a plain column's whole chain
+    of steps would be put into the condition again and again.
+    """
+    return rows.select(*(c for c in kept if c not in out), F.inline(F.array(F.struct(*(c.alias(n) for n, c in out.items())))))
+
+
 def project(rows: DataFrame, lat: str = "lat", lon: str = "lon", easting: str = "easting", northing: str = "northing") -> DataFrame:
     """Add easting and northing in metres of a geographic point in degrees."""
     kept = rows.columns
@@ -30,7 +39,7 @@ def project(rows: DataFrame, lat: str = "lat", lon: str = "lon", easting: str =
     rows = rows.withColumns({"__xi": F.atan2(F.col("__t"), F.cos("__l")), "__eta": F.atanh(F.sin("__l") / F.sqrt(1 + F.col("__t") * F.col("__t")))})
     xi, eta = F.col("__xi"), F.col("__eta")
     out = {easting: F.lit(RADIUS) * (eta + _series(ALPHA, xi, eta, F.cos, F.sinh)), northing: F.lit(RADIUS) * (xi + _series(ALPHA, xi, eta, F.sin, F.cosh)) - F.col("arc0")}
-    return rows.withColumns(out).select(*kept, easting, northing)
+    return _given(rows, kept, out)
 
 
 def unproject(rows: DataFrame, easting: str = "easting", northing: str = "northing", lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -52,7 +61,7 @@ def unproject(rows: DataFrame, easting: str = "easting", northing: str = "northi
         rows = rows.withColumn("__v", u * F.sqrt(1 + s * s) - s * h)
         v = F.col("__v")
         rows = rows.withColumn("__u", u + (F.col("__t") - v) / F.sqrt(1 + v * v) * (1 + (1 - e2) * u * u) / ((1 - e2) * h))
-    return rows.withColumns({lat: F.degrees(F.atan("__u")), lon: F.col("lon0") + F.degrees("__l")}).select(*kept, lat, lon)
+    return _given(rows, kept, {lat: F.degrees(F.atan("__u")), lon: F.col("lon0") + F.degrees("__l")})
 
 
 def finite(x: Column) -> Column:

@@ -78,3 +78,32 @@ def preview_names(rows: DataFrame, group: str, order: str, name: Column) -> Data
     shown = total.join(first.groupBy(group).agg(F.count(F.lit(1)).alias("shown")), group, "left").withColumn("shown", F.coalesce("shown", F.lit(0)))
     more = shown.filter("total > shown").select(group, (F.col("shown") + 1).cast("int").alias("pos"), F.concat(F.lit("... and "), (F.col("total") - F.col("shown")).cast("string"), F.lit(" more")).alias("name"))
     return first.select(group, "pos", "name").unionByName(more)
+
+
+def merged_import_state(state: Column, tile: Column, at: Column, path: Column, source: Column, count: Column) -> Column:
+    """An import's state after one more file: struct(tiles, last_at, last_path, last_source, last_count)."""
+    return F.struct(merged_tiles(state["tiles"], tile).alias("tiles"), at.alias("last_at"), path.alias("last_path"), source.alias("last_source"), count.alias("last_count"))
+
+
+def import_summary(state: Column) -> Column:
+    """An import in one line, from its state."""
+    file = F.regexp_replace(state["last_path"], r"^.*[/\\]", "")
+    tiles = F.when(F.size(state["tiles"]) == 0, "no tile id").otherwise(F.concat(F.lit("tiles "), F.array_join(state["tiles"], ", ")))
+    return F.concat(state["last_count"].cast("string"), F.lit(" elements from "), file, F.lit(" at "), state["last_source"], F.lit("; "), tiles)
+
+
+def file_rows(files: DataFrame) -> DataFrame:
+    """source_path, seq, label, value: what a file's preview says, from source_path, srs_name, epsg_code, file_tile_id, buildings, solids, title, epsg, crs_name."""
+    text = lambda c, none: F.when(blank(F.col(c)), none).otherwise(F.col(c))
+    rows = (
+        ("file", F.col("source_path")),
+        ("declared system", text("srs_name", "none")),
+        ("EPSG code", F.coalesce(F.col("epsg_code").cast("string"), F.lit("none"))),
+        ("tile", text("file_tile_id", "none")),
+        ("buildings", F.col("buildings").cast("string")),
+        ("solids", F.col("solids").cast("string")),
+        ("anchor", F.col("title")),
+        ("anchor's system", F.format_string("EPSG:%s  %s", "epsg", "crs_name")),
+    )
+    array = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(n).alias("label"), v.alias("value")) for i, (n, v) in enumerate(rows)))
+    return files.select("source_path", F.inline(array))

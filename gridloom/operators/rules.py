@@ -22,6 +22,14 @@ SEVERITIES = ("Info", "Warning", "Error")
 # Tolerances below which a position counts as the default (feet, radians).
 OFFSET_TOLERANCE, ANGLE_TOLERANCE = 0.0001, 0.0000001
 
+# Names of the confidence levels.
+CONFIDENCE = ("Unknown", "Approximate", "Verified")
+
+
+def confidence_name(confidence: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, CONFIDENCE)), confidence + 1)
+
+
 #: What each code means, in our words.
 MESSAGES = {
     "missing-info": "No geo metadata is stored for this project.",
@@ -99,36 +107,75 @@ def health(rows: DataFrame) -> DataFrame:
     return rows.withColumn("findings", out)
 
 
-def _any(findings: Column, test) -> Column:
-    return F.exists(findings, test)
+def _once(value: Column, f) -> Column:
+    """f(value), with `value` computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _code(findings: Column, *codes: str) -> Column:
     return F.exists(findings, lambda f: f["code"].isin(*codes))
 
 
+#: What a status means, in our words, by precedence: unsupported, errors, warnings, ready, anything else.
+STATUS_MESSAGES = ("Checks do not apply to this document.", "Required geo metadata is missing or wrong.", "Geo metadata is there, but something in it needs a look.", "Geo metadata is ready to be used.", "Nothing is wrong, but exports still lack something.")
+
+
 def status(rows: DataFrame) -> DataFrame:
-    """Add `status_title` and `worst` (highest severity, null without findings). Rows need `findings`."""
-    worst = F.array_max(F.transform("findings", lambda f: f["severity"]))
-    title = F.when(worst == ERROR, "Blocking Issues Found").when(worst == WARNING, "Project Needs Attention").otherwise("Project Health Looks Good")
-    return rows.withColumns({"worst": worst, "status_title": title})
+    """Add `status_title`, `worst` (highest severity, null without findings) and `status_message`. Rows need `findings`."""
+
+    def judged(f: Column) -> Column:
+        worst, note = F.array_max(F.transform(f, lambda x: x["severity"])), _code(f, "missing-primary-mesh", "read-only-document")
+        title = F.when(worst == ERROR, "Blocking Issues Found").when(worst == WARNING, "Project Needs Attention").otherwise("Project Health Looks Good")
+        said = [F.lit(m) for m in STATUS_MESSAGES]
+        message = F.when(~F.col("supported"), said[0]).when(worst == ERROR, said[1]).when(worst == WARNING, said[2]).when(note, said[4]).otherwise(said[3])
+        return F.struct(worst.alias("worst"), title.alias("status_title"), message.alias("status_message"))
+
+    return rows.withColumn("judged", _once(F.col("findings"), judged)).select(*rows.columns, "judged.*")
+
+
+#: The checklist's titles, and what is said of each where it is not and where it is satisfied; in our words.
+CHECKLIST = (
+    ("document", "Open a project document first.", "The document can be used."),
+    ("reference system", "Save a reference system first.", "EPSG:%s"),
+    ("origin", "Save an origin first.", "%.6f, %.6f"),
+    ("confidence", "Record how sure the setup is.", "%s"),
+    ("mesh code", "No mesh code is stored.", "%s"),
+)
+STALE = "The stored mesh code is stale."
 
 
 def readiness(rows: DataFrame) -> DataFrame:
-    """Add `readiness` (Blocked, NeedsAttention, Ready) and `items`, five of struct(seq, title, satisfied). Rows need `findings`."""
-    f = F.col("findings")
+    """Add `readiness` (Blocked, NeedsAttention, Ready) and `items`, five of struct(seq, title, satisfied, detail). Rows need `findings`.
+
+    The findings are reduced to a few flags once; all else is made from those.
+    """
     no_crs, no_origin = ~F.col("has_info") | F.col("epsg").isNull(), ~F.col("has_info") | F.col("lat").isNull()
-    blocked = ~F.col("supported") | no_crs | no_origin | _any(f, lambda x: x["severity"] == ERROR) | _code(f, "invalid-crs")
-    attention = _any(f, lambda x: x["severity"] == WARNING) | _code(f, "missing-primary-mesh", "read-only-document")
-    items = (
-        ("Supported Revit project document", F.col("supported")),
-        ("Canonical CRS reference", ~no_crs & ~_code(f, "invalid-crs")),
-        ("Canonical origin", ~no_origin),
-        ("Confidence recorded", F.col("has_info") & (F.col("confidence") != 0)),
-        ("Primary mesh key stored", F.col("has_info") & F.col("mesh").isNotNull() & ~_code(f, "stale-mesh")),
+    sure, coded = F.col("has_info") & (F.col("confidence") != 0), F.col("has_info") & F.col("mesh").isNotNull()
+    flags = _once(
+        F.col("findings"),
+        lambda f: F.struct(
+            F.coalesce(F.array_max(F.transform(f, lambda x: x["severity"])), F.lit(-1)).alias("worst"),
+            _code(f, "invalid-crs").alias("invalid"),
+            _code(f, "stale-mesh").alias("stale"),
+            _code(f, "missing-primary-mesh", "read-only-document").alias("note"),
+        ),
     )
-    checklist = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(t).alias("title"), ok.alias("satisfied")) for i, (t, ok) in enumerate(items)))
-    return rows.withColumns({"readiness": F.when(blocked, "Blocked").when(attention, "NeedsAttention").otherwise("Ready"), "items": checklist})
+
+    def judged(f: Column) -> Column:
+        blocked = ~F.col("supported") | no_crs | no_origin | (f["worst"] == ERROR) | f["invalid"]
+        tests = (F.col("supported"), ~no_crs & ~f["invalid"], ~no_origin, sure, coded & ~f["stale"])
+        shown = (F.col("supported"), ~no_crs, ~no_origin, sure, coded)
+        values = ((), (F.col("epsg"),), (F.col("lat"), F.col("lon")), (confidence_name(F.col("confidence")),), (F.col("mesh"),))
+        items = []
+        for i, ((title, without, with_), ok, there, args) in enumerate(zip(CHECKLIST, tests, shown, values, strict=True)):
+            detail = F.when(there, F.format_string(with_, *args)).otherwise(without)
+            if title == "mesh code":
+                detail = F.when(there & f["stale"], STALE).otherwise(detail)
+            items.append(F.struct(F.lit(i).alias("seq"), F.lit(title).alias("title"), ok.alias("satisfied"), detail.alias("detail")))
+        state = F.when(blocked, "Blocked").when((f["worst"] == WARNING) | f["note"], "NeedsAttention").otherwise("Ready")
+        return F.struct(state.alias("readiness"), F.array(*items).alias("items"))
+
+    return rows.withColumn("judged", _once(flags, judged)).select(*rows.columns, "judged.*")
 
 
 def existing_setup(rows: DataFrame) -> DataFrame:
@@ -166,6 +213,16 @@ def intent_errors(epsg: Column, lat: Column, easting: Column, northing: Column,
     return F.array_compact(F.array(*(F.when(t, e) for t, e in zip(tests, INTENT_ERRORS, strict=True))))
 
 
+STEPS = ("current state", "choose CRS", "select point", "review point", "setup intent", "preview")
+
+
+def gates(step: Column, supported: Column, read_only: Column, crs: Column, point: Column, valid: Column) -> Column:
+    """struct(can_next, can_apply) at a step of the setup (0 to 5: STEPS), from what is chosen so far and whether the intent is valid."""
+    tests = F.array(supported, crs.isNotNull(), point.isNotNull(), point.isNotNull(), valid, F.lit(False))
+    can_next = F.coalesce(F.get(tests, step), F.lit(False))
+    return F.struct(can_next.alias("can_next"), ((step == 5) & valid & supported & ~read_only).alias("can_apply"))
+
+
 def missing_selection(epsg: Column, lat: Column, mode: Column) -> Column:
     """array(string): what must be chosen before an intent can be checked."""
     return F.array_compact(F.array(F.when(epsg.isNull(), "CRS"), F.when(lat.isNull(), "point"), F.when(mode.isNull(), "mode")))

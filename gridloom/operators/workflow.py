@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from gridloom.functions import mesh
 from gridloom.functions.projection import FOOT, finite, project
 from gridloom.functions.text import blank
-from gridloom.operators.rules import intent_errors
+from gridloom.operators.rules import CONFIDENCE, existing_setup, intent_errors, validation
 from gridloom.sources.crs import crs_table, with_crs
 
-# Names of enumerations, and the version of stored records.
-CONFIDENCE = ("Unknown", "Approximate", "Verified")
+# Names of modes and anchors, and the version of stored records.
 MODES = ("Metadata Only", "Project Location", "Project Location + True North")
 ANCHORS = ("Survey Point", "Survey Point", "Project Base Point")
 SCHEMA_VERSION = 1
@@ -26,8 +25,8 @@ def _named(names: tuple[str, ...], i: Column) -> Column:
 
 
 def working_point() -> Column:
-    """The stored working point as struct(epsg, lat, lon, easting, northing), null where nothing of it is stored."""
-    names = ("epsg", "lat", "lon", "easting", "northing")
+    """The stored working point as struct(epsg, name, lat, lon, elevation, easting, northing), null where nothing of it is stored."""
+    names = ("epsg", "name", "lat", "lon", "elevation", "easting", "northing")
     some = F.col("wp_epsg").isNotNull() | F.col("wp_lat").isNotNull()
     return F.when(some, F.struct(*(F.col(f"wp_{n}").alias(n) for n in names)))
 
@@ -36,9 +35,9 @@ def valid_point(wp: Column) -> Column:
     return F.coalesce(wp["epsg"].isNotNull() & wp["lat"].isNotNull() & finite(wp["easting"]) & finite(wp["northing"]), F.lit(False))
 
 
-def resolve_working_point(explicit: Column, anchor: Column, epsg: Column, lat: Column, lon: Column, easting: Column, northing: Column) -> Column:
+def resolve_working_point(explicit: Column, anchor: Column, epsg: Column, name: Column, lat: Column, lon: Column, easting: Column, northing: Column) -> Column:
     """The explicit point if it is valid, else the intent's own if it is anchored at the base point (2) and complete, else null."""
-    own = F.struct(epsg.alias("epsg"), lat.alias("lat"), lon.alias("lon"), easting.alias("easting"), northing.alias("northing"))
+    own = F.struct(epsg.alias("epsg"), name.alias("name"), lat.alias("lat"), lon.alias("lon"), F.lit(0.0).alias("elevation"), easting.alias("easting"), northing.alias("northing"))
     return F.when(valid_point(explicit), explicit).when((anchor == 2) & epsg.isNotNull() & lat.isNotNull() & finite(easting) & finite(northing), own)
 
 
@@ -68,15 +67,20 @@ def mesh_reference(rows: DataFrame, source: str = "survey") -> DataFrame:
     return rows.withColumn("ref", ref)
 
 
-def inspect_mesh(rows: DataFrame, source: str = "survey") -> DataFrame:
-    """project_id, title, code, mesh_status, can_save, for the chosen reference."""
+def inspected(rows: DataFrame, source: str = "survey") -> DataFrame:
+    """Add `ref`, `code`, `mesh_status` and `can_save` for the chosen reference."""
     rows = mesh_reference(rows, source).withColumn("code", mesh.encode(F.col("ref.lat"), F.col("ref.lon")))
     same = F.col("mesh").eqNullSafe(F.col("code"))
     blocked = F.when(~F.col("supported"), "unsupported").when(F.col("epsg").isNull() | F.col("lat").isNull(), "incomplete metadata").when(F.col("ref").isNull(), "no base point")
     kept = F.when(F.col("mesh").isNull(), "Not stored yet").when(same, "Stored value is current").otherwise("Stored value is stale")
     status = F.coalesce(blocked, kept if source == "survey" else F.lit("Inspection only"))
     can_save = F.coalesce(F.col("ref.persistable") & ~same, F.lit(False))
-    return rows.select("project_id", F.col("ref.title").alias("title"), "code", status.alias("mesh_status"), can_save.alias("can_save"))
+    return rows.withColumns({"mesh_status": status, "can_save": can_save})
+
+
+def inspect_mesh(rows: DataFrame, source: str = "survey") -> DataFrame:
+    """project_id, title, code, mesh_status, can_save, for the chosen reference."""
+    return inspected(rows, source).select("project_id", F.col("ref.title").alias("title"), "code", "mesh_status", "can_save")
 
 
 def import_reference(rows: DataFrame, prefer: Column) -> DataFrame:
@@ -141,6 +145,18 @@ def proposed_angle(mode: Column, angle: Column, current: Column) -> Column:
     return F.when(mode == 2, F.coalesce(angle, current)).otherwise(current)
 
 
+def format_working_point(p: Column) -> Column:
+    """Reference system, projected coordinate and origin of a working point that is complete."""
+    parts = (format_crs(p["epsg"], p["name"]), format_projected(p["easting"], p["northing"]), format_origin(p["lat"], p["lon"], p["elevation"]))
+    return F.when(valid_point(p), F.concat_ws(" / ", *parts)).otherwise("Not stored")
+
+
+def intended_working_point() -> Column:
+    """The working point that an intent would save, if any."""
+    i = lambda n: F.col(f"i_{n}")
+    return resolve_working_point(working_point(), *map(i, ("anchor", "epsg", "name", "lat", "lon", "easting", "northing")))
+
+
 def preview(rows: DataFrame) -> DataFrame:
     """Before and after of an intent: project_id, seq, label, current_value, proposed_value, eight rows each.
 
@@ -149,16 +165,14 @@ def preview(rows: DataFrame) -> DataFrame:
     """
     rows = current_state(rows)
     i = lambda n: F.col(f"i_{n}")
-    wp = resolve_working_point(working_point(), i("anchor"), i("epsg"), i("lat"), i("lon"), i("easting"), i("northing"))
-    point = lambda p: F.when(valid_point(p), F.concat_ws(" / ", F.concat(F.lit("EPSG:"), p["epsg"].cast("string")), format_projected(p["easting"], p["northing"]))).otherwise("Not stored")
     fields = (
         ("CRS", format_crs(F.col("epsg"), F.col("crs_name")), format_crs(i("epsg"), i("name"))),
         ("Origin", format_origin(F.col("current.lat"), F.col("current.lon"), F.col("current.elevation")), format_origin(i("lat"), i("lon"), F.lit(0.0))),
-        ("Projected Coordinate", F.lit("Not captured"), format_projected(i("easting"), i("northing"))),
+        ("Projected Coordinate", F.lit("Not derived from what is stored"), format_projected(i("easting"), i("northing"))),
         ("True North Angle", format_angle(F.col("current_angle")), format_angle(proposed_angle(i("mode"), i("angle"), F.col("current_angle")))),
         ("Apply Mode", F.lit("No pending change"), format_mode(i("mode"))),
         ("Anchor Target", F.lit("Not captured"), format_anchor(i("anchor"))),
-        ("Working Project Base Point", point(working_point()), point(wp)),
+        ("Working Project Base Point", format_working_point(working_point()), format_working_point(intended_working_point())),
         ("Confidence / Source", format_confidence(F.col("confidence"), F.col("setup_source")), format_confidence(i("confidence"), i("source"))),
     )
     array = F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(label).alias("label"), a.alias("current_value"), b.alias("proposed_value")) for k, (label, a, b) in enumerate(fields)))
@@ -172,6 +186,105 @@ def preview_ready(rows: DataFrame) -> DataFrame:
     return rows.withColumn("errors", errors).withColumn("ready", F.size("errors") == 0)
 
 
+#: Notes of a preview, in our words: on the state, then what changes and what stays, by mode.
+STATE_NOTES = ("nothing is stored yet; the current values come from the host", "an existing setup would be overwritten", "the current origin comes from: ")
+CHANGES = (("metadata",), ("metadata", "location"), ("metadata", "location", "angle"))
+STAYS = (("location", "angle", "geometry"), ("angle", "geometry"), ("geometry",))
+
+
+def preview_notes(rows: DataFrame) -> DataFrame:
+    """Add `warnings`, `will_change`, `will_stay` (arrays of text), `persistence`, `impact`, `certainty` (texts) and `ready` of an intent.
+
+    Warnings are the intent's errors, notes on the current state, and what the validator says of the record that the intent
+    would make. Lists name what changes by kind: metadata, location, angle, working point, geometry.
+    """
+    i = lambda n: F.col(f"i_{n}")
+    rows = existing_setup(current_state(preview_ready(rows)))
+    kept = rows.columns
+    angle = proposed_angle(i("mode"), i("angle"), F.col("current_angle"))
+    names = dict(zip(("epsg", "lat", "lon", "elevation", "angle", "mesh", "has_info"), (i("epsg"), i("lat"), i("lon"), F.lit(0.0), angle, F.lit(None).cast("string"), F.lit(True)), strict=True))
+    # the validator reads a record's own columns: those of the intended one stand in for them
+    candidate = rows.select(F.struct("*").alias("now"), *(c.alias(n) for n, c in names.items()))
+    candidate = validation(project(with_crs(candidate, crs_table(rows.sparkSession))))
+    rows = candidate.select("now.*", F.transform("validation", lambda f: f["message"]).alias("said"))
+    state = F.array_compact(F.array(
+        F.when(~F.col("has_info"), STATE_NOTES[0]), F.when(F.col("detected"), STATE_NOTES[1]), F.when(F.col("current.source") != "", F.concat(F.lit(STATE_NOTES[2]), "current.source"))
+    ))
+    wp, lists = intended_working_point(), lambda t: F.element_at(F.array(*(F.array(*map(F.lit, x)) for x in t)), i("mode") + 1)
+    point = lambda here: F.when(wp.isNotNull() == F.lit(here), F.array(F.lit("working point"))).otherwise(F.array().cast("array<string>"))
+    anchor = format_anchor(F.when(i("anchor") == 0, 1).otherwise(i("anchor")))
+    target = F.when(i("mode") == 0, "metadata alone").otherwise(F.concat(F.lit("location at the "), anchor, F.when(i("mode") == 2, " and true north").otherwise("")))
+    saved = F.when(wp.isNotNull(), "; working point saved").otherwise("")
+    return rows.select(
+        *kept,
+        F.concat("errors", state, "said").alias("warnings"),
+        F.concat(lists(CHANGES), point(True)).alias("will_change"),
+        F.concat(lists(STAYS), point(False)).alias("will_stay"),
+        F.concat(F.lit("EPSG:"), F.coalesce(i("epsg").cast("string"), F.lit("unknown")), F.lit(", origin, angle, confidence "), _named(CONFIDENCE, i("confidence")), saved).alias("persistence"),
+        F.concat(target, saved).alias("impact"),
+        format_confidence(i("confidence"), i("source")).alias("certainty"),
+    )
+
+
+def build_intent(epsg: Column, name: Column, point: Column, mode: Column, source: Column, angle: Column) -> dict[str, Column]:
+    """The i_* columns of an intent from a chosen system and point: struct(lat, lon, easting, northing, confidence, anchor). Elevation is 0."""
+    own = {n: point[n] for n in ("lat", "lon", "easting", "northing", "confidence", "anchor")}
+    columns = {"epsg": epsg, "name": name, **own, "elevation": F.when(point.isNotNull(), F.lit(0.0)), "mode": mode, "source": source, "angle": angle}
+    return {f"i_{n}": c for n, c in columns.items()}
+
+
+def audit_summary(title: Column, angle: Column) -> Column:
+    """What an applied intent did, in one line."""
+    i = lambda n: F.col(f"i_{n}")
+    wp = intended_working_point()
+    parts = (
+        F.concat(title, F.lit(": "), format_mode(i("mode"))),
+        F.coalesce(F.concat(F.lit("EPSG:"), i("epsg").cast("string")), F.lit("no CRS")),
+        F.coalesce(F.format_string("Lat %.6f, Lon %.6f", i("lat"), i("lon")), F.lit("no origin")),
+        F.when(finite(i("easting")) & finite(i("northing")), F.format_string("E %.3f m, N %.3f m", i("easting"), i("northing"))).otherwise("no projected coordinate"),
+        format_anchor(F.when(i("anchor") == 0, 1).otherwise(i("anchor"))),
+        format_angle(angle),
+        format_confidence(i("confidence"), i("source")),
+        F.when(valid_point(wp), F.format_string("working point E %.3f m, N %.3f m in EPSG:%s", wp["easting"], wp["northing"], wp["epsg"])),
+    )
+    return F.concat_ws("; ", *parts)
+
+
+def apply_placements(rows: DataFrame, applied_at: Column) -> DataFrame:
+    """What applying each row's intent would store: project_id, outcome, record, state and audit (JSON; null unless applied).
+
+    Outcomes: applied, or why not (unsupported, read-only, invalid intent). The stored record is a new one, so it has no
+    mesh code. One row holds all that one project's change writes: written together or not at all (`commit_placements`).
+    """
+    i = lambda n: F.col(f"i_{n}")
+    rows = current_state(preview_ready(rows))
+    outcome = F.when(~F.col("supported"), "unsupported").when(F.col("read_only"), "read-only").when(~F.col("ready"), "invalid intent").otherwise("applied")
+    angle, done, wp = proposed_angle(i("mode"), i("angle"), F.col("current_angle")), outcome == "applied", intended_working_point()
+    crs = F.struct(i("epsg").alias("EpsgCode"), i("name").alias("NameSnapshot"))
+    origin = F.struct(i("lat").alias("Latitude"), i("lon").alias("Longitude"), F.lit(0.0).alias("ElevationMeters"))
+    place = [crs.alias("ProjectCrs"), origin.alias("Origin"), angle.alias("TrueNorthAngle"), i("confidence").alias("Confidence"), i("source").alias("SetupSource")]
+    record = F.struct(F.lit(SCHEMA_VERSION).alias("SchemaVersion"), *place, applied_at.alias("GeoSetupDate"))
+    audit = F.struct(applied_at.alias("AppliedAt"), *place, format_mode(i("mode")).alias("ApplyMode"), audit_summary(F.col("project_id").cast("string"), angle).alias("Summary"))
+    return rows.select(
+        "project_id",
+        outcome.alias("outcome"),
+        F.when(done, F.to_json(record)).alias("record"),
+        F.when(done & wp.isNotNull(), envelope(F.struct(wp.alias("WorkingPoint"), applied_at.alias("LastUpdated")), "GeoreferenceModuleState")).alias("state"),
+        F.when(done, F.to_json(audit)).alias("audit"),
+    )
+
+
+def commit_placements(placed: DataFrame, path: str) -> None:
+    """Append what `apply_placements` says as one table: a job that fails leaves nothing, as its files are committed at its end."""
+    placed.filter("outcome = 'applied'").write.mode("append").parquet(path)
+
+
+def save_mesh_code(rows: DataFrame) -> DataFrame:
+    """project_id, outcome, mesh: the survey point's mesh code stored where that is allowed; else why not, and the code as it was."""
+    outcome = F.when(~F.col("supported"), "unsupported").when(F.col("read_only"), "read-only").when(~F.col("has_info"), "no metadata").when(F.col("epsg").isNull() | F.col("lat").isNull(), "incomplete metadata").otherwise("saved")
+    return rows.select("project_id", outcome.alias("outcome"), F.when(outcome == "saved", mesh.encode(F.col("lat"), F.col("lon"))).otherwise(F.col("mesh")).alias("mesh"))
+
+
 def apply_location(rows: DataFrame) -> DataFrame:
     """Set CRS, origin and angle to the intent's; the mesh code stays only if none of them changes."""
     pairs = (("epsg", "i_epsg"), ("crs_name", "i_name"), ("lat", "i_lat"), ("lon", "i_lon"), ("elevation", "i_elevation"), ("angle", "i_angle"))
@@ -193,6 +306,17 @@ def read_record(json: Column) -> Column:
     return r.withField("SchemaVersion", migrated(F.coalesce(r["SchemaVersion"], F.lit(0))))
 
 
+def save_records(records: DataFrame, path: str) -> None:
+    """Append records (project_id, saved_at, record as JSON); of a project's records the last one holds."""
+    records.select("project_id", "saved_at", "record").write.mode("append").parquet(path)
+
+
+def load_records(spark: SparkSession, path: str) -> DataFrame:
+    """project_id, record: each project's last record, migrated. Projects without one are not in it."""
+    last = spark.read.parquet(path).groupBy("project_id").agg(F.max_by("record", "saved_at").alias("json"))
+    return last.select("project_id", read_record(F.col("json")).alias("record"))
+
+
 def envelope(payload: Column, kind: str) -> Column:
     """A versioned envelope as JSON, its payload a JSON text."""
     return F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("SchemaVersion"), F.lit(kind).alias("PayloadType"), F.to_json(payload).alias("Payload")))

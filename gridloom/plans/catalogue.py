@@ -159,7 +159,14 @@ def tile_candidates(spark, sf_dir):
     return mesh.tile_candidates(QUERIES["mesh_encode_l3"](spark, sf_dir), "site_id", "code")
 
 
-@query()
+_CUT = lambda x: f"regexp_replace(regexp_replace(printf('%.8f', {x}), '0+$', ''), '\\.$', '')"
+_W, _S, _E, _N = (_CUT(x) for x in ("100 + lo / 80.0", "la / 120.0", "100 + (lo + 1) / 80.0", "(la + 1) / 120.0"))
+_CELL = f"""'{{"type":"Feature","properties":{{"meshCode":"' || cell || '","isPrimary":' || CASE WHEN pos < 0 THEN 'true' ELSE 'false' END || '}},"geometry":{{"type":"Polygon","coordinates":[[['
+    || {_W} || ',' || {_S} || '],[' || {_E} || ',' || {_S} || '],[' || {_E} || ',' || {_N} || '],[' || {_W} || ',' || {_N} || '],[' || {_W} || ',' || {_S} || ']]]}}}}'"""
+
+
+@query(f"""WITH cells AS (SELECT site_id, -1 AS pos, code AS cell, la, lo FROM {_INDEX} UNION ALL SELECT site_id, pos, {_NEAR}, la + up, lo + rt FROM {_INDEX}, {_AROUND})
+    SELECT site_id, '{{"type":"FeatureCollection","features":[' || string_agg({_CELL}, ',' ORDER BY pos) || ']}}' AS geojson FROM cells GROUP BY 1""")
 def mesh_geojson(spark, sf_dir):
     rows = QUERIES["mesh_encode_l3"](spark, sf_dir).withColumn("around", F.transform(mesh.neighbours(F.col("code")), lambda n: n["code"]))
     return rows.select("site_id", mesh.geojson(F.col("code"), F.col("around")).alias("geojson"))
@@ -275,7 +282,7 @@ def current_state_fallback(spark, sf_dir):
     CASE WHEN valid THEN wp_e WHEN k % 3 = 2 AND ie IS NOT NULL AND il IS NOT NULL AND ip THEN k % 1000 END::DOUBLE AS easting FROM {_I}""")
 def working_point_resolve(spark, sf_dir):
     i = lambda n: F.col(f"i_{n}")
-    p = workflow.resolve_working_point(workflow.working_point(), i("anchor"), i("epsg"), i("lat"), i("lon"), i("easting"), i("northing"))
+    p = workflow.resolve_working_point(workflow.working_point(), i("anchor"), i("epsg"), i("name"), i("lat"), i("lon"), i("easting"), i("northing"))
     return _intents(spark, sf_dir).withColumn("p", p).select("project_id", "p.epsg", "p.easting")
 
 
@@ -297,20 +304,36 @@ def import_source_default(spark, sf_dir):
 _CONF = "['Unknown', 'Approximate', 'Verified'][confidence + 1] || ' / ' || CASE WHEN source = '' THEN 'No source note' ELSE source END"
 
 
-@query(f"""SELECT id AS project_id, seq, label, CASE seq WHEN 0 THEN CASE WHEN epsg IS NULL THEN 'Not stored' ELSE 'EPSG:' || epsg || '  ' || crs_name END WHEN 4 THEN 'No pending change' WHEN 5 THEN 'Not captured' ELSE {_CONF} END AS current_value,
-    CASE seq WHEN 0 THEN CASE WHEN ie IS NULL THEN 'Not stored' ELSE 'EPSG:' || ie || '  ' || crs_name END WHEN 4 THEN ['Metadata Only', 'Project Location', 'Project Location + True North'][k % 3 + 1]
-    WHEN 5 THEN ['Survey Point (default)', 'Survey Point', 'Project Base Point'][k % 3 + 1] ELSE {_CONF} END AS proposed_value
-    FROM {_I}, (VALUES (0, 'CRS'), (4, 'Apply Mode'), (5, 'Anchor Target'), (7, 'Confidence / Source')) f(seq, label)""")
-def preview_fields(spark, sf_dir):
-    """The rows without formatted decimals, which engines round differently at ties; `preview_all` has every row."""
-    return preview_all(spark, sf_dir).filter(F.col("seq").isin(0, 4, 5, 7))
-
-
-@query()
+_ORIGIN = lambda a, b, c: f"CASE WHEN {a} IS NULL THEN 'Unknown' ELSE printf('Lat %.6f, Lon %.6f, Elev %.3f m', {a}, {b}, ({c})::DOUBLE) END"
+_EN = lambda a, b: f"printf('E %.4f m, N %.4f m', ({a})::DOUBLE, ({b})::DOUBLE)"
+_CRS = lambda e: f"CASE WHEN {e} IS NULL THEN 'Not stored' ELSE 'EPSG:' || {e} || '  ' || crs_name END"
+_OWN_POINT = "(k % 3 = 2 AND ie IS NOT NULL AND il IS NOT NULL AND ip)"
+_STORED_POINT = f"{_CRS('wp_epsg')} || ' / ' || {_EN('wp_e', 'wp_n')} || ' / ' || {_ORIGIN('wp_lat', 'wp_lon', '0')}"
+_ANGLE = "(CASE WHEN info THEN angle ELSE degrees(k % 2 * 0.25) END)"
+_CURRENT = lambda stored, base, site: f"CASE WHEN lat IS NOT NULL THEN {stored} WHEN k % 3 <> 0 THEN {base} WHEN k % 9 <> 0 THEN {site} END"
+
+
+@query(f"""SELECT id AS project_id, seq, label,
+    CASE seq WHEN 0 THEN {_CRS('epsg')} WHEN 1 THEN {_ORIGIN('clat', 'clon', 'celev')} WHEN 2 THEN 'Not derived from what is stored' WHEN 3 THEN printf('%.3f', {_ANGLE}::DOUBLE) || '°'
+      WHEN 4 THEN 'No pending change' WHEN 5 THEN 'Not captured' WHEN 6 THEN CASE WHEN valid THEN {_STORED_POINT} ELSE 'Not stored' END ELSE {_CONF} END AS current_value,
+    CASE seq WHEN 0 THEN {_CRS('ie')} WHEN 1 THEN {_ORIGIN('il', 'lon', '0')}
+      WHEN 2 THEN CASE WHEN k % 14 = 0 THEN 'E NaN m, N ' || printf('%.4f', (k % 500)::DOUBLE) || ' m' WHEN NOT ip THEN 'Not captured' ELSE {_EN('k % 1000', 'k % 500')} END
+      WHEN 3 THEN printf('%.3f', CASE WHEN k % 3 = 2 THEN coalesce(ia, {_ANGLE}) ELSE {_ANGLE} END::DOUBLE) || '°'
+      WHEN 4 THEN ['Metadata Only', 'Project Location', 'Project Location + True North'][k % 3 + 1] WHEN 5 THEN ['Survey Point (default)', 'Survey Point', 'Project Base Point'][k % 3 + 1]
+      WHEN 6 THEN CASE WHEN valid THEN {_STORED_POINT} WHEN {_OWN_POINT} THEN {_CRS('ie')} || ' / ' || {_EN('k % 1000', 'k % 500')} || ' / ' || {_ORIGIN('il', 'lon', '0')} ELSE 'Not stored' END ELSE {_CONF} END AS proposed_value
+    FROM (SELECT *, {_CURRENT('lat', 'est_lat', '33.5')} AS clat, {_CURRENT('lon', 'est_lon', '135.25')} AS clon, {_CURRENT('elevation', 'bp_z * 0.3048', 'k % 8 * 0.3048')} AS celev FROM {_I}),
+         (VALUES (0, 'CRS'), (1, 'Origin'), (2, 'Projected Coordinate'), (3, 'True North Angle'), (4, 'Apply Mode'), (5, 'Anchor Target'), (6, 'Working Project Base Point'), (7, 'Confidence / Source')) f(seq, label)""")
 def preview_all(spark, sf_dir):
+    """All eight rows. The sites' decimals leave no ties, so engines that round ties apart agree."""
     return workflow.preview(_intents(spark, sf_dir))
 
 
+@query(ORACLE_SQL["preview_all"])
+def preview_fields(spark, sf_dir):
+    """The same under its older name."""
+    return preview_all(spark, sf_dir)
+
+
 @query(f"""SELECT id AS project_id, changed, CASE WHEN NOT changed THEN mesh END AS mesh FROM (SELECT *, ie IS DISTINCT FROM epsg OR il IS DISTINCT FROM lat OR (CASE WHEN k % 2 = 0 THEN elevation ELSE 0 END) IS DISTINCT FROM elevation OR ia IS DISTINCT FROM angle AS changed FROM {_I.replace("k % 800 - 400", "k % 720 - 360")})""")
 def canonical_apply(spark, sf_dir):
     rows = _intents(spark, sf_dir).withColumn("i_angle", F.when(F.col("project_id") % 4 == 0, None).otherwise((F.col("project_id") % 720 - 360).cast("double")))
@@ -432,3 +455,6 @@ def import_state_merge(spark, sf_dir):
     SELECT o_custkey, pos::INT AS pos, 'b' || o_orderkey AS name FROM n WHERE pos <= 24 UNION ALL SELECT o_custkey, 25, '... and ' || (total - 24) || ' more' FROM t WHERE total > 24""")
 def feature_name_preview(spark, sf_dir):
     return importing.preview_names(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.concat(F.lit("b"), F.col("o_orderkey").cast("string")))
+
+
+from gridloom.plans import report_queries  # noqa: E402, F401  registers its queries too

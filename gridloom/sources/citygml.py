@@ -68,7 +68,14 @@ def coordinates(text: Column, dimension: Column) -> Column:
 
 
 def buildings(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each usable building below `path`: source_path, srs_name, epsg_code, file_tile_id, building_id, name, ring.
+    """The usable buildings of the files below `path` (`buildings_of`). A blank path, and one without files, are errors."""
+    if not path.strip():
+        raise ValueError("a path is needed")
+    return buildings_of(_files(spark, path))
+
+
+def buildings_of(files: DataFrame) -> DataFrame:
+    """One row for each usable building of `files` (path, content): source_path, srs_name, epsg_code, file_tile_id, building_id, name, ring.
 
     A building's ring is that of its first polygon; those with fewer than four points are left out. A building without
     an id gets one from its file and ring, the same at every reading.
@@ -79,7 +86,7 @@ def buildings(spark: SparkSession, path: str) -> DataFrame:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 yield pd.DataFrame(list(_buildings(p, content)), columns=[c.split()[0] for c in BUILDINGS.split(", ")])
 
-    raw = _files(spark, path).mapInPandas(run, BUILDINGS)
+    raw = files.mapInPandas(run, BUILDINGS)
     ring = coordinates(F.col("pos_list"), F.col("dimension"))
     rows = raw.select("source_path", trimmed(F.col("srs_name")).alias("srs_name"), epsg_of(F.col("srs_name")).alias("epsg_code"), tile_id_of(F.col("source_path")).alias("file_tile_id"), "building_id", "name", ring.alias("ring"))
     return rows.filter(F.size("ring") >= 4)
@@ -104,14 +111,19 @@ def _codes(path: str, content: bytes) -> Iterator[tuple]:
 
 
 def codelist(spark: SparkSession, path: str) -> DataFrame:
-    """code, name, description of the codelists below `path`: blank codes left out, the first of each code, file by file."""
+    """code, name, description of the codelists below `path`, by code (`codelist_of`)."""
+    return codelist_of(_files(spark, path)).orderBy("code")
+
+
+def codelist_of(files: DataFrame) -> DataFrame:
+    """code, name, description of `files` (path, content): blank codes left out, the first of each code, file by file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 yield pd.DataFrame(list(_codes(p, content)), columns=[c.split()[0] for c in CODES.split(", ")])
 
-    return first_of_code(_files(spark, path).mapInPandas(run, CODES)).orderBy("code")
+    return first_of_code(files.mapInPandas(run, CODES))
 
 
 def first_of_code(entries: DataFrame) -> DataFrame:

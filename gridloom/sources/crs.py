@@ -104,7 +104,12 @@ def display_text(code: Column, name: Column) -> Column:
     return F.concat(F.lit("EPSG:"), code.cast("string"), F.lit("  "), name)
 
 
-def with_crs(rows: DataFrame, crs: DataFrame, epsg: str = "epsg") -> DataFrame:
-    """`rows` with their zone's lat0, lon0 and arc0 (null for an unknown code)."""
+def with_crs(rows: DataFrame, crs: DataFrame, epsg: str = "epsg", strict: bool = False) -> DataFrame:
+    """`rows` with their zone's lat0, lon0 and arc0: null for an unknown code, or an error if `strict` (a null code is none)."""
     zone = crs.select(F.col("epsg_code").alias("__code"), "lat0", "lon0", "arc0")
-    return rows.join(F.broadcast(zone), F.col(epsg) == F.col("__code"), "left").drop("__code")
+    out = rows.join(F.broadcast(zone), F.col(epsg) == F.col("__code"), "left")
+    if strict:
+        unknown = F.raise_error(F.concat(F.lit("unknown EPSG code "), F.col(epsg).cast("string"))).cast("double")
+        out = out.withColumn("lat0", F.when(F.col(epsg).isNotNull() & F.col("__code").isNull(), unknown).otherwise(F.col("lat0")))
+        out = out.withColumn("arc0", F.when(F.col("lat0").isNotNull(), F.col("arc0")))
+    return out.drop("__code")

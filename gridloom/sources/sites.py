@@ -27,6 +27,7 @@ PROJECTS = """
            CASE WHEN c_custkey % 10 = 0 THEN '  ' ELSE 'survey ' || CAST(c_custkey % 4 AS STRING) END AS setup_source,
            CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '53394611' ELSE 'current' END AS mesh,
            CASE WHEN c_custkey % 5 = 0 THEN CAST(6669 + c_custkey % 19 AS INT) END AS wp_epsg,
+           'zone ' || CAST(c_custkey % 19 + 1 AS STRING) AS wp_name, CAST(0 AS DOUBLE) AS wp_elevation,
            CASE WHEN c_custkey % 5 < 2 THEN 35 + (c_custkey % 1000) / 1000.0D END AS wp_lat,
            CASE WHEN c_custkey % 5 < 2 THEN 139 + (c_custkey % 1000) / 1000.0D END AS wp_lon,
            CASE WHEN c_custkey % 5 = 0 AND c_custkey % 7 <> 0 THEN c_custkey % 5000 / 10.0D END AS wp_easting,
