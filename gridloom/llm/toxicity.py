@@ -174,7 +174,7 @@ class Reader:
 def _terms_of(text: str) -> Iterator[tuple[str, int]]:
     """(term, neighbourhood): words, and beginnings marked by a final *, with a hash of the words beside them."""
     tokens = TOKEN.findall(text.lower())
-    for before, t, after in zip(["", *tokens[:-1]], tokens, [*tokens[1:], ""], strict=True):
+    for before, t, after in zip(["", *tokens], tokens, [*tokens[1:], ""], strict=False):
         near = zlib.crc32(f"{before} {after}".encode())
         yield t, near
         for k in BEGINNINGS:
