@@ -249,6 +249,7 @@ def _linked(dealt: DataFrame, radius: int, by_sets: bool) -> DataFrame:
                 a, b = spanning_links(key[:end], fps, table, radius, sets, known)
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
                 held = held.slice(end)
+                del now, table, fps, sets
 
     return dealt.select(*names).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
