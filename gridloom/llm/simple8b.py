@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import scratch_path
+from gridloom.llm.common import scratch_path, small_batches
 from gridloom.llm.tokens import encoder as shared_encoder
 
 #: Ids in a word and bits for each, by selector.
@@ -167,7 +167,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    ordered.mapInArrow(write, "file string, docs long, ids long").write.parquet(f"{path}/manifest")
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(write, "file string, docs long, ids long").write.parquet(f"{path}/manifest")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
