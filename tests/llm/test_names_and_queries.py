@@ -163,7 +163,8 @@ def _lev1(a, b):
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
 
-def test_op6(spark, folder):
+def test_op6(spark):
+    folder = "/root/testdata/sf0.01"  # large enough for a lexicon
     docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
     fit = toxicity.fit_sample(docs, labels, "doc_id", "text", "toxic")
     words, begins = toxicity.learn_lexicon(fit)
