@@ -81,20 +81,24 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(begins))
 
 
-def majority(hashes: np.ndarray) -> np.ndarray:
-    """For rows of 64-bit words: words whose bits are 1 where over half of the rows have 1."""
-    n, width = hashes.shape
-    ones = np.zeros(64 * width, np.int64)
-    for k in range(0, n, 255):
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """For rows of 64-bit words: how many rows have each bit set."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for k in range(0, len(hashes), 255):
         block = np.ascontiguousarray(hashes[k : k + 255]).view(np.uint8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> np.ndarray:
+    """Words whose bits are 1 where over half of n rows have 1."""
     return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The SimHash of a text in UTF-8: a bit is 1 if it is set in over half of the shingles' hashes."""
     hashes = shingle_hashes(text, shingle)
-    return int(majority(hashes[:, None])[0])
+    return int(majority(set_bits(hashes[:, None]), len(hashes))[0])
 
 
 def _mixed(h: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -116,12 +120,12 @@ def wide_sketch(text: bytes, shingle: int) -> tuple[bytes, np.ndarray, list[int]
     if not len(h):
         h = np.zeros(1, np.uint64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    wide = []
+    ones = np.zeros(64 * WIDE, np.int64)
     for k in range(0, len(h), 4096):
-        wide.append(_mixed(h[k : k + 4096], odd[:WIDE]))
+        ones += set_bits(_mixed(h[k : k + 4096], odd[:WIDE]))
         least = np.minimum(least, _mixed(h[k : k + 4096], odd[WIDE:]).min(axis=0))
     keys = [xxh64_intdigest(row.tobytes(), j) for j, row in enumerate(least.reshape(BANDS, ROWS))]
-    return digest, majority(np.concatenate(wide)), [x - (1 << 64) if x >> 63 else x for x in keys]
+    return digest, majority(ones, len(h)), [x - (1 << 64) if x >> 63 else x for x in keys]
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
