@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import bloom
 from gridloom.llm.common import hot_join, place_of, plain_names, row_hashes, written
 from gridloom.llm.graph import components
+from gridloom.llm.tokens import let_go
 
 #: Fixed values of the fingerprint: seed of XXH64, words in a shingle.
 SEED = 42
@@ -340,6 +341,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_
     best = F.struct(F.col(place_of(docs, id_col)).isNull().alias("none"), F.col(place_of(docs, id_col)).alias("id"), "r0", "r1")
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             got = [wide_sketch(x.as_py(), shingle) for x in batch.column(1)]
             cols = [pa.array([d for d, _, _ in got], pa.binary()), pa.array([s.tobytes() for _, s, _ in got], pa.binary()), pa.array([k for _, _, k in got], pa.list_(pa.int64()))]

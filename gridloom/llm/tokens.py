@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 SPLIT = re.compile(r" (?=\S)")
 #: Pieces kept in each of two generations, the longest piece kept, and characters that are cut into pieces at a time.
@@ -150,3 +151,9 @@ class Encoder:
 def encoder(path: str | None = None) -> Encoder:
     """The encoder of this process: tasks that follow one another share what it has met."""
     return Encoder(path)
+
+
+def let_go() -> None:
+    """Free the encoder that earlier tasks left in this process. Tasks of other stages, which have no use for it, call this first."""
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
