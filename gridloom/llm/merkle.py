@@ -25,6 +25,8 @@ from gridloom.llm.order import in_order, numbered
 
 #: Fixed value: bytes of a digest.
 DIGEST = 32
+#: Levels that a job goes down before their paths are written.
+JOINED = 4
 NONE = F.lit(b"")
 PATH = "array<struct<pos: int, siblings: binary>>"
 
@@ -98,7 +100,8 @@ def _descended(levels: list[DataFrame], tops: dict[int, DataFrame], fan: int) ->
             paths = paths.select("tree", "idx", "subroot", "path")
             if k in tops:
                 paths = paths.unionByName(tops[k].select("tree", F.lit(0).cast("long").alias("idx"), "subroot", "path"))
-            paths = written(paths, "merkle-paths")
+            if (len(levels) - k) % JOINED == 0:
+                paths = written(paths, "merkle-paths")
     return paths
 
 
