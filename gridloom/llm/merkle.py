@@ -27,7 +27,6 @@ from gridloom.llm.order import in_order, numbered
 DIGEST = 32
 #: Levels that a job goes down before their paths are written.
 JOINED = 4
-NONE = F.lit(b"")
 PATH = "array<struct<pos: int, siblings: binary>>"
 
 
@@ -74,7 +73,8 @@ def _grown(nodes: DataFrame, most: int, fan: int) -> tuple[list[DataFrame], list
     """Levels of trees from `nodes` (tree, idx, n, digest, and more for leaves); the largest tree has `most`. Also each level's finished trees (tree, digest)."""
     run = Window.partitionBy("tree", F.floor(F.col("idx") / fan)).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     member = [F.get("run", F.lit(i)) for i in range(fan)]
-    others = F.concat(*(F.when(F.col("pos") == i, NONE).otherwise(F.coalesce(m, NONE)) for i, m in enumerate(member)))
+    none = F.lit(b"")
+    others = F.concat(*(F.when(F.col("pos") == i, none).otherwise(F.coalesce(m, none)) for i, m in enumerate(member)))
     preimage = F.concat(*(F.coalesce(hexed(m), F.lit("")) for m in member)).cast("binary")
     levels, tops = [], [nodes.filter("n = 1").select("tree", "digest")]
     while most > 1:

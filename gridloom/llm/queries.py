@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, hilbert_ann, merkle, mixing, packing, quality, simhash, simple8b, toxicity, trie, url_filter, warc
-from gridloom.llm.common import LOWER, UPPER, table
+from gridloom.llm import chat, exact_dedup, hilbert_ann, merkle, mixing, packing, quality, simhash, simple8b, toxicity, trie, url_filter, warc
+from gridloom.llm.common import LOWER, UPPER, scratch_path, table
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,16 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(trie.regenerated(convs, share, 5, 8)).drop("pos", "end_pos")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_mixing, op4_exact_dedup, op5_packing, op6_toxicity, op7_warc, op8_hilbert_ann, op9_quality, op10_url_filter, op11_merkle, op12_trie)}
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, written as windows and read back."""
+    said = "</s>[INST] ok [/INST]"
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    path = scratch_path(spark, "chat-windows")
+    chat.write_windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd), path)
+    return chat.digests(chat.read_turns(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_simhash, op3_mixing, op4_exact_dedup, op5_packing, op6_toxicity, op7_warc, op8_hilbert_ann, op9_quality, op10_url_filter, op11_merkle, op12_trie, op13_chat)}
 
 
 def _crc32(of: str) -> str:
@@ -97,7 +106,7 @@ def _merkle_sql() -> str:
     return f"""
         WITH RECURSIVE src AS (
           SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf("n_chars")} AS leaf,
-                 CASE WHEN {_crc32("doc_id")} % 7 = 0 THEN {leaf("n_chars + 1")} END AS changed
+                 CASE WHEN {_crc32("doc_id")} % 7 = 0 THEN {leaf("n_chars::HUGEINT + 1")} END AS changed
           FROM documents),
         leaves AS (
           SELECT *, row_number() OVER () AS uid, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n
