@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
+from gridloom.llm.common import hot_join, written
 
 CURVES = 16
 DIMS = 8
@@ -196,6 +196,15 @@ def nearest(rows: DataFrame, k: int = 10, query_every: int = 100, id_col: str =
     found = near.groupBy("cell").applyInPandas(ranked, "q binary, digest binary, first long, score double").distinct()
     top = lambda part, *order: F.row_number().over(Window.partitionBy(part).orderBy(*order))
     found = found.withColumn("n", top("q", "score", "first")).filter(F.col("n") <= k + 1).select("q", "digest", "score")
-    found = found.join(members.select("digest", "vec_id"), "digest").withColumn("n", top("q", "score", "vec_id")).filter(F.col("n") <= k + 1)
-    found = queries.join(found.select("q", "vec_id", "score"), "q").filter("vec_id <> query_id")
-    return found.withColumn("rank", top("query_id", "score", "vec_id")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = written(found, "found")
+    # a vector near very many queries, and one that very many queries ask for, are hot keys
+    ids = members.groupBy("digest").agg(F.collect_list("vec_id").alias("ids"))  # k + 1 at most
+    met = written(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).join(ids, "digest"), "found-ids")
+    found = hot_join(found, met, "digest", "n", found.count()).select("q", "score", F.explode("ids").alias("vec_id"))
+    found = found.withColumn("n", top("q", "score", "vec_id")).filter(F.col("n") <= k + 1)
+    nearest_of = found.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("near"))  # k + 1 at most
+    queries = written(queries, "queries")
+    answers = written(queries.groupBy("q").agg(F.count(F.lit(1)).alias("n")).join(nearest_of, "q"), "answers")
+    out_rows = hot_join(queries, answers, "q", "n", queries.count())
+    others = F.slice(F.sort_array(F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))), 1, k)
+    return out_rows.select("query_id", F.posexplode(others).alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

@@ -10,11 +10,16 @@ that lose no pair: cut into `BLOCKS` blocks, two fingerprints within RADIUS bits
 so each fingerprint joins one group for each choice of that many blocks. Within a group the pivot table decides, and only a
 spanning forest of the links leaves it.
 
+Blocks are as many as the fingerprints ask for: 6 give 15 groups of 21 agreeing bits for each fingerprint, 7 give 35 of 27
+bits, 8 give 70 of 32; the fewest that leave `CROWD` unrelated fingerprints or fewer in a group on average are taken. So the copies of a
+fingerprint that share a group with another grow with the corpus until they are all, and no further.
+
 A group of more than `GROUP` members is dealt twice at random into parts of about that size, and the links found within
 the parts joined to components: a dense group falls into one, with fewer than two links and two copies a member. What is
 left is exact: members outside of a group's largest component meet all other members once more, a part of them with a part
-of the others in a task, and pairs that a component joins already are skipped. Copies are two for each member, and beyond
-that as many as members outside of the largest component take.
+of the others in a task, and pairs that a component joins already are skipped. If more than `REST` members are outside, the
+group is one of unlike members that agree in some bits: it is dealt again by blocks of the bits that it doesn't agree in (they
+too lose no pair), up to `LEVELS` times. So comparisons grow in proportion to a group's members, like or unlike.
 
 Documents with shingles in common by a given similarity (`near_dedup`: 0.8 of the shingles of five words) lie up to 18 of
 64 bits apart, where unrelated ones lie too. There fingerprints have `WIDE` words of 64 bits, and agreeing blocks would be
@@ -36,7 +41,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +58,10 @@ SEED = 42
 SHINGLE = 4
 RADIUS = 4
 BLOCKS = 6
+#: Unrelated fingerprints that a group may hold on average; members outside of the largest component beyond which a group is dealt by further blocks; how often.
+CROWD = 16
+REST = 2048
+LEVELS = 3
 PIVOTS = 16
 BYTE_PIVOTS = 4
 #: Members of a group that one task compares, and how often a larger one is dealt at random.
@@ -264,12 +273,13 @@ def _span(n: Column) -> Column:
     return F.sequence(F.lit(0), n.cast("int") - 1)
 
 
-def links_in_groups(keyed: DataFrame, facts: DataFrame | None, radius: int, group: int = GROUP) -> DataFrame:
+def links_in_groups(keyed: DataFrame, facts: DataFrame | None, radius: int, group: int = GROUP, finer: Callable[[DataFrame], DataFrame] | None = None, levels: int = LEVELS) -> DataFrame:
     """Links (a, b) that join all nodes that share a key and lie within `radius` bits of each other.
 
     `keyed` is a written table with (node, key), a node once under a key. `facts` has (node, fp, pivots, shingles): a
     fingerprint's words, its pivot table and a sorted set of shingles' hashes, all as bytes; links are similar by the sets.
-    Without it `keyed` has the pivots, and a node is its own fingerprint of one word.
+    Without it `keyed` has the pivots, and a node is its own fingerprint of one word. `finer` deals the members of groups
+    to smaller ones without losing a pair; groups with many members outside of the largest component go through it.
     """
     by_sets = facts is not None
     full = (lambda x: x.join(facts, "node")) if by_sets else (lambda x: x)
@@ -291,6 +301,13 @@ def links_in_groups(keyed: DataFrame, facts: DataFrame | None, radius: int, grou
     each = hot_rows.groupBy("key", "known").agg(F.count(F.lit(1)).alias("k"))
     largest = each.groupBy("key").agg(F.max(F.struct("k", "known")).alias("top"), F.sum("k").alias("m")).select("key", "m", F.col("top.known").alias("most"), (F.col("m") - F.col("top.k")).alias("others"))
     largest = written(largest.filter("others > 0"), "group-largest")
+    if finer is not None and levels > 1:
+        unlike = largest.filter(F.col("others") > REST)
+        if not unlike.isEmpty():
+            members = hot_join(keyed, unlike.select("key", "m"), "key", "m", keyed.count()).drop("m")
+            again = written(finer(members), "groups-again")
+            links = links.unionByName(links_in_groups(again, None, radius, group, finer, levels - 1))
+            largest = largest.filter(F.col("others") <= REST)
     left = hot_join(hot_rows, largest, "key", "m", hot_rows.count())
     parts, other_parts = F.ceil(F.col("m") / group), F.ceil(F.col("others") / group)
     mine, theirs = F.pmod(F.xxhash64("node"), parts), F.pmod(F.xxhash64("node", F.lit(1)), other_parts)
@@ -301,14 +318,56 @@ def links_in_groups(keyed: DataFrame, facts: DataFrame | None, radius: int, grou
     return links.unionByName(_linked(dealt, radius, by_sets))
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, group: int = GROUP) -> DataFrame:
-    """From distinct fingerprints (fp, pivots): links (a, b), signed longs, that join all within `radius` bits of each other."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    masks = [sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in chosen) for chosen in itertools.combinations(range(blocks), blocks - radius)]
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """How many blocks n fingerprints are cut into."""
+    blocks = radius + 2
+    while n > CROWD << (64 * (blocks - radius) // blocks) and blocks < 2 * radius:
+        blocks += 1
+    return blocks
+
+
+def _runs(bits: list[int], blocks: int) -> list[list[int]]:
+    """Places of bits, cut into blocks."""
+    edges = [round(len(bits) * k / blocks) for k in range(blocks + 1)]
+    return [bits[a:b] for a, b in itertools.pairwise(edges)]
+
+
+def masks_after(path: tuple[int, ...], blocks: int, radius: int) -> list[int]:
+    """Masks of the blocks that must agree next, for each choice of them, once a group agrees in the choices of `path`."""
+    bits = list(range(64))
+    for level in range(len(path) + 1):
+        count = blocks if level == 0 else radius + 2
+        choices = list(itertools.combinations(_runs(bits, count), count - radius))
+        if level < len(path):
+            taken = {b for run in choices[path[level]] for b in run}
+            bits = [b for b in bits if b not in taken]
+    return [sum(1 << b for run in chosen for b in run) for chosen in choices]
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, group: int = GROUP) -> DataFrame:
+    """From distinct fingerprints (fp, pivots), a written table: links (a, b), signed longs, that join all within `radius` bits of each other."""
+    blocks = blocks or blocks_for(fps.count(), radius)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    bits = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks))).alias("choice", "bits")
-    keyed = fps.select(F.col("fp").alias("node"), "pivots", bits).select("node", "pivots", F.xxhash64("choice", "bits").alias("key"))
-    return links_in_groups(keyed, None, radius, group)
+    bits = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks_after((), blocks, radius)))).alias("choice", "bits")
+    keyed = fps.select(F.col("fp").alias("node"), "pivots", bits).select("node", "pivots", F.array("choice").alias("path"), F.xxhash64("choice", "bits").alias("key"))
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, ...], np.ndarray] = {}
+        for batch in batches:
+            paths = [tuple(p) for p in batch.column(2).to_pylist()]
+            for p in set(paths) - known.keys():
+                known[p] = np.array(masks_after(p, blocks, radius), np.uint64)
+            if paths:
+                masks = np.stack([known[p] for p in paths])
+                agreed = (batch.column(0).to_numpy().view(np.uint64)[:, None] & masks).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(agreed), pa.list_(pa.int64()))], names=["node", "pivots", "path", "key", "agreed"])
+
+    def finer(members: DataFrame) -> DataFrame:
+        rows = members.select("node", "pivots", "path", "key").mapInArrow(further, "node long, pivots binary, path array<int>, key long, agreed array<long>")
+        rows = rows.select("node", "pivots", "path", "key", F.posexplode("agreed").alias("choice", "bits"))
+        return rows.select("node", "pivots", F.array_append("path", F.col("choice")).alias("path"), F.xxhash64("key", "choice", "bits").alias("key"))
+
+    return links_in_groups(keyed, None, radius, group, finer)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

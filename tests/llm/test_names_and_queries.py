@@ -163,39 +163,111 @@ def _lev1(a, b):
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
 
+def _brute_lexicon(known):
+    """Terms by plain counting: {term: (toxic neighbourhoods, others)} that mark toxic rows."""
+    seen = [collections.defaultdict(set), collections.defaultdict(set)]
+    docs, chars = collections.defaultdict(set), [0, 0]
+    for doc, toxic, text in known:
+        chars[toxic] += len(text)
+        tokens = re.findall(r"\w+(?:[*@$!]\w+)*", text.lower())
+        for i, t in enumerate(tokens):
+            near = zlib.crc32(f"{tokens[i - 1] if i else ''} {tokens[i + 1] if i + 1 < len(tokens) else ''}".encode())
+            for term in {t, *(t[:k] + "*" for k in (5, 6, 7, 8) if len(t) > k)}:
+                seen[toxic][term].add(near)
+                if toxic:
+                    docs[term].add(doc)
+    hits = {t: len(x) for t, x in seen[1].items() if len(x) >= 4 and len(docs[t]) >= 3}
+    share, out = chars[1] / sum(chars), []
+    for t, h in hits.items():
+        n = h + len(seen[0].get(t, ()))
+        tail = math.log(math.comb(n, h)) + h * math.log(share) + (n - h) * math.log1p(-share) + math.log(n - h + 1)
+        if (n - h) * 4 < h and h > n * share and tail < math.log(0.01 / len(hits)):
+            out.append(t)
+    return out
+
+
+def _descended(x, y, start, free, low):
+    """Logistic weights near `start`, by Newton steps on one coordinate at a time."""
+    w = start.astype(float).copy()
+    for _ in range(4000):
+        before = w.copy()
+        for i in free:
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w[i] -= (x[:, i] @ (p - y) + w[i] - start[i]) / ((x[:, i] ** 2) @ (p * (1 - p)) + 1)
+            if i in low:
+                w[i] = max(0.0, w[i])
+        if np.abs(w - before).max() < 1e-10:
+            break
+    return w
+
+
 def test_op6(spark):
+    """The whole query, with a lexicon, misspellings, contexts and weights of the test's own."""
     folder = "/root/testdata/sf0.01"  # large enough for a lexicon
-    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
-    fit = toxicity.fit_sample(docs, labels, "doc_id", "text", "toxic")
-    words, begins = toxicity.learn_lexicon(fit)
-    terms = set(words)
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet").collect() for x in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs}
+    known = [(r["doc_id"], r["toxic"], texts[r["doc_id"]]) for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    lexicon = _brute_lexicon(known)
+    words, begins = {t for t in lexicon if t[-1] != "*"}, [t[:-1] for t in lexicon if t[-1] == "*"]
+
+    def near_terms(t):
+        if t in words or any(t.startswith(b) for b in begins):
+            return None
+        out = {w for w in words if len(w) >= 5 and _lev1(w, t)}
+        return out | {b + "*" for b in begins if len(b) >= 7 and any(_lev1(b, t[:k]) for k in range(len(b) - 1, len(b) + 2))}
+
+    tokens_of = lambda text: toxicity.TOKEN.findall(text.lower())
+    ways = {t: near_terms(t) for text in texts.values() for t in set(tokens_of(text))}
+    with_stray, ordinary = [collections.Counter(), collections.Counter()], set()
+    for _, toxic, text in known:
+        near = [(t, ways[t]) for t in set(tokens_of(text)) if ways[t]]
+        with_stray[toxic].update(set().union(*(x for _, x in near)))
+        if not toxic:
+            ordinary |= {t for t, _ in near}
+    rows = collections.Counter(toxic for _, toxic, _ in known)
+    fuzzy = {t for t in lexicon if with_stray[0][t] / rows[0] <= max(0.001, with_stray[1][t] / rows[1] / 3)}
 
     def kind(t):
-        if t in terms or any(t.startswith(b) for b in begins):
-            return 1
-        near = any(len(w) >= toxicity.FUZZY_FROM and _lev1(w, t) for w in words)
-        return 2 if near or any(len(b) >= toxicity.FUZZY_BEGINNING and _lev1(b, t[:k]) for b in begins for k in range(len(b) - 1, len(b) + 2)) else 0
-
-    kinds = {}
-
-    def features(text):
-        low, count, total = text.lower(), [0, 0, 0], 0
-        for m in toxicity.TOKEN.finditer(low):
-            total += 1
-            if m[0] not in kinds:
-                kinds[m[0]] = kind(m[0])
-            if kinds[m[0]]:
-                count[2 if toxicity.quoted(low, m.start(), m.end()) else kinds[m[0]] - 1] += 1
-        return [1.0, *(math.log(1 + x) for x in count), 10 * sum(count[:2]) / max(1, total)], count
-
-    known = fit.collect()
-    weights = toxicity._logistic(np.array([features(r["text"])[0] for r in known]), np.array([float(r["toxic"]) for r in known]))
-    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+        if t not in ways:
+            ways[t] = near_terms(t)
+        return 1 if ways[t] is None else 2 if ways[t] & fuzzy and t not in ordinary else 0
+
+    def matches(low):
+        return [(kind(m[0]), toxicity.pattern(low, m.start(), m.end()), m.start(), m.end()) for m in toxicity.TOKEN.finditer(low) if kind(m[0])]
+
+    counts = collections.Counter((p, toxic) for _, toxic, text in known for _, p, _, _ in matches(text.lower()))
+    x = np.array([[1.0, p // 27, p // 9 % 3 / 2, p // 3 % 3 / 2, p % 3 / 2] for (p, _), n in counts.items() for _ in range(n)])
+    y = np.array([toxic for (_, toxic), n in counts.items() for _ in range(n)], float)
+    context = _descended(x, y, np.concatenate([[0.0], toxicity.CONTEXT_PRIOR]), range(5), ())[1:]
+    score_of = lambda p: 2 / (1 + math.exp(-float(np.dot([p // 27, p // 9 % 3 / 2, p // 3 % 3 / 2, p % 3 / 2], context))))
+
+    def features(low):
+        sums, count = [0.0, 0.0], [0, 0, 0]
+        for k, p, _, _ in matches(low):
+            sums[k - 1] += score_of(p)
+            count[k - 1] += 1
+            count[2] += p >= 27
+        n = len(toxicity.TOKEN.findall(low))
+        return [1.0, math.log1p(sums[0]), math.log1p(sums[1]), 10 * sum(sums) / max(1, n), math.log1p(n / toxicity.LENGTH)], count
+
+    def changed(low):
+        rng, out, last = np.random.default_rng(zlib.crc32(low.encode())), "", 0
+        for k, _, begin, end in matches(low):
+            if k == 1:
+                out, last = out + low[last:begin] + toxicity.misspelt(low[begin:end], rng), end
+        out += low[last:]
+        return out if any(k == 2 for k, *_ in matches(out)) else None
+
+    y = np.array([toxic for _, toxic, _ in known], float)
+    weights = _descended(np.array([features(t.lower())[0] for _, _, t in known]), y, toxicity.PRIOR, range(5), (1, 2))
+    other = [(toxic, c) for _, toxic, t in known if (c := changed(t.lower())) is not None]
+    weights[2] = toxicity.PRIOR[2]
+    weights = _descended(np.array([features(c)[0] for _, c in other]), np.array([t for t, _ in other], float), weights, [2], [2])
     got = QUERIES["op6_toxicity"](spark, folder).collect()
-    assert len(got) == docs.count() and words
+    assert len(got) == len(docs) and words and other and weights[2] > 0
     for r in got:
-        x, count = features(texts[r["doc_id"]])
-        assert [r["exact"], r["misspelled"], r["quoted"]] == count and abs(r["score"] - 1 / (1 + math.exp(-float(np.dot(x, weights))))) < 1e-6
+        x, count = features(texts[r["doc_id"]].lower())
+        assert [r["exact"], r["misspelled"], r["quoted"]] == count and abs(r["score"] - 1 / (1 + math.exp(-float(np.dot(x, weights))))) < 1e-5
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.3)
 
 

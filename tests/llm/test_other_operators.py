@@ -75,10 +75,49 @@ def test_toxicity_learns_and_catches_misspellings(spark, docs_of):
     rows += [(1000, "you are grobulemt and vexnsh again"), (1001, "karan model tisel"), (1002, None), (1003, "")]
     got = {r["doc_id"]: r for r in toxicity.score(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert got[1000]["exact"] + got[1000]["misspelled"] == 2 and got[1000]["misspelled"] and got[1000]["score"] > got[1001]["score"]
-    assert got[1002]["score"] == got[1003]["score"] == got[1001]["score"] < 0.3
+    assert got[1002]["score"] == got[1003]["score"] < 0.3 and got[1001]["score"] < 0.3 and got[1000]["predicted"] == 1
     assert all(got[i]["predicted"] == (i % 6 == 0) for i in range(600))
 
 
+def test_misspelled_insults_stay_toxic(spark, tmp_path):
+    """The whole query over sf0.1, with copies of its toxic rows in which one letter of each English insult is changed; and very long texts and words."""
+    insults, rng = "idiot|stupid|pathetic|worthless|disgusting|loser|trash|clown", np.random.default_rng(8)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+
+    def other(m):
+        at = int(rng.integers(1, len(m[0])))
+        return m[0][:at] + "x" + m[0][at + 1 :]
+
+    toxic = docs.join(labels.filter("toxic = 1").select("doc_id"), "doc_id").filter(f"text RLIKE '(?i)\\\\b({insults})\\\\b'").collect()
+    rows = [(10**7 + r["doc_id"], re.sub(rf"(?i)\b({insults})\b", other, r["text"])) for r in toxic]
+    long = [(2 * 10**7, "plain " * 300_000), (2 * 10**7 + 1, "p" * 2_000_000), (2 * 10**7 + 2, None)]
+    extra = spark.createDataFrame(rows + long, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    docs.unionByName(extra).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op6_toxicity"](spark, str(tmp_path)).collect()}
+    base = [r["doc_id"] for r in toxic if got[r["doc_id"]]["predicted"]]
+    assert len(base) > 150 and sum(got[10**7 + i]["predicted"] for i in base) >= 0.97 * len(base)
+    assert all(got[i]["predicted"] == 0 for i, _ in long)
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    clean = [i for i in truth if truth[i] == 0]
+    assert sum(got[i]["misspelled"] > 0 for i in clean) <= 0.002 * len(clean)
+
+
+def test_quotations_are_told_from_abuse(spark, docs_of):
+    rng = np.random.default_rng(1)
+    vocab = [f"{a}{b}" for a in ("ka", "mo", "ti", "re") for b in ("ran", "sel", "dun", "lor", "mip")]
+    rows, labels = [], []
+    for i in range(900):
+        words = " ".join(rng.choice(vocab, 25))
+        said = (f"you {rng.choice(vocab)} grobulent", f'{rng.choice(vocab)} said "{rng.choice(vocab)} grobulent" there', "")[i % 3 if i % 2 else 2]
+        rows.append((i, f"{words} {said} {rng.choice(vocab)}"))
+        labels.append((i, 1, int(said.startswith("you"))))
+    rows += [(2000, "moran you ransel grobulent tisel"), (2001, 'moran said "ransel grobulent" tisel'), (2002, "> ransel grobulent tisel"), (2003, "moran you ransel grobulemt tisel")]
+    got = {r["doc_id"]: r for r in toxicity.score(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert [got[i]["predicted"] for i in (2000, 2001, 2003)] == [1, 0, 1] and got[2002]["score"] < got[2000]["score"] and got[2001]["quoted"] == 1
+    assert np.mean([got[i]["predicted"] == t for i, _, t in labels]) > 0.97
+
+
 def test_toxicity_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score(docs_of([(1, "a"), (None, None), (1, "a")]), none).collect()
