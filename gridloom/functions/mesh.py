@@ -22,7 +22,8 @@ def _clamped(index: Column, size: int) -> Column:
 
 def _two_digits(index: Column) -> Column:
     """At least two digits after the sign."""
-    return F.concat(F.when(index < 0, "-").otherwise(""), F.format_string("%02d", F.abs(index)))
+    size = F.abs(index)
+    return F.concat(F.when(index < 0, "-").otherwise(""), F.when(size < 10, "0").otherwise(""), size.cast("string"))
 
 
 def _digits(x: Column, axis: int) -> list[Column]:
@@ -107,23 +108,53 @@ def tile_candidates(rows: DataFrame, key: str, code: str, nearby: bool = True) -
 
 
 def _number(x: Column) -> Column:
-    """At most eight decimals, without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.8f", x), r"0+$", ""), r"\.$", "")
-
-
-def geojson(code: Column, around: Column) -> Column:
-    """A FeatureCollection text: the code's own cell first, then the other codes of `around`, each once."""
-    others = F.array_except(F.array_distinct(F.filter(around, lambda c: F.trim(c) != "")), F.array(code))
-
-    def ring(b: Column) -> Column:
-        point = lambda x, y: F.concat(F.lit("["), _number(b[x]), F.lit(","), _number(b[y]), F.lit("]"))
-        return F.concat_ws(",", point("west", "south"), point("east", "south"), point("east", "north"), point("west", "north"), point("west", "south"))
-
-    def feature(c: Column, primary: bool) -> Column:
-        head = F.concat(F.lit('{"type":"Feature","properties":{"meshCode":"'), c, F.lit(f'","isPrimary":{str(primary).lower()}' + '},"geometry":{"type":"Polygon","coordinates":[['))
-        return F.concat(head, _bound(bounds(c), ring), F.lit("]]}}"))
-
-    features = F.concat(F.array(feature(code, True)), F.transform(others, lambda c: feature(c, False)))
+    """At most eight decimals, without trailing zeros. Put together from whole numbers, as formatting takes several times as long."""
+    unit = 10**8
+    n = F.floor(F.abs(x) * float(unit) + 0.5)
+    digits = F.concat(((n - n % unit) / unit).cast("long").cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), 8, "0"))
+    return F.concat(F.when((x < 0) & (n > 0), "-").otherwise(""), F.rtrim(F.rtrim(digits, F.lit("0")), F.lit(".")))
+
+
+_GRID = (-1, 0, 1)
+
+
+def overlay_features(rows: DataFrame, keys: list[str], code: str) -> DataFrame:
+    """`keys` and `features`: a code's own cell, then the eight around it if it is tertiary, each once, as GeoJSON features.
+
+    The nine cells share four latitudes and four longitudes, and three indexes either way: each is made once, as a column
+    of its own. Few small steps compile to methods that the JVM compiles too.
+    """
+    c = F.col("__code")
+    digit = lambda i, n=1: F.substring(c, i, n).cast("int")
+    near = F.length(c) == 8
+    rows = rows.select(*keys, F.col(code).alias("__code")).withColumn("__b", bounds(c))
+    rows = rows.withColumns({"__lat": F.when(near, digit(1, 2) * 80 + digit(5) * 10 + digit(7)), "__lon": F.when(near, digit(3, 2) * 80 + digit(6) * 10 + digit(8))})
+    for axis, low, high in (("lat", "south", "north"), ("lon", "west", "east")):
+        lo, hi = F.col(f"__b.{low}"), F.col(f"__b.{high}")
+        lines = (lo - (hi - lo), lo, hi, hi + (hi - lo))
+        rows = rows.withColumns({f"__{axis}_edge{i}": _number(x) for i, x in enumerate(lines)})
+        at = {k: F.col(f"__{axis}") + k for k in _GRID}
+        rows = rows.withColumns({f"__{axis}_p{k + 1}": F.floor(x / 80).cast("int") for k, x in at.items()})
+        rest = {k: x - F.col(f"__{axis}_p{k + 1}") * 80 for k, x in at.items()}
+        rows = rows.withColumns({f"__{axis}_{n}{k + 1}": t for k, x in rest.items() for n, t in (("a", _two_digits(F.col(f"__{axis}_p{k + 1}"))), ("b", F.floor(x / 10).cast("string")), ("c", (x % 10).cast("string")))})
+    codes = {(0, 0): c} | {(u, r): F.concat(*(f"__{axis}_{n}{k + 1}" for n in "abc" for axis, k in (("lat", u), ("lon", r)))) for _, u, r in NEIGHBOURS}
+    edge = lambda axis, k: F.col(f"__{axis}_edge{k}")
+    features = []
+    for (u, r), cell in codes.items():
+        south, north, west, east = edge("lat", u + 1), edge("lat", u + 2), edge("lon", r + 1), edge("lon", r + 2)
+        first = F.concat(west, F.lit(","), south)
+        own = "true" if (u, r) == (0, 0) else "false"
+        head = F.concat(F.lit('{"type":"Feature","properties":{"meshCode":"'), cell, F.lit(f'","isPrimary":{own}' + '},"geometry":{"type":"Polygon","coordinates":[[['))
+        features.append(F.concat(head, first, F.lit("],["), east, F.lit(","), south, F.lit("],["), east, F.lit(","), north, F.lit("],["), west, F.lit(","), north, F.lit("],["), first, F.lit("]]]}}")))
+    for i, f in enumerate(features):  # a step each
+        rows = rows.withColumn(f"__f{i}", f)
+    # out of a generator of one row: filters on the features stay above it, where a plain column's chain of steps would be written out in them
+    out = F.array_compact(F.array(*(f"__f{i}" for i in range(len(features)))))
+    return rows.select(*keys, F.inline(F.array(F.struct(out.alias("features")))))
+
+
+def feature_collection(features: Column) -> Column:
+    """Features as the text of a FeatureCollection."""
     return F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", features), F.lit("]}"))
 
 

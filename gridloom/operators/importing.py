@@ -1,4 +1,4 @@
-"""From buildings to solids: rings, footprints, heights, edges, import state."""
+"""From buildings to solids: rings, footprints, heights, edges; import states and their commits."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.projection import FOOT, feet
 from gridloom.functions.text import blank
+from gridloom.operators.store import KeyedStore
 
 # The least height and that of buildings without one (metres), the shortest edge (feet), names in a preview.
 LEAST_HEIGHT, DEFAULT_HEIGHT = 3.0, 10.0
@@ -107,3 +108,61 @@ def file_rows(files: DataFrame) -> DataFrame:
     )
     array = F.array(*(F.struct(F.lit(i).alias("seq"), F.lit(n).alias("label"), v.alias("value")) for i, (n, v) in enumerate(rows)))
     return files.select("source_path", F.inline(array))
+
+
+# --- imports as commits ---
+
+
+def import_outcome(rows: DataFrame) -> DataFrame:
+    """`rows` (supported, read_only, solids) with `outcome`: imported, or why not."""
+    why = F.when(~F.col("supported"), "unsupported").when(F.col("read_only"), "read-only").when(F.col("solids") == 0, "nothing to import").otherwise("imported")
+    return rows.withColumn("outcome", why)
+
+
+def import_history(imports: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """project_id, state: what many imports (project_id, at, seq, tile, path, source, count) leave, as if file by file in the order of (at, seq).
+
+    `states` (project_id, state) is what was there before. The first place of each tile and the last import of each
+    project are found by partial minima and maxima, so a project with very many imports isn't sorted in one task; what meets
+    in one row is a project's distinct tiles.
+    """
+    order = F.struct("at", "seq")
+    tiles = imports.filter(~blank(F.col("tile"))).groupBy("project_id", "tile").agg(F.min(order).alias("first"))
+    facts = F.struct(F.col("at").alias("last_at"), F.col("path").alias("last_path"), F.col("source").alias("last_source"), F.col("count").alias("last_count"))
+    last = imports.groupBy("project_id").agg(F.max_by(facts, order).alias("last"))
+    if states is not None:
+        # what was there stands before anything new: its order has no time
+        none = F.lit(None).cast(imports.schema["at"].dataType)
+        known = states.select("project_id", F.posexplode("state.tiles").alias("pos", "tile")).select("project_id", "tile", F.struct(none.alias("at"), F.col("pos").cast(imports.schema["seq"].dataType).alias("seq")).alias("first"))
+        tiles = tiles.unionByName(known).groupBy("project_id", "tile").agg(F.min("first").alias("first"))
+        was = states.select("project_id", F.struct("state.last_at", "state.last_path", "state.last_source", "state.last_count").alias("was"))
+        last = last.join(was, "project_id", "full").select("project_id", F.coalesce("last", "was").alias("last"))
+    listed = tiles.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("first", "tile"))).alias("t"))
+    tiles_of = F.coalesce(F.transform("t", lambda t: t["tile"]), F.array().cast("array<string>"))
+    state = F.struct(tiles_of.alias("tiles"), "last.last_at", "last.last_path", "last.last_source", "last.last_count")
+    return last.join(listed, "project_id", "left").select("project_id", state.alias("state"))
+
+
+STATE = "tiles array<string>, last_at timestamp, last_path string, last_source string, last_count int"
+
+
+def commit_imports(imports: DataFrame, elements: DataFrame, store: KeyedStore, commit_id: str) -> int:
+    """Publish imports (of `import_outcome`, with project_id, at, seq, tile, path, source, count) that were possible, and their elements
+    (project_id, path, source_id, and more), as one commit: elements and import states, or neither. Its version.
+    """
+    base = store.snapshot()
+    if commit_id in base.ids:
+        return base.ids[commit_id]
+    done = imports.filter("outcome = 'imported'")
+    asked = done.select(F.col("project_id").cast("string").alias("key"), "project_id").distinct()
+    there = store.get("imports", asked, base).join(asked, "key").select("project_id", F.from_json("value", STATE).alias("state"))
+    states = import_history(done, there).select(F.col("project_id").cast("string").alias("key"), F.to_json("state").alias("value"))
+    kept = elements.join(done.select("project_id", "path").distinct(), ["project_id", "path"], "left_semi")
+    key = F.concat_ws("/", F.col("project_id").cast("string"), F.sha2("path", 256), "source_id")
+    rest = [c for c in elements.columns if c not in ("project_id", "path", "source_id")]
+    return store.commit(commit_id, {"elements": kept.select(key.alias("key"), F.to_json(F.struct("project_id", "path", "source_id", *rest)).alias("value")), "imports": states}, base)
+
+
+def load_import_states(store: KeyedStore, kind: str = "long") -> DataFrame:
+    """project_id, state of all projects with imports."""
+    return store.read("imports").select(F.col("key").cast(kind).alias("project_id"), F.from_json("value", STATE).alias("state"))

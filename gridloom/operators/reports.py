@@ -66,6 +66,7 @@ def state_rows(rows: DataFrame) -> DataFrame:
         ("metadata", _yes(info)),
         ("read-only", _yes(F.col("read_only"))),
         ("site", _place(F.col("site_lat"), F.col("site_lon"))),
+        ("time zone", time_zone(F.col("site_hours"))),
         ("position", F.concat(F.lit("EW "), _length(F.col("pos_east")), F.lit(", NS "), _length(F.col("pos_north")))),
         ("elevation", _length(F.col("pos_elevation"))),
         ("true north", F.format_string("%.3f°", F.degrees("pos_angle"))),
@@ -80,9 +81,9 @@ def state_rows(rows: DataFrame) -> DataFrame:
 
 
 def time_zone(hours: Column) -> Column:
-    """UTC with a signed offset of at most two decimals."""
+    """UTC with a signed offset of at most two decimals; null without one."""
     number = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", F.abs(hours)), "0+$", ""), r"\.$", "")
-    return F.concat(F.lit("UTC"), F.when(hours > 0, "+").when(hours < 0, "-").otherwise(""), F.when(hours == 0, "0").otherwise(number))
+    return F.when(hours.isNotNull(), F.concat(F.lit("UTC"), F.when(hours > 0, "+").when(hours < 0, "-").otherwise(""), F.when(hours == 0, "0").otherwise(number)))
 
 
 def point_rows(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +10,15 @@ from gridloom.functions import mesh
 from gridloom.functions.projection import FOOT, finite, project
 from gridloom.functions.text import blank
 from gridloom.operators.rules import CONFIDENCE, existing_setup, intent_errors, validation
+from gridloom.operators.store import KeyedStore
 from gridloom.sources.crs import crs_table, with_crs
 
 # Names of modes and anchors, and the version of stored records.
 MODES = ("Metadata Only", "Project Location", "Project Location + True North")
 ANCHORS = ("Survey Point", "Survey Point", "Project Base Point")
 SCHEMA_VERSION = 1
+#: The module whose state holds the working point.
+GEOREFERENCE = "georeference"
 #: A stored record as JSON.
 RECORD = """SchemaVersion int, ProjectCrs struct<EpsgCode:int,NameSnapshot:string>, Origin struct<Latitude:double,Longitude:double,ElevationMeters:double>,
     TrueNorthAngle double, PrimaryMeshCode struct<Value:string>, Confidence int, SetupSource string, GeoSetupDate timestamp"""
@@ -84,7 +88,7 @@ def inspect_mesh(rows: DataFrame, source: str = "survey") -> DataFrame:
 
 
 def import_reference(rows: DataFrame, prefer: Column) -> DataFrame:
-    """Anchor of an import: project_id, title, epsg, easting, northing, x, y, z (feet). `prefer` is true for the working point.
+    """Anchor of an import: project_id, title, epsg, crs_name, easting, northing, x, y, z (feet). `prefer` is true for the working point.
 
     The stored working point, else the base point's estimate, if preferred; else the canonical origin. Rows without
     CRS or origin have none and are left out.
@@ -101,6 +105,7 @@ def import_reference(rows: DataFrame, prefer: Column) -> DataFrame:
         "project_id",
         F.when(F.col("__stored"), "working").when(F.col("__est"), "base").otherwise("canonical").alias("title"),
         F.when(F.col("__stored"), F.col("wp_epsg")).otherwise(F.col("epsg")).alias("epsg"),
+        F.when(F.col("__stored"), F.col("wp_name")).otherwise(F.col("crs_name")).alias("crs_name"),
         F.when(F.col("__stored"), F.col("wp_easting")).otherwise(F.col("easting")).alias("easting"),
         F.when(F.col("__stored"), F.col("wp_northing")).otherwise(F.col("northing")).alias("northing"),
         *(pick(a, a) for a in "xyz"),
@@ -254,7 +259,7 @@ def apply_placements(rows: DataFrame, applied_at: Column) -> DataFrame:
     """What applying each row's intent would store: project_id, outcome, record, state and audit (JSON; null unless applied).
 
     Outcomes: applied, or why not (unsupported, read-only, invalid intent). The stored record is a new one, so it has no
-    mesh code. One row holds all that one project's change writes: written together or not at all (`commit_placements`).
+    mesh code. One row holds all that one project's change writes: published together or not at all (`commit_placements`).
     """
     i = lambda n: F.col(f"i_{n}")
     rows = current_state(preview_ready(rows))
@@ -274,9 +279,17 @@ def apply_placements(rows: DataFrame, applied_at: Column) -> DataFrame:
     )
 
 
-def commit_placements(placed: DataFrame, path: str) -> None:
-    """Append what `apply_placements` says as one table: a job that fails leaves nothing, as its files are committed at its end."""
-    placed.filter("outcome = 'applied'").write.mode("append").parquet(path)
+def commit_placements(placed: DataFrame, store: KeyedStore, commit_id: str) -> int:
+    """Publish what `apply_placements` says as one commit: records, module states and audit lines together or not at all. Its version.
+
+    A commit id that has been published adds nothing; a writer that was overtaken gets CommitConflict.
+    """
+    done = placed.filter("outcome = 'applied'").select(F.col("project_id").cast("string").alias("key"), "record", "state", "audit").persist(StorageLevel.DISK_ONLY)
+    states = done.filter("state IS NOT NULL").select(state_key(F.col("key"), F.lit(GEOREFERENCE)).alias("key"), F.col("state").alias("value"))
+    try:
+        return store.commit(commit_id, {"records": done.select("key", F.col("record").alias("value")), "states": states, "audit": done.select("key", F.col("audit").alias("value"))})
+    finally:
+        done.unpersist()
 
 
 def save_mesh_code(rows: DataFrame) -> DataFrame:
@@ -306,15 +319,25 @@ def read_record(json: Column) -> Column:
     return r.withField("SchemaVersion", migrated(F.coalesce(r["SchemaVersion"], F.lit(0))))
 
 
-def save_records(records: DataFrame, path: str) -> None:
-    """Append records (project_id, saved_at, record as JSON); of a project's records the last one holds."""
-    records.select("project_id", "saved_at", "record").write.mode("append").parquet(path)
+def project_store(spark: SparkSession, path: str) -> KeyedStore:
+    """The store of projects: records and states by key, the audit as a log."""
+    return KeyedStore(spark, path, logs=("audit",))
+
+
+def save_records(records: DataFrame, store: KeyedStore, commit_id: str) -> int:
+    """Store records (project_id, record as JSON) in place of those that their projects have."""
+    return store.commit(commit_id, {"records": records.select(F.col("project_id").cast("string").alias("key"), F.col("record").alias("value"))})
+
+
+def load_records(store: KeyedStore, kind: str = "long") -> DataFrame:
+    """project_id, record: each project's record, migrated. Projects without one are not in it."""
+    return store.read("records").select(F.col("key").cast(kind).alias("project_id"), read_record(F.col("value")).alias("record"))
 
 
-def load_records(spark: SparkSession, path: str) -> DataFrame:
-    """project_id, record: each project's last record, migrated. Projects without one are not in it."""
-    last = spark.read.parquet(path).groupBy("project_id").agg(F.max_by("record", "saved_at").alias("json"))
-    return last.select("project_id", read_record(F.col("json")).alias("record"))
+def has_records(store: KeyedStore, projects: DataFrame) -> DataFrame:
+    """`projects` (project_id) with `has_record`."""
+    asked = projects.withColumn("key", F.col("project_id").cast("string"))
+    return store.exists("records", asked).drop("key").withColumnRenamed("stored", "has_record")
 
 
 def envelope(payload: Column, kind: str) -> Column:
@@ -335,11 +358,28 @@ def merged_states(states: DataFrame, updates: DataFrame) -> DataFrame:
     return states.join(updates.select("module_id"), "module_id", "left_anti").unionByName(updates)
 
 
-def save_audit(records: DataFrame, path: str) -> None:
-    """Append audit records."""
-    records.write.mode("append").parquet(path)
+def state_key(project: Column, module: Column) -> Column:
+    """A module state's key: the project, and the module, whose id may not be blank."""
+    named = F.when(blank(module), F.raise_error(F.lit("a module id is blank")).cast("string")).otherwise(module)
+    return F.concat(project.cast("string"), F.lit("/"), named)
+
+
+def save_states(states: DataFrame, store: KeyedStore, commit_id: str) -> int:
+    """Store module states (project_id, module_id, envelope) in place of those they name."""
+    return store.commit(commit_id, {"states": states.select(state_key(F.col("project_id"), F.col("module_id")).alias("key"), F.col("envelope").alias("value"))})
+
+
+def load_states(store: KeyedStore, wanted: DataFrame) -> DataFrame:
+    """`wanted` (project_id, module_id) with `envelope`; null where there is none."""
+    asked = wanted.withColumn("key", state_key(F.col("project_id"), F.col("module_id")))
+    return asked.join(store.get("states", asked).select("key", F.col("value").alias("envelope")), "key", "left").drop("key")
+
+
+def audit_lines(store: KeyedStore) -> DataFrame:
+    """project_id, version, audit: every line of the log."""
+    return store.rows("audit").select(F.col("key").alias("project_id"), "version", F.col("value").alias("audit"))
 
 
-def latest_audit(spark: SparkSession, path: str, key: str = "project_id", at: str = "applied_at") -> DataFrame:
-    """Each project's last audit record."""
-    return mesh.first_by(spark.read.parquet(path), [key], F.col(at).desc())
+def latest_audit(store: KeyedStore) -> DataFrame:
+    """project_id, audit: each project's last line."""
+    return store.read("audit").select(F.col("key").alias("project_id"), F.col("value").alias("audit"))

@@ -42,9 +42,14 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 # --- CRS ---
 
 
-@query(f"SELECT code AS epsg_code, {o.NAME} AS name, 'EPSG:' || code || '  ' || {o.NAME} AS display, zone AS zone_number, label AS zone_label, lat0, lon0, area FROM {o.ZONES}")
+@query(f"""SELECT code AS epsg_code, {o.NAME} AS name, 'EPSG:' || code || '  ' || {o.NAME} AS display, zone AS zone_number, label AS zone_label, lat0, lon0, area, count(site_id) AS sites, min(site_id) AS first_site
+    FROM {o.ZONES} LEFT JOIN ({o.SITES}) ON epsg = code GROUP BY ALL""")
 def crs_list(spark, sf_dir):
-    return crs.crs_table(spark).orderBy("epsg_code").select("epsg_code", "name", crs.display_text(F.col("epsg_code"), F.col("name")).alias("display"), "zone_number", "zone_label", "lat0", "lon0", "area")
+    """The ordered list of systems, with how many sites each has."""
+    counted = sites(spark, sf_dir).groupBy("epsg").agg(F.count(F.lit(1)).alias("sites"), F.min("site_id").alias("first_site"))
+    zones = crs.crs_table(spark).join(counted, F.col("epsg") == F.col("epsg_code"), "left").orderBy("epsg_code")
+    display = crs.display_text(F.col("epsg_code"), F.col("name")).alias("display")
+    return zones.select("epsg_code", "name", display, "zone_number", "zone_label", "lat0", "lon0", "area", F.coalesce("sites", F.lit(0)).alias("sites"), "first_site")
 
 
 @query(f"SELECT c_custkey, CASE WHEN code IS NOT NULL THEN {o.NAME} END AS name FROM customer LEFT JOIN {o.ZONES} ON code = 6660 + c_custkey % 40")
@@ -53,14 +58,23 @@ def crs_lookup(spark, sf_dir):
     return codes.join(F.broadcast(crs.crs_table(spark)), F.col("code") == F.col("epsg_code"), "left").select("c_custkey", "name")
 
 
-@query(f"SELECT code AS epsg_code FROM {o.ZONES} WHERE lower(concat_ws(' ', {o.NAME}, 'JGD2011 metre', area, label, 'zone', zone, 'EPSG:' || code)) LIKE '%zone%' AND lower(concat_ws(' ', {o.NAME}, area, zone, code)) LIKE '%9%' AND lower(area) LIKE '%chiba%'")
+_HAY = f"lower(concat_ws(' ', {o.NAME}, 'JGD2011 metre', area, label, 'zone', zone, 'EPSG:' || code))"
+_WORD = "['Chiba', 'OKINAWA', '9', ''][s_suppkey % 4 + 1]"
+
+
+@query(f"SELECT s_suppkey, code AS epsg_code FROM supplier JOIN {o.ZONES} ON {_HAY} LIKE '%zone%' AND {_HAY} LIKE '%' || (s_suppkey % 19 + 1) || '%' AND {_HAY} LIKE '%' || lower({_WORD}) || '%'")
 def crs_search(spark, sf_dir):
-    return crs.search(crs.crs_table(spark), " zone\t9 Chiba").select("epsg_code")
+    """A search for each supplier: a zone's number and, for three in four, a place or digit."""
+    word = F.element_at(F.array(*map(F.lit, ("Chiba", "OKINAWA", "9", ""))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit(" zone\t"), (F.col("s_suppkey") % 19 + 1).cast("string"), F.lit(" "), word).alias("q"))
+    return crs.searched(crs.crs_table(spark), rows, "q").select("s_suppkey", "epsg_code")
 
 
-@query(f"SELECT code AS epsg_code FROM {o.ZONES} WHERE lower(area) LIKE '%okinawa%'")
+@query(f"SELECT n_nationkey, code AS epsg_code FROM nation JOIN {o.ZONES} ON {_HAY} LIKE '%' || lower(n_name[1:2]) || '%' AND {_HAY} LIKE '%zone%'")
 def crs_filter(spark, sf_dir):
-    return crs.picker_filter(crs.crs_table(spark), "zone  OKINAWA").select("epsg_code")
+    """The picker's variant, for the first two letters of each nation."""
+    rows = _read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("zone  "), F.substring("n_name", 1, 2)).alias("q"))
+    return crs.picked(crs.crs_table(spark), rows, "q").select("n_nationkey", "epsg_code")
 
 
 # --- coordinates ---
@@ -168,8 +182,8 @@ _CELL = f"""'{{"type":"Feature","properties":{{"meshCode":"' || cell || '","isPr
 @query(f"""WITH cells AS (SELECT site_id, -1 AS pos, code AS cell, la, lo FROM {_INDEX} UNION ALL SELECT site_id, pos, {_NEAR}, la + up, lo + rt FROM {_INDEX}, {_AROUND})
     SELECT site_id, '{{"type":"FeatureCollection","features":[' || string_agg({_CELL}, ',' ORDER BY pos) || ']}}' AS geojson FROM cells GROUP BY 1""")
 def mesh_geojson(spark, sf_dir):
-    rows = QUERIES["mesh_encode_l3"](spark, sf_dir).withColumn("around", F.transform(mesh.neighbours(F.col("code")), lambda n: n["code"]))
-    return rows.select("site_id", mesh.geojson(F.col("code"), F.col("around")).alias("geojson"))
+    cells = mesh.overlay_features(QUERIES["mesh_encode_l3"](spark, sf_dir), ["site_id"], "code")
+    return cells.select("site_id", mesh.feature_collection(F.col("features")).alias("geojson"))
 
 
 _BLOCK = "CASE WHEN NOT supported THEN 'unsupported' WHEN epsg IS NULL OR lat IS NULL THEN 'incomplete metadata'"
@@ -457,4 +471,4 @@ def feature_name_preview(spark, sf_dir):
     return importing.preview_names(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", F.concat(F.lit("b"), F.col("o_orderkey").cast("string")))
 
 
-from gridloom.plans import report_queries  # noqa: E402, F401  registers its queries too
+from gridloom.plans import report_queries, store_queries  # noqa: E402, F401  they register their queries too

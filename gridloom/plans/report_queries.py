@@ -72,6 +72,7 @@ _XYZ = lambda x, y, z: f"printf('X %.3f ft, Y %.3f ft, Z %.3f ft', ({x})::DOUBLE
 
 @query(_unpivoted([
     ("document", "id"), ("metadata", _YES("info")), ("read-only", _YES("read_only")), ("site", "CASE WHEN k % 9 <> 0 THEN '33.500000, 135.250000' END"),
+    ("time zone", "CASE WHEN k % 4 <> 0 THEN 'UTC' || CASE WHEN k % 105 > 48 THEN '+' WHEN k % 105 < 48 THEN '-' ELSE '' END || (abs(k % 105 - 48) // 4) || ['', '.25', '.5', '.75'][abs(k % 105 - 48) % 4 + 1] END"),
     ("position", f"'EW ' || {_LENGTH('k % 3 * 0.00009')} || ', NS ' || {_LENGTH('k % 4')}"), ("elevation", _LENGTH("k % 8")), ("true north", "CASE WHEN k % 2 = 1 THEN '14.324°' ELSE '0.000°' END"),
     ("survey point", _XYZ("sp_x", "k % 40", "sp_z")), ("base point", _XYZ("bp_x", "k % 50", "bp_z")), ("CRS", _CRS_TEXT), ("origin", f"CASE WHEN lat IS NOT NULL THEN {_ORIGIN_TEXT} END"),
     ("working point", f"CASE WHEN {c._VALID} THEN {c._STORED_POINT} END"), ("confidence", f"CASE WHEN info THEN {_CONFIDENCE} END"), ("source", f"CASE WHEN info AND NOT ({_BLANK}) THEN source END")], f"({o.PROJECTS})"))
@@ -218,14 +219,20 @@ def citygml_codelist(spark, sf_dir):
     return citygml.codelist_of(c._read(spark, sf_dir, "part").select(F.lpad(k.cast("string"), 12, "0").alias("path"), F.encode(content, "UTF-8").alias("content")))
 
 
+_REFERENCE = f"""(SELECT id, CASE WHEN title = 'working' THEN wp_epsg ELSE epsg END AS epsg, crs_name, title FROM (SELECT *, CASE WHEN k % 2 = 0 AND {c._VALID} THEN 'working' WHEN k % 2 = 0 AND est_lat IS NOT NULL THEN 'base' ELSE 'canonical' END AS title
+    FROM ({o.PROJECTS}) WHERE epsg IS NOT NULL AND lat IS NOT NULL))"""
+
+
 @query(f"""SELECT source_path, seq, label, CASE seq WHEN 0 THEN source_path WHEN 1 THEN CASE WHEN srs_name = '' THEN 'none' ELSE srs_name END WHEN 2 THEN coalesce(epsg_code::VARCHAR, 'none') WHEN 3 THEN file_tile_id WHEN 4 THEN n::VARCHAR
-    WHEN 5 THEN n::VARCHAR WHEN 6 THEN 'canonical' ELSE 'EPSG:6677  zone 9' END AS value FROM (SELECT source_path, srs_name, epsg_code, file_tile_id, count(*) AS n FROM {_BUILDINGS} GROUP BY ALL),
+    WHEN 5 THEN n::VARCHAR WHEN 6 THEN title ELSE 'EPSG:' || epsg || '  ' || crs_name END AS value FROM (SELECT source_path, srs_name, epsg_code, file_tile_id, k, count(*) AS n FROM {_BUILDINGS} GROUP BY ALL) JOIN {_REFERENCE} ON id = k,
     (VALUES (0, 'file'), (1, 'declared system'), (2, 'EPSG code'), (3, 'tile'), (4, 'buildings'), (5, 'solids'), (6, 'anchor'), (7, 'anchor''s system')) f(seq, label)""")
 def import_preview_rows(spark, sf_dir):
+    """What each customer's file would bring into that customer's project, at the project's own anchor; projects without one can't import."""
     rows = citygml.buildings_of(_files(spark, sf_dir)).groupBy("source_path", "srs_name", "epsg_code", "file_tile_id")
     solid = F.size(importing.open_ring(F.col("ring"))) >= 3
-    files = rows.agg(F.count(F.lit(1)).alias("buildings"), F.count_if(solid).alias("solids"))
-    return importing.file_rows(files.withColumns({"title": F.lit("canonical"), "epsg": F.lit(6677), "crs_name": F.lit("zone 9")}))
+    files = rows.agg(F.count(F.lit(1)).alias("buildings"), F.count_if(solid).alias("solids")).withColumn("project_id", F.col("file_tile_id").cast("long"))
+    anchors = workflow.import_reference(projects(spark, sf_dir), F.col("project_id") % 2 == 0).select("project_id", "title", "epsg", "crs_name")
+    return importing.file_rows(files.join(anchors, "project_id"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN 'a,b,c' ELSE 'a,b' END AS tiles, 'f' || c_custkey || '.gml' AS file, (c_custkey % 9)::INT AS last_count,

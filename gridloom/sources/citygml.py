@@ -1,24 +1,22 @@
-"""CityGML buildings and GML codelists as tables. Only the XML itself is parsed in Python, file by file, in tasks."""
+"""CityGML buildings and GML codelists as tables. Only the XML itself is parsed in Python, in tasks: large files by ranges (`gml_ranges`)."""
 
 from __future__ import annotations
 
-import hashlib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from io import BytesIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.mesh import first_by
-from gridloom.functions.text import blank, epsg_of, tile_id_of, trimmed
+from gridloom.functions.text import blank, epsg_of, trimmed
+from gridloom.sources import gml_ranges
+from gridloom.sources.gml_ranges import GML
 
-# Namespaces of GML and of CityGML's buildings, and element names of codelist entries.
-GML = "{http://www.opengis.net/gml}"
-BLDG = "{http://www.opengis.net/citygml/building/2.0}"
+# Element names of codelist entries.
 ENTRIES = ("definition", "entry", "codeentry")
-BUILDINGS = "source_path string, srs_name string, building_id string, name string, pos_list string, dimension int"
 CODES = "source_path string, pos int, code string, name string, description string"
 
 
@@ -26,36 +24,6 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _whole(value: str | None) -> int | None:
-    try:
-        return int(value) if value is not None else None
-    except ValueError:
-        return None
-
-
-def _buildings(path: str, content: bytes) -> Iterator[tuple]:
-    """Raw buildings of one file; an element is dropped once its building has been read."""
-    srs, envelope, found = "", "", []
-    root = None
-    for event, e in ET.iterparse(BytesIO(content), events=("start", "end")):
-        if event == "start":
-            if root is None:
-                root, srs = e, e.get("srsName") or ""
-            elif e.tag == GML + "Envelope" and not envelope:
-                envelope = e.get("srsName") or ""
-        elif e.tag == BLDG + "Building":
-            polygon = next(e.iter(GML + "Polygon"), None)
-            ring = next(polygon.iter(GML + "LinearRing"), None) if polygon is not None else None
-            places = ring.find(GML + "posList") if ring is not None else None
-            if places is not None:
-                text, name = "".join(places.itertext()), e.find(GML + "name")
-                own = e.get(GML + "id") or hashlib.sha256(f"{path}|{len(found)}|{text}".encode()).hexdigest()[:32]
-                found.append((own, "".join(name.itertext()) if name is not None else "Building", text, _whole(places.get("srsDimension"))))
-            e.clear()
-    for x in found:
-        yield path, srs or envelope, *x
-
-
 def coordinates(text: Column, dimension: Column) -> Column:
     """array(struct(x, y, z)) of a posList; a number that isn't one is an error, a short list is empty, a partial tuple is left out."""
     tokens = F.filter(F.split(text, r"[ \t\r\n]+"), lambda t: t != "")
@@ -67,11 +35,18 @@ def coordinates(text: Column, dimension: Column) -> Column:
     return F.when(n < 6, none).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.floor(n / dim).cast("int") - 1, F.lit(0))), point))
 
 
-def buildings(spark: SparkSession, path: str) -> DataFrame:
-    """The usable buildings of the files below `path` (`buildings_of`). A blank path, and one without files, are errors."""
+def buildings(spark: SparkSession, path: str, split_bytes: int = gml_ranges.SPLIT_BYTES, tiles: list[str] | None = None) -> DataFrame:
+    """The usable buildings of the files below `path` (`buildings_of`), read by byte ranges; of some tiles' files only, if given.
+
+    A blank path is an error, and so is one that isn't there.
+    """
     if not path.strip():
         raise ValueError("a path is needed")
-    return buildings_of(_files(spark, path))
+    spark.dataSource.register(gml_ranges.GmlSource)
+    reader = spark.read.format("citygml").option("split_bytes", split_bytes).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    if tiles is not None:
+        reader = reader.option("tiles", ",".join(tiles))
+    return _usable(reader.load(path))
 
 
 def buildings_of(files: DataFrame) -> DataFrame:
@@ -81,14 +56,17 @@ def buildings_of(files: DataFrame) -> DataFrame:
     an id gets one from its file and ring, the same at every reading.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(list(_buildings(p, content)), columns=[c.split()[0] for c in BUILDINGS.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (row for p, content in zip(batch.column(0), batch.column(1), strict=True) for row in gml_ranges.buildings(p.as_py(), BytesIO(content.as_py()), 0, 1 << 62))
+            yield from gml_ranges.batched(found)
 
-    raw = files.mapInPandas(run, BUILDINGS)
+    return _usable(files.select("path", "content").mapInArrow(run, gml_ranges.SCHEMA))
+
+
+def _usable(raw: DataFrame) -> DataFrame:
     ring = coordinates(F.col("pos_list"), F.col("dimension"))
-    rows = raw.select("source_path", trimmed(F.col("srs_name")).alias("srs_name"), epsg_of(F.col("srs_name")).alias("epsg_code"), tile_id_of(F.col("source_path")).alias("file_tile_id"), "building_id", "name", ring.alias("ring"))
+    rows = raw.select("source_path", trimmed(F.col("srs_name")).alias("srs_name"), epsg_of(F.col("srs_name")).alias("epsg_code"), "file_tile_id", "building_id", "name", ring.alias("ring"))
     return rows.filter(F.size("ring") >= 4)
 
 
@@ -118,12 +96,16 @@ def codelist(spark: SparkSession, path: str) -> DataFrame:
 def codelist_of(files: DataFrame) -> DataFrame:
     """code, name, description of `files` (path, content): blank codes left out, the first of each code, file by file."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(list(_codes(p, content)), columns=[c.split()[0] for c in CODES.split(", ")])
+    names = [x.split()[0] for x in CODES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        for batch in batches:
+            rows = [row for p, content in zip(batch.column(0), batch.column(1), strict=True) for row in _codes(p.as_py(), content.as_py())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return first_of_code(files.mapInPandas(run, CODES))
+    return first_of_code(files.select("path", "content").mapInArrow(run, CODES))
 
 
 def first_of_code(entries: DataFrame) -> DataFrame:

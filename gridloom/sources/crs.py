@@ -100,6 +100,28 @@ def _matching(crs: DataFrame, tokens: list[str], text: Column) -> DataFrame:
     return crs
 
 
+def _found(crs: DataFrame, rows: DataFrame, query: str, split: str, text: Column) -> DataFrame:
+    """`rows`, each beside every zone (epsg_code) whose text holds all tokens of its query. The 19 zones travel as one constant array."""
+    zones = [(r["epsg_code"], r["text"]) for r in crs.select("epsg_code", text.alias("text")).collect()]
+    array = F.array(*(F.struct(F.lit(c).alias("epsg_code"), F.lit(t).alias("text")) for c, t in zones))
+    tokens = F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(query), F.lit(""))), split), F.trim), lambda t: t != "")
+    rows = rows.withColumn("__tokens", tokens)
+    fits = F.filter(array, lambda z: F.forall("__tokens", lambda t: F.contains(z["text"], t)))
+    return rows.withColumn("epsg_code", F.explode(F.transform(fits, lambda z: z["epsg_code"]))).drop("__tokens")
+
+
+def searched(crs: DataFrame, rows: DataFrame, query: str) -> DataFrame:
+    """`search` for every row's own query."""
+    code = F.col("epsg_code").cast("string")
+    return _found(crs, rows, query, r"\s+", _haystack(("name", "datum", "unit", "area"), (F.concat(F.lit("EPSG:"), code), code)))
+
+
+def picked(crs: DataFrame, rows: DataFrame, query: str) -> DataFrame:
+    """`picker_filter` for every row's own query."""
+    code = F.col("epsg_code").cast("string")
+    return _found(crs, rows, query, " ", _haystack(("name", "area", "datum", "unit"), (code, F.concat(F.lit("EPSG:"), code))))
+
+
 def display_text(code: Column, name: Column) -> Column:
     return F.concat(F.lit("EPSG:"), code.cast("string"), F.lit("  "), name)
 

@@ -37,6 +37,7 @@ PROJECTS = """
            CAST(c_custkey % 100 AS DOUBLE) AS bp_x, CAST(c_custkey % 50 AS DOUBLE) AS bp_y, CAST(c_custkey % 30 AS DOUBLE) AS bp_z,
            CAST(c_custkey % 90 AS DOUBLE) AS sp_x, CAST(c_custkey % 40 AS DOUBLE) AS sp_y, CAST(c_custkey % 20 AS DOUBLE) AS sp_z,
            CASE WHEN c_custkey % 9 <> 0 THEN 33.5D END AS site_lat, CASE WHEN c_custkey % 9 <> 0 THEN 135.25D END AS site_lon,
+           CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 105 - 48) / 4.0D END AS site_hours,
            CAST(c_custkey % 3 AS DOUBLE) * 0.00009 AS pos_east, CAST(c_custkey % 4 AS DOUBLE) AS pos_north,
            CAST(c_custkey % 8 AS DOUBLE) AS pos_elevation, CAST(c_custkey % 2 AS DOUBLE) * 0.25 AS pos_angle
     FROM customer

@@ -1,5 +1,3 @@
-import datetime
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,18 +69,25 @@ def test_preview_strings(spark):
 
 
 def test_placements_are_committed_and_read_back(spark, tmp_path):
-    at = F.lit("2024-01-02 03:04:05").cast("timestamp")
-    placed = workflow.apply_placements(_intents(spark, SF), at)
-    workflow.commit_placements(placed, str(tmp_path / "placed"))
-    got = spark.read.parquet(str(tmp_path / "placed"))
-    assert got.count() == placed.filter("outcome = 'applied'").count() > 0 and got.filter("record IS NULL OR audit IS NULL").count() == 0
-    workflow.save_records(got.withColumn("saved_at", at), str(tmp_path / "records"))
-    old = got.limit(1).withColumns({"saved_at": F.lit("2023-01-01").cast("timestamp"), "record": F.lit('{"SchemaVersion":0}')})
-    workflow.save_records(old, str(tmp_path / "records"))
-    records = workflow.load_records(spark, str(tmp_path / "records"))
-    assert records.count() == got.count() and records.filter("record.SchemaVersion <> 1 OR record.ProjectCrs IS NULL OR record.PrimaryMeshCode IS NOT NULL").count() == 0
-    workflow.save_audit(spark.createDataFrame([(1, datetime.datetime(2024, 1, d), str(d)) for d in (2, 3, 1)], "project_id long, applied_at timestamp, summary string"), str(tmp_path / "audit"))
-    assert [r["summary"] for r in workflow.latest_audit(spark, str(tmp_path / "audit")).collect()] == ["3"]
+    placed = workflow.apply_placements(_intents(spark, SF), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    store = workflow.project_store(spark, str(tmp_path / "store"))
+    old = placed.filter("outcome = 'applied'").limit(1).select("project_id", F.lit('{"SchemaVersion":0}').alias("record"))
+    workflow.save_records(old, store, "old")
+    assert [r["record"]["SchemaVersion"] for r in workflow.load_records(store).collect()] == [1]
+    for _ in range(2):  # the second adds nothing
+        assert workflow.commit_placements(placed, store, "all") == 2
+    done = placed.filter("outcome = 'applied'").count()
+    records = workflow.load_records(store)
+    assert records.count() == done > 0 and records.filter("record.SchemaVersion <> 1 OR record.ProjectCrs IS NULL OR record.PrimaryMeshCode IS NOT NULL").count() == 0
+    assert workflow.audit_lines(store).count() == done and workflow.latest_audit(store).count() == done
+    has = workflow.has_records(store, placed.select("project_id", "outcome"))
+    assert has.filter("has_record <> (outcome = 'applied')").count() == 0 and has.count() == placed.count()
+    states = spark.createDataFrame([(1, "georeference", "a"), (1, "mesh", "b")], "project_id long, module_id string, envelope string")
+    workflow.save_states(states, store, "states")
+    asked = spark.createDataFrame([(1, "mesh"), (2, "mesh")], "project_id long, module_id string")
+    assert {(r["project_id"], r["envelope"]) for r in workflow.load_states(store, asked).collect()} == {(1, "b"), (2, None)}
+    with pytest.raises(Exception, match="blank"):
+        workflow.save_states(states.withColumn("module_id", F.lit(" ")), store, "blank")
 
 
 def test_future_records_are_errors(spark):
