@@ -125,7 +125,7 @@ def status(rows: DataFrame) -> DataFrame:
 
     def judged(f: Column) -> Column:
         worst, note = F.array_max(F.transform(f, lambda x: x["severity"])), _code(f, "missing-primary-mesh", "read-only-document")
-        title = F.when(worst == ERROR, "Blocking Issues Found").when(worst == WARNING, "Project Needs Attention").otherwise("Project Health Looks Good")
+        title = F.when(worst == ERROR, "errors stand in the way").when(worst == WARNING, "warnings to look at").otherwise("nothing wrong")
         said = [F.lit(m) for m in STATUS_MESSAGES]
         message = F.when(~F.col("supported"), said[0]).when(worst == ERROR, said[1]).when(worst == WARNING, said[2]).when(note, said[4]).otherwise(said[3])
         return F.struct(worst.alias("worst"), title.alias("status_title"), message.alias("status_message"))

@@ -126,7 +126,7 @@ def format_origin(lat: Column, lon: Column, elevation: Column) -> Column:
 
 
 def format_projected(easting: Column, northing: Column) -> Column:
-    return F.when(easting.isNull() | northing.isNull(), "Not captured").otherwise(F.format_string("E %.4f m, N %.4f m", easting, northing))
+    return F.when(easting.isNull() | northing.isNull(), "none captured").otherwise(F.format_string("E %.4f m, N %.4f m", easting, northing))
 
 
 def format_angle(degrees: Column) -> Column:
@@ -172,13 +172,13 @@ def preview(rows: DataFrame) -> DataFrame:
     i = lambda n: F.col(f"i_{n}")
     fields = (
         ("CRS", format_crs(F.col("epsg"), F.col("crs_name")), format_crs(i("epsg"), i("name"))),
-        ("Origin", format_origin(F.col("current.lat"), F.col("current.lon"), F.col("current.elevation")), format_origin(i("lat"), i("lon"), F.lit(0.0))),
-        ("Projected Coordinate", F.lit("Not derived from what is stored"), format_projected(i("easting"), i("northing"))),
-        ("True North Angle", format_angle(F.col("current_angle")), format_angle(proposed_angle(i("mode"), i("angle"), F.col("current_angle")))),
-        ("Apply Mode", F.lit("No pending change"), format_mode(i("mode"))),
-        ("Anchor Target", F.lit("Not captured"), format_anchor(i("anchor"))),
-        ("Working Project Base Point", format_working_point(working_point()), format_working_point(intended_working_point())),
-        ("Confidence / Source", format_confidence(F.col("confidence"), F.col("setup_source")), format_confidence(i("confidence"), i("source"))),
+        ("origin", format_origin(F.col("current.lat"), F.col("current.lon"), F.col("current.elevation")), format_origin(i("lat"), i("lon"), F.lit(0.0))),
+        ("coordinate", F.lit("Not derived from what is stored"), format_projected(i("easting"), i("northing"))),
+        ("true north", format_angle(F.col("current_angle")), format_angle(proposed_angle(i("mode"), i("angle"), F.col("current_angle")))),
+        ("mode", F.lit("nothing pending"), format_mode(i("mode"))),
+        ("anchor", F.lit("none captured"), format_anchor(i("anchor"))),
+        ("working point", format_working_point(working_point()), format_working_point(intended_working_point())),
+        ("certainty", format_confidence(F.col("confidence"), F.col("setup_source")), format_confidence(i("confidence"), i("source"))),
     )
     array = F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(label).alias("label"), a.alias("current_value"), b.alias("proposed_value")) for k, (label, a, b) in enumerate(fields)))
     return rows.select("project_id", F.inline(array))

@@ -227,7 +227,7 @@ def health_findings(spark, sf_dir):
     return _healthy(spark, sf_dir).select("project_id", F.posexplode("findings").alias("place", "f")).select("project_id", "f.code", "f.severity", "place")
 
 
-@query(f"{o.WITH_FINDINGS} SELECT id AS project_id, worst, CASE worst WHEN 2 THEN 'Blocking Issues Found' WHEN 1 THEN 'Project Needs Attention' ELSE 'Project Health Looks Good' END AS status_title FROM j")
+@query(f"{o.WITH_FINDINGS} SELECT id AS project_id, worst, CASE worst WHEN 2 THEN 'errors stand in the way' WHEN 1 THEN 'warnings to look at' ELSE 'nothing wrong' END AS status_title FROM j")
 def health_status(spark, sf_dir):
     return rules.status(_healthy(spark, sf_dir)).select("project_id", "worst", "status_title")
 
@@ -329,14 +329,14 @@ _CURRENT = lambda stored, base, site: f"CASE WHEN lat IS NOT NULL THEN {stored}
 
 @query(f"""SELECT id AS project_id, seq, label,
     CASE seq WHEN 0 THEN {_CRS('epsg')} WHEN 1 THEN {_ORIGIN('clat', 'clon', 'celev')} WHEN 2 THEN 'Not derived from what is stored' WHEN 3 THEN printf('%.3f', {_ANGLE}::DOUBLE) || '°'
-      WHEN 4 THEN 'No pending change' WHEN 5 THEN 'Not captured' WHEN 6 THEN CASE WHEN valid THEN {_STORED_POINT} ELSE 'Not stored' END ELSE {_CONF} END AS current_value,
+      WHEN 4 THEN 'nothing pending' WHEN 5 THEN 'none captured' WHEN 6 THEN CASE WHEN valid THEN {_STORED_POINT} ELSE 'Not stored' END ELSE {_CONF} END AS current_value,
     CASE seq WHEN 0 THEN {_CRS('ie')} WHEN 1 THEN {_ORIGIN('il', 'lon', '0')}
-      WHEN 2 THEN CASE WHEN k % 14 = 0 THEN 'E NaN m, N ' || printf('%.4f', (k % 500)::DOUBLE) || ' m' WHEN NOT ip THEN 'Not captured' ELSE {_EN('k % 1000', 'k % 500')} END
+      WHEN 2 THEN CASE WHEN k % 14 = 0 THEN 'E NaN m, N ' || printf('%.4f', (k % 500)::DOUBLE) || ' m' WHEN NOT ip THEN 'none captured' ELSE {_EN('k % 1000', 'k % 500')} END
       WHEN 3 THEN printf('%.3f', CASE WHEN k % 3 = 2 THEN coalesce(ia, {_ANGLE}) ELSE {_ANGLE} END::DOUBLE) || '°'
       WHEN 4 THEN ['Metadata Only', 'Project Location', 'Project Location + True North'][k % 3 + 1] WHEN 5 THEN ['Survey Point (default)', 'Survey Point', 'Project Base Point'][k % 3 + 1]
       WHEN 6 THEN CASE WHEN valid THEN {_STORED_POINT} WHEN {_OWN_POINT} THEN {_CRS('ie')} || ' / ' || {_EN('k % 1000', 'k % 500')} || ' / ' || {_ORIGIN('il', 'lon', '0')} ELSE 'Not stored' END ELSE {_CONF} END AS proposed_value
     FROM (SELECT *, {_CURRENT('lat', 'est_lat', '33.5')} AS clat, {_CURRENT('lon', 'est_lon', '135.25')} AS clon, {_CURRENT('elevation', 'bp_z * 0.3048', 'k % 8 * 0.3048')} AS celev FROM {_I}),
-         (VALUES (0, 'CRS'), (1, 'Origin'), (2, 'Projected Coordinate'), (3, 'True North Angle'), (4, 'Apply Mode'), (5, 'Anchor Target'), (6, 'Working Project Base Point'), (7, 'Confidence / Source')) f(seq, label)""")
+         (VALUES (0, 'CRS'), (1, 'origin'), (2, 'coordinate'), (3, 'true north'), (4, 'mode'), (5, 'anchor'), (6, 'working point'), (7, 'certainty')) f(seq, label)""")
 def preview_all(spark, sf_dir):
     """All eight rows. The sites' decimals leave no ties, so engines that round ties apart agree."""
     return workflow.preview(_intents(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import mesh
-from gridloom.operators import extrusion, importing, workflow
+from gridloom.operators import extrusion, importing, migrations, snapshots, workflow
 from gridloom.operators.store import KeyedStore
 from gridloom.plans import catalogue as c
 from gridloom.plans import report_queries as r
@@ -156,3 +156,49 @@ def messages_held(spark, sf_dir):
     body = F.when(F.col("event_id") % 23 == 0, F.lit('{"type":"Ready"}')).otherwise(F.to_json(F.struct(F.col("event_type").alias("type"))))
     rows = c._read(spark, sf_dir, "events").select((F.col("user_id") % 100).cast("string").alias("map_id"), F.col("event_id").alias("seq"), body.alias("body"))
     return messages.delivered(rows).select("map_id", "seq", "released_at")
+
+
+# --- records of many versions, and exports ---
+
+#: A record's first schema, one with the system apart, and the current one with degrees.
+CHAIN = migrations.Chain(
+    {0: "Epsg int, Lat double, Lon double, Turn double", 1: "Crs struct<Code: int>, Lat double, Lon double, Turn double", 2: "Crs struct<Code: int, Name: string>, Origin struct<Lat: double, Lon: double>, Angle double"},
+    {
+        0: lambda r: {"Crs": F.struct(r["Epsg"].alias("Code")), "Lat": r["Lat"], "Lon": r["Lon"], "Turn": r["Turn"]},
+        1: lambda r: {"Crs": F.struct(r["Crs"]["Code"].alias("Code"), F.concat(F.lit("EPSG:"), r["Crs"]["Code"].cast("string")).alias("Name")), "Origin": F.struct(r["Lat"].alias("Lat"), r["Lon"].alias("Lon")), "Angle": F.degrees(r["Turn"])},
+    },
+)
+
+
+@query("SELECT c_custkey, 6669 + c_custkey % 19 AS code, 'EPSG:' || (6669 + c_custkey % 19) AS name, (c_custkey % 90)::DOUBLE AS lat, round(degrees(c_custkey % 3 / 2.0), 9) AS angle FROM customer")
+def records_migrated(spark, sf_dir):
+    """Records of three versions in one table, read alike."""
+    k = F.col("c_custkey")
+    epsg, lat, lon, turn = (6669 + k % 19).cast("int"), (k % 90).cast("double"), (k % 180).cast("double"), k % 3 / 2
+    flat = F.to_json(F.struct(epsg.alias("Epsg"), lat.alias("Lat"), lon.alias("Lon"), turn.alias("Turn")))
+    apart = F.to_json(F.struct(F.lit(1).alias("SchemaVersion"), F.struct(epsg.alias("Code")).alias("Crs"), lat.alias("Lat"), lon.alias("Lon"), turn.alias("Turn")))
+    now = F.struct(F.lit(2).alias("SchemaVersion"), F.struct(epsg.alias("Code"), F.concat(F.lit("EPSG:"), epsg.cast("string")).alias("Name")).alias("Crs"), F.struct(lat.alias("Lat"), lon.alias("Lon")).alias("Origin"), F.degrees(turn).alias("Angle"))
+    rows = c._read(spark, sf_dir, "customer").select("c_custkey", F.when(k % 3 == 0, flat).when(k % 3 == 1, apart).otherwise(F.to_json(now)).alias("json"))
+    return rows.select("c_custkey", CHAIN.read(F.col("json")).alias("r")).select("c_custkey", F.col("r.Crs.Code").alias("code"), F.col("r.Crs.Name").alias("name"), F.col("r.Origin.Lat").alias("lat"), F.round("r.Angle", 9).alias("angle"))
+
+
+_FAULT = "CASE c_custkey % 10 WHEN 3 THEN 'not a whole JSON object' WHEN 5 THEN 'wrong type: EastWestFeet' WHEN 7 THEN 'missing: ProjectId' END"
+
+
+def _exports(spark, sf_dir):
+    """An export for each customer; of ten, one is cut short, one has a text for a number, and one lacks its id."""
+    k = F.col("c_custkey")
+    east = F.when(k % 10 == 5, F.lit('"far"')).otherwise((k % 100 / 4).cast("string"))
+    own = F.when(k % 10 == 7, F.lit("")).otherwise(F.concat(F.lit('"ProjectId":'), k.cast("string"), F.lit(",")))
+    text = F.concat(F.lit("{"), own, F.lit('"Title":"'), F.col("c_name"), F.lit('","ReadOnly":'), (k % 2 == 0).cast("string"), F.lit(',"TimeZoneHours":null,"EastWestFeet":'), east, F.lit(',"AngleRadians":0.5}'))
+    return c._read(spark, sf_dir, "customer").select("c_custkey", F.when(k % 10 == 3, F.substring(text, 1, 40)).otherwise(text).alias("value"))
+
+
+@query(f"SELECT c_custkey, {_FAULT} IS NULL AS supported, {_FAULT} AS fault, CASE WHEN c_custkey % 10 NOT IN (3, 7) THEN c_custkey END AS project_id, CASE WHEN c_custkey % 10 NOT IN (3, 5) THEN c_custkey % 100 / 4 END::DOUBLE AS east, CASE WHEN c_custkey % 10 <> 3 THEN c_custkey % 2 = 0 END AS read_only FROM customer")
+def snapshots_read(spark, sf_dir):
+    return snapshots.snapshots(_exports(spark, sf_dir)).select("c_custkey", "supported", "fault", F.col("ProjectId").alias("project_id"), F.col("EastWestFeet").alias("east"), F.col("ReadOnly").alias("read_only"))
+
+
+@query(f"SELECT {_FAULT} AS fault, count(*) AS exports FROM customer GROUP BY 1 HAVING fault IS NOT NULL")
+def snapshots_quarantined(spark, sf_dir):
+    return snapshots.quarantine(snapshots.snapshots(_exports(spark, sf_dir)))

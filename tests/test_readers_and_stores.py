@@ -65,7 +65,7 @@ def test_preview_strings(spark):
     one = _intents(spark, SF).filter("supported AND has_info AND wp_epsg IS NULL").limit(1)
     now = {"i_easting": F.lit(-5992.9196), "i_northing": F.lit(320.0), "i_angle": F.lit(12.5), "i_mode": F.lit(2), "i_anchor": F.lit(0)}
     rows = {r["label"]: r["proposed_value"] for r in workflow.preview(one.withColumns(now)).collect()}
-    assert rows["True North Angle"] == "12.500°" and rows["Anchor Target"] == "Survey Point (default)" and rows["Projected Coordinate"] == "E -5992.9196 m, N 320.0000 m"
+    assert rows["true north"] == "12.500°" and rows["anchor"] == "Survey Point (default)" and rows["coordinate"] == "E -5992.9196 m, N 320.0000 m"
 
 
 def test_placements_are_committed_and_read_back(spark, tmp_path):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import mesh
-from gridloom.operators import extrusion, importing
+from gridloom.operators import extrusion, importing, migrations, snapshots
 from gridloom.operators.store import CommitConflict, KeyedStore
 from gridloom.sources import citygml, framed, gml_ranges
 from gridloom.streaming import messages
@@ -260,3 +260,25 @@ def test_messages_wait_until_their_map_is_ready(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+# --- records and exports ---
+
+
+def test_records_of_three_versions(spark):
+    from gridloom.plans.store_queries import CHAIN
+
+    texts = ['{"Epsg":6677,"Lat":1,"Lon":2,"Turn":3.141592653589793}', '{"SchemaVersion":-1,"Epsg":6677,"Lat":1,"Lon":2,"Turn":3.141592653589793}', '{"SchemaVersion":1,"Crs":{"Code":6677},"Lat":1,"Lon":2,"Turn":3.141592653589793}', '{"SchemaVersion":2,"Crs":{"Code":6677,"Name":"EPSG:6677"},"Origin":{"Lat":1,"Lon":2},"Angle":180}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(CHAIN.read(F.col("t")).alias("r")).collect()
+    assert {str(r["r"]) for r in rows} == {"Row(Crs=Row(Code=6677, Name='EPSG:6677'), Origin=Row(Lat=1.0, Lon=2.0), Angle=180.0)"}
+    assert spark.range(1).select(CHAIN.read(F.lit("not json"))).first()[0] is None and spark.range(1).select(CHAIN.read(F.lit(None).cast("string"))).first()[0] is None
+    with pytest.raises(Exception, match="unsupported schema version 3"):
+        spark.range(1).select(CHAIN.read(F.lit('{"SchemaVersion":3}'))).collect()
+    with pytest.raises(ValueError):
+        migrations.Chain({0: "a int", 2: "a int"}, {0: lambda r: {"a": r["a"]}})
+
+
+@pytest.mark.parametrize("text,fault", [('{"ProjectId":1}', None), ('{"ProjectId":1,"Title":null,"More":[1]}', None), ('{"ProjectId":1', "not a whole"), ("[1]", "not a whole"), ("", "not a whole"), (None, "not a whole"), ("{}", "missing"), ('{"ProjectId":null}', "missing"), ('{"ProjectId":"1"}', "wrong type: ProjectId"), ('{"ProjectId":1,"ReadOnly":1,"AngleRadians":[2]}', "wrong type: ReadOnly, AngleRadians"), ('{"ProjectId":1,"Title":5}', "wrong type: Title"), ('{"ProjectId":1.5}', "wrong type: ProjectId")])
+def test_exports(spark, text, fault):
+    r = spark.createDataFrame([(text,)], "value string").select(snapshots.snapshot(F.col("value")).alias("s")).first()["s"]
+    assert (r["supported"], r["fault"]) == (True, None) if fault is None else not r["supported"] and r["fault"].startswith(fault)
