@@ -27,21 +27,36 @@ def shared_dir(spark: SparkSession) -> str:
     if base is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL.setdefault(sc.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        _LOCAL[sc.applicationId] = base
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Folders of the scratch scopes that are open, the innermost last; and the folder that a local application without a shared one uses.
+_SCOPES: list[str] = []
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder of this application's scratch tables."""
     return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, within the innermost scope."""
+    return f"{_SCOPES[-1] if _SCOPES else scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Within, scratch tables lie in a folder of their own, which this gives: it may be deleted when nothing reads them any more."""
+    _SCOPES.append(scratch_path(spark, "scope"))
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

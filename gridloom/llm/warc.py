@@ -5,12 +5,12 @@
 digest it is filed under. `read_index` reads the rebuilt records as any reader of WARC files does: it cuts them at their
 Content-Length, measures and digests the payloads in them, and looks up the records that revisits refer to.
 
-Of records with equal payloads of at least `min_revisit` bytes, that with the largest id is a `response`; the others
-are `revisit` records that refer to it. Shorter payloads are stored once too, but all their records are responses.
+Of records with equal payloads of at least `min_revisit` bytes, that with the largest id is a `response` (rows that repeat that id are
+all responses); the others are `revisit` records that refer to it. Shorter payloads are stored once too, but all their records are responses.
 
 Payload bytes that surely occur once are stored without a shuffle (a Bloom filter of the digests tells), and shuffle once to
 be joined with their headers; a short payload that a thousandth of all records have is
-broadcast instead (a thousand payloads below `min_revisit` bytes at most). Longer ones have one response each.
+broadcast instead (a thousand payloads below `min_revisit` bytes at most). Longer ones have one response each, but for rows that repeat an id.
 
 Cases: a null payload is empty, a null url leaves its header out, line ends in a url are percent-encoded. A null id
 loses to any other, and leaves its header out. Repeated rows are records of their own: every record has its own

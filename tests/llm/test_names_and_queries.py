@@ -327,3 +327,148 @@ def test_pipeline_against_brute_force(spark, folder):
     packed = stages["best-fit packing"](spark, mixed, folder).collect()
     assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == taken
     assert len(corpus_pipeline.run(spark, folder).collect()) == len(packed)
+
+
+def test_op10_verdicts_of_the_method(spark, folder):
+    """Scores by plain Witten-Bell models, and the cut by trying every one."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").selectExpr("page_id", "coalesce(url, '') AS text", "xxhash64(coalesce(url, '')) AS hash").collect()
+    got = collections.defaultdict(list)
+    for r in QUERIES["op10_url_filter"](spark, folder).collect():
+        got[r["page_id"]].append(r)
+    said = {}
+    for r in pages:
+        rule = got[r["page_id"]][0]["rule"]
+        if rule is not None:
+            said[r["text"]] = (dict((x, v) for v, x in url_filter.RULES)[rule], r["hash"])
+    ends = {v: sorted(h for k, h in said.values() if k == v) for v in ("allow", "block")}
+    held = {t for t, (v, h) in said.items() if h == ends[v][-1] or (h % 2 and h != ends[v][0])}
+    seen = {v: collections.Counter() for v in ends}
+    kinds = {v: collections.defaultdict(set) for v in ends}
+    for t, (v, _) in said.items():
+        if t not in held:
+            padded = "\x02" * 4 + t + "\x03"
+            for i in range(4, len(padded)):
+                for k in range(5):
+                    seen[v][padded[i - k : i + 1]] += 1
+                    kinds[v][padded[i - k : i]].add(padded[i])
+    totals = {v: collections.Counter() for v in ends}
+    for v in ends:
+        for gram, n in seen[v].items():
+            totals[v][gram[:-1]] += n
+
+    def log_chance(v, text):
+        padded, out = "\x02" * 4 + text + "\x03", 0.0
+        for i in range(4, len(padded)):
+            p = 1 / 65536
+            for k in range(5):
+                context = padded[i - k : i]
+                if totals[v][context]:
+                    p = (seen[v][padded[i - k : i + 1]] + len(kinds[v][context]) * p) / (totals[v][context] + len(kinds[v][context]))
+            out += math.log(p)
+        return out
+
+    scores = {t: (log_chance("allow", t) - log_chance("block", t)) / (len(t) + 1) for t in {r["text"] for r in pages}}
+    free = [(scores[r["text"]], g["verdict"]) for r in pages if r["text"] for g in got[r["page_id"]][:1] if g["rule"] is None]
+    assert all(abs(g["score"] - scores[r["text"]]) < 1e-9 for r in pages for g in got[r["page_id"]]) and {v for _, v in free} == {"allow", "block"}
+    lowest, highest = min(x for x, v in free if v == "allow"), max(x for x, v in free if v == "block")
+    assert lowest > highest
+    bins = collections.defaultdict(lambda: [0, 0])
+    for t in held:
+        bins[math.floor(scores[t] * 4096)][said[t][0] == "block"] += 1
+    a, b = (sum(x[i] for x in bins.values()) for i in (0, 1))
+    wrong = lambda cut: sum(x[0] for k, x in bins.items() if k < cut) * b + sum(x[1] for k, x in bins.items() if k >= cut) * a
+    least = min(wrong(k) for k in [*bins, max(bins) + 1])
+    assert any(wrong(k) == least for k in [*bins, max(bins) + 1] if math.floor(highest * 4096) <= k or k <= math.floor(lowest * 4096) + 1)
+    errors = sum((scores[t] < lowest) * b for t in held if said[t][0] == "allow") + sum((scores[t] >= lowest) * a for t in held if said[t][0] == "block")
+    assert errors <= least * 1.5 + max(a, b)
+
+
+def _plain_fingerprint(text):
+    import xxhash
+
+    words = re.findall(rb"[^\x20\x09-\x0d]+", text.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_op2_components(spark, folder):
+    rows = [(r["doc_id"], r["text"] or "") for r in _docs(spark, folder)]
+    prints = {t: _plain_fingerprint(t) for _, t in rows}
+    distinct = sorted(set(prints.values()))
+    root = {x: x for x in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(distinct):
+        for y in distinct[i + 1 :]:
+            if (x ^ y).bit_count() <= 4:
+                root[find(x)] = find(y)
+    least = {}
+    for i, t in rows:
+        at = find(prints[t])
+        least[at] = min(i, least.get(at, i))
+    want = sorted((i, f"{prints[t]:016x}", least[find(prints[t])]) for i, t in rows)
+    assert sorted(tuple(r) for r in QUERIES["op2_simhash"](spark, folder).collect()) == want
+
+
+def test_op3(spark, folder):
+    got = QUERIES["op3_mixing"](spark, folder).collect()
+    rows = {r["doc_id"]: (r["source"], len(re.findall(r"[^\x20\x09-\x0d]+", r["text"] or ""))) for r in _docs(spark, folder)}
+    sizes = collections.Counter()
+    for r in _docs(spark, folder):
+        sizes[r["source"]] += rows[r["doc_id"]][1]
+    order = sorted((x for x in sizes if x is not None), key=lambda x: x.encode()) + [None] * (None in sizes)
+    weight, target = {x: 1 + i % 3 for i, x in enumerate(order)}, {}
+    left, total = set(order), float(sum(sizes.values()))
+    while left:  # those above three times their size stop there, and the others share the rest
+        share = {x: total * weight[x] / sum(weight[y] for y in left) for x in left}
+        over = {x for x in left if share[x] > 3 * sizes[x]}
+        if not over:
+            target |= share
+            break
+        for x in over:
+            target[x] = 3.0 * sizes[x]
+            total -= target[x]
+        left -= over
+    taken = collections.Counter()
+    for r in got:
+        source, size = rows[r["doc_id"]]
+        taken[source] += r["taken"]
+        assert (r["size"], r["source_size"]) == (size, sizes[source]) and abs(r["target"] - target[source]) < 1e-6 * max(1, target[source])
+        assert 0 <= r["taken"] <= 3 * size and (size == 0 or r["taken"] % size == 0)
+    assert all(abs(taken[x] - target[x]) <= max(s for y, s in rows.values() if y == x) for x in order)
+    assert sorted(map(str, got)) == sorted(map(str, QUERIES["op3_mixing"](spark, folder).collect()))
+
+
+def test_op5(spark, folder):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in _docs(spark, folder)}
+    rows = collections.Counter(r["doc_id"] for r in _docs(spark, folder))
+    got, sequences = QUERIES["op5_packing"](spark, folder).collect(), collections.defaultdict(list)
+    pieces = collections.defaultdict(list)
+    for r in got:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] <= 1024 and zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"], r["piece"]].append((r["start"], r["length"]))
+    for doc, n in rows.items():
+        count, cuts = -(-len(ids[doc]) // 1024), [pieces[doc, k] for k in range(-(-len(ids[doc]) // 1024))]
+        assert all(len(set(c)) == 1 and len(c) == n for c in cuts) and (doc, count) not in pieces
+        assert [c[0][0] for c in cuts] == [0, *np.cumsum([c[0][1] for c in cuts])[:-1]] and all(c[0][1] == 1024 for c in cuts[1:])
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= 1024
+    room = []  # best fit, longest first
+    for n in sorted((r["length"] for r in got), reverse=True):
+        fits = [i for i, x in enumerate(room) if x >= n]
+        if fits:
+            room[min(fits, key=lambda i: room[i])] -= n
+        else:
+            room.append(1024 - n)
+    assert len(sequences) <= len(room)
