@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import exact_dedup, mixing, packing, quality, simhash
-from gridloom.llm.common import table, written
+from gridloom.llm.common import deleted, scratch_path, scratch_scope, small_batches, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        path = scratch_path(spark, name.lower().replace(" ", "-"))
+        with scratch_scope(spark) as own:
+            kept = stage(spark, docs, sf_dir)
+            with small_batches(spark):
+                kept.write.parquet(path)
+        # nothing reads the stage's own tables any more, nor what it was given
+        for old in (own, before):
+            if old is not None:
+                deleted(spark, old)
+        docs, before = spark.read.schema(kept.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
