@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
+from gridloom.llm.common import BATCH_ROWS, small_batches, written
 
 #: Labelled documents that the lexicon and the model are fitted on at most, and the longest text among them.
 FIT_DOCS = 20_000
@@ -72,6 +72,8 @@ FLOORED = (1, 2)
 MISSPELLED = 2
 #: Patterns of a window: quoted or not, and for each kind of word absent, in the window, or near.
 PATTERNS = 2 * 3**3
+#: Rows of terms that a task hands on at once.
+ROWS_AT_ONCE = 20_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -291,16 +293,24 @@ def _term_rows(docs: DataFrame, only: set[str] | None) -> DataFrame:
     """(term, near, doc) of each document; only the terms in `only`, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms: list[str] = []
+        nears: list[int] = []
+        docs_: list[int] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(nears, pa.int64()), pa.array(docs_, pa.int64())], names=["term", "near", "doc"])
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 places: dict[str, set[int]] = {}
-                for t, near in _terms_of(text):
+                for t, near in _terms_of(text.as_py()):
                     if only is None or t in only:
                         places.setdefault(t, set()).add(near)
-                out += [(t, near, doc) for t, at in places.items() for near in at]
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["term", "near", "doc"])
+                for t, at in places.items():
+                    terms += [t] * len(at)
+                    nears += at
+                docs_ += [doc.as_py()] * (len(terms) - len(docs_))
+                if len(terms) >= ROWS_AT_ONCE:
+                    yield made()
+                    terms, nears, docs_ = [], [], []
+        yield made()
 
     return docs.select("doc", "text").mapInArrow(run, "term string, near long, doc long")
 
@@ -392,9 +402,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     return written(fit.groupBy("doc").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity-fit")
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """One row for each row of `docs`: doc_id, held_out, score, predicted, and the counts of exact, misspelled and quoted matches."""
-    fit = fit_sample(docs, labels, id_col, text_col, label_col)
+def fitted(fit: DataFrame) -> tuple[list[str], list[str], frozenset[str], frozenset[int], np.ndarray, np.ndarray]:
+    """Words, beginnings, terms that may be misspelled, tokens that are no misspellings, scores of windows, and weights: from (doc, text, toxic)."""
     words, beginnings = learn_lexicon(fit)
     fuzzy, ordinary = strays(fit, words, beginnings)
     reader = lambda: Reader(words, beginnings, fuzzy, ordinary)
@@ -432,14 +441,24 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     else:
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
         weights = np.array([log(share / (1 - share)), 0, 0, 0, 0])
+    return words, beginnings, fuzzy, ordinary, scores, weights
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """One row for each row of `docs`: doc_id, held_out, score, predicted, and the counts of exact, misspelled and quoted matches."""
+    with small_batches(docs.sparkSession):
+        words, beginnings, fuzzy, ordinary, scores, weights = fitted(fit_sample(docs, labels, id_col, text_col, label_col))
+    reader = lambda: Reader(words, beginnings, fuzzy, ordinary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = reader()
         for batch in batches:
-            x = np.array([read.features(t, scores) for t in batch.column(2).to_pylist()]).reshape(-1, len(weights) + 3)
-            p = 1 / (1 + np.exp(-np.clip(x[:, : len(weights)] @ weights, -30, 30)))
-            counts = x[:, len(weights) :].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(p), pa.array((p >= CUT).astype(np.int32)), *(pa.array(counts[:, i]) for i in range(3))], names=["doc_id", "held_out", "score", "predicted", "exact", "misspelled", "quoted"])
+            for k in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(k, BATCH_ROWS)
+                x = np.array([read.features(t.as_py(), scores) for t in part.column(2)]).reshape(-1, len(weights) + 3)
+                p = 1 / (1 + np.exp(-np.clip(x[:, : len(weights)] @ weights, -30, 30)))
+                counts = x[:, len(weights) :].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(p), pa.array((p >= CUT).astype(np.int32)), *(pa.array(counts[:, i]) for i in range(3))], names=["doc_id", "held_out", "score", "predicted", "exact", "misspelled", "quoted"])
 
     ids = F.col(f"`{id_col}`").alias("doc_id")
     every = docs.select(ids, held_out(F.col(f"`{id_col}`")).alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
