@@ -104,7 +104,7 @@ def _found(crs: DataFrame, rows: DataFrame, query: str, split: str, text: Column
     """`rows`, each beside every zone (epsg_code) whose text holds all tokens of its query. The 19 zones travel as one constant array."""
     zones = [(r["epsg_code"], r["text"]) for r in crs.select("epsg_code", text.alias("text")).collect()]
     array = F.array(*(F.struct(F.lit(c).alias("epsg_code"), F.lit(t).alias("text")) for c, t in zones))
-    tokens = F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(query), F.lit(""))), split), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(F.lower(F.coalesce(F.col(query), F.lit(""))), split), lambda t: F.trim(t)), lambda t: t != "")
     rows = rows.withColumn("__tokens", tokens)
     fits = F.filter(array, lambda z: F.forall("__tokens", lambda t: F.contains(z["text"], t)))
     return rows.withColumn("epsg_code", F.explode(F.transform(fits, lambda z: z["epsg_code"]))).drop("__tokens")
