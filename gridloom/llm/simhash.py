@@ -30,7 +30,8 @@ pivots of its own, and the table says the distances of every byte to its pivots:
 bytes, added up, are never more than the distance in bits, and a pair is discarded where they exceed the radius. That
 discards all but one in a thousand unrelated pairs at most (a test measures it). The radius is so wide that pairs at the
 similarity are not lost; texts of fewer than `SHORT` shingles, too few for a fingerprint to tell, are proposed at once. A
-proposed pair is a link only if the sets of its shingles' 64-bit hashes have the similarity.
+proposed pair is a link only if the sets of its shingles' 64-bit hashes have the similarity. A large group of unlike members, which
+share min-hashes (say of one long passage) but not that many shingles, is dealt again by its members' rarest shingles.
 
 Cases: a null text is empty. Texts without a word have fingerprint zero and link like any other. Texts of fewer words
 than a shingle are one shingle. No rows give no rows. Repeated rows are copies. Further columns are ignored by
@@ -45,7 +46,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import bloom
@@ -306,7 +307,7 @@ def links_in_groups(keyed: DataFrame, facts: DataFrame | None, radius: int, grou
         if not unlike.isEmpty():
             members = hot_join(keyed, unlike.select("key", "m"), "key", "m", keyed.count()).drop("m")
             again = written(finer(members), "groups-again")
-            links = links.unionByName(links_in_groups(again, None, radius, group, finer, levels - 1))
+            links = links.unionByName(links_in_groups(again, facts, radius, group, finer, levels - 1))
             largest = largest.filter(F.col("others") <= REST)
     left = hot_join(hot_rows, largest, "key", "m", hot_rows.count())
     parts, other_parts = F.ceil(F.col("m") / group), F.ceil(F.col("others") / group)
@@ -416,7 +417,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1").groupBy("n", "members0", "members1").agg(F.min("key").alias("key"))
     keyed = written(keyed.join(groups.select("key"), "key", "left_semi"), "groups")
     facts = written(_facts(rows, text, sketches, keyed, shingle), "facts")
-    reached = components(links_in_groups(keyed, facts, radius, group))
+    reached = components(links_in_groups(keyed, facts, radius, group, lambda members: by_rare_shingles(members, facts), 2))
 
     # what each component keeps, and which rows that concerns
     roots = classes.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -432,6 +433,30 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_
     return straight.select(*names).unionByName(kept).toDF(*docs.columns)
 
 
+def by_rare_shingles(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """(node, key): members of groups dealt to smaller groups, one for each shingle among a member's rarest in its group.
+
+    Two sets with SIMILAR of their union in common have one of the rarest in common, if of each so many are taken that fewer
+    than that share is left. What most members share is common, so it joins none by itself.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, node, held in zip(*batch.columns, strict=True):
+                shingles = np.frombuffer(held.as_py(), np.int64)
+                n = len(shingles)
+                numbers = (np.full(n, key.as_py()), np.full(n, node.as_py()), shingles, np.full(n, n))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in numbers], names=["key", "node", "shingle", "size"])
+
+    rows = members.select("node", "key").join(facts.select("node", "shingles"), "node").select("key", "node", "shingles")
+    rows = written(rows.mapInArrow(spread, "key long, node long, shingle long, size long"), "group-shingles")
+    often = written(rows.groupBy("key", "shingle").agg(F.count(F.lit(1)).alias("n")), "group-shingle-counts")
+    place = F.row_number().over(Window.partitionBy("key", "node").orderBy("n", "shingle"))
+    ranked = hot_join(rows, often, ["key", "shingle"], "n", rows.count()).withColumn("place", place)
+    rare = F.col("size") - F.ceil(F.col("size") * SIMILAR[0] / SIMILAR[1]) + 1
+    return ranked.filter((F.col("place") <= rare) & (F.col("n") > 1)).select("node", F.xxhash64("key", "shingle").alias("key"))
+
+
 def _facts(rows: DataFrame, text: Column, sketches: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
     """(node, fp, pivots, shingles) of the nodes that are in a group."""
 

@@ -162,6 +162,58 @@ def test_links_grow_in_proportion_in_one_group(spark):
     assert seen[0] < 2 * 4_000 and seen[1] < 2 * 20_000
 
 
+def test_unlike_members_of_one_group_lose_no_link(spark, monkeypatch):
+    """Members that agree in two blocks and in nothing else, with near ones among them: dealt by further blocks, twice."""
+    monkeypatch.setattr(simhash, "REST", 60)
+    rng = np.random.default_rng(11)
+    agree = sum(simhash.masks_after(p, 6, 4)[0] for p in ((), (0,)))  # so that many agree after the next blocks too
+    fps = {int(x) & ~agree for x in rng.integers(0, 1 << 64, 1500, np.uint64)} | {int(x) & ~simhash.masks_after((), 6, 4)[0] for x in rng.integers(0, 1 << 64, 500, np.uint64)}
+    for x in list(fps)[::7]:
+        fps.add(x ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 6), replace=False)))
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    comp = _components(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
+    table = simhash.pivot_table(np.array(signed, np.int64).view(np.uint64)[:, None])
+    frame = spark.createDataFrame([(x, t.tobytes()) for x, t in zip(signed, table, strict=True)], "fp long, pivots binary").cache()
+    for blocks in (6, 8):
+        got = {r["node"]: r["root"] for r in components(simhash.near_links(frame, blocks=blocks, group=50)).collect()}
+        assert {x: got.get(x, x) for x in signed} == comp
+
+
+def test_unlike_documents_of_one_group_lose_no_link(spark, monkeypatch):
+    """Documents that share half of their words in one group, with near copies among them: dealt by their rarest shingles."""
+    monkeypatch.setattr(simhash, "REST", 20)
+    rng, passage = random.Random(4), [f"p{i}" for i in range(150)]
+    texts = []
+    for i in range(150):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        texts.append(passage + own)
+        if i % 5 == 0:
+            texts.append(passage + own[: -rng.randrange(1, 40)] + [f"z{i}"])
+    sets = [np.unique(simhash.shingle_hashes(" ".join(t).encode(), 5)) for t in texts]
+    prints = [simhash.wide_sketch(" ".join(t).encode(), 5)[1] for t in texts]
+    tables = simhash.pivot_table(np.stack(prints))
+    facts = spark.createDataFrame([(i, p.tobytes(), t.tobytes(), x.tobytes()) for i, (p, t, x) in enumerate(zip(prints, tables, sets, strict=True))], "node long, fp binary, pivots binary, shingles binary").cache()
+    keyed = facts.selectExpr("node", "3L AS key").cache()
+    dealt = simhash.by_rare_shingles(keyed, facts)
+    assert dealt.groupBy("key").count().agg({"count": "max"}).first()[0] <= 4
+    links = simhash.links_in_groups(keyed, facts, simhash.WIDE_RADIUS, 16, lambda m: simhash.by_rare_shingles(m, facts), 2)
+    got = {r["node"]: r["root"] for r in components(links).collect()}
+    want = _components(range(len(texts)), lambda a, b: simhash.similar(sets[a], sets[b]))
+    assert {i: got.get(i, i) for i in range(len(texts))} == want and len(set(want.values())) < len(texts)
+
+
+def test_blocks_lose_no_pair():
+    rng = np.random.default_rng(5)
+    assert [simhash.blocks_for(n) for n in (0, 30_000_000, 40_000_000, 10**10, 10**12)] == [6, 6, 7, 8, 8]
+    for _ in range(300):
+        differ, path = sum(1 << int(k) for k in rng.choice(64, 4, replace=False)), ()
+        for blocks in (int(rng.integers(6, 9)),):
+            for _ in range(3):
+                agreeing = [i for i, m in enumerate(simhash.masks_after(path, blocks, 4)) if not m & differ]
+                assert agreeing
+                path = (*path, agreeing[int(rng.integers(len(agreeing)))])
+
+
 @pytest.mark.parametrize("width,radius,least", [(1, simhash.RADIUS, 0.999), (simhash.WIDE, simhash.WIDE_RADIUS, 0.999)])
 def test_pivots_discard_the_unrelated_and_none_within_the_radius(width, radius, least):
     rng = np.random.default_rng(9)
