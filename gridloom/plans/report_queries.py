@@ -191,7 +191,12 @@ def _files(spark, sf_dir):
     short = F.concat(F.lit('<m:cityObjectMember><b:Building g:id="c">'), polygon(ring(3, 3), ""), F.lit("</b:Building></m:cityObjectMember>"))
     path = F.concat(F.lit("/data/plateau_"), F.lpad((k % 100000000).cast("string"), 8, "0"), F.lit("_bldg.gml"))
     content = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>'), root, envelope, first, second, short, F.lit("</m:CityModel>"))
-    return c._read(spark, sf_dir, "customer").select(path.alias("path"), F.encode(content, "UTF-8").alias("content"))
+    return _spread(c._read(spark, sf_dir, "customer").select(path.alias("path"), F.encode(content, "UTF-8").alias("content")))
+
+
+def _spread(files):
+    """Small files cost more to parse than to move: they are dealt to all cores."""
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism)
 
 
 _BUILDINGS = """(SELECT '/data/plateau_' || lpad(c_custkey::VARCHAR, 8, '0') || '_bldg.gml' AS source_path, CASE WHEN c_custkey % 3 = 0 THEN 'EPSG:6677' WHEN c_custkey % 3 = 1 THEN 'http://www.opengis.net/def/crs/EPSG/0/6669'
@@ -216,7 +221,7 @@ def citygml_codelist(spark, sf_dir):
     close = F.when(F.col("p_size") % 9 == 0, "</g:Definition>").when(F.col("p_size") % 4 == 0, "</entry>").otherwise("</CodeEntry>")
     body = F.concat(F.lit("<g:name> "), F.col("p_name"), F.lit("</g:name>"), F.when(k % 2 == 0, F.concat(F.lit("<g:description>"), F.col("p_type"), F.lit("</g:description>"))).otherwise(""))
     content = F.concat(F.lit('<g:Dictionary xmlns:g="http://www.opengis.net/gml">'), open_, body, close, F.lit("</g:Dictionary>"))
-    return citygml.codelist_of(c._read(spark, sf_dir, "part").select(F.lpad(k.cast("string"), 12, "0").alias("path"), F.encode(content, "UTF-8").alias("content")))
+    return citygml.codelist_of(_spread(c._read(spark, sf_dir, "part").select(F.lpad(k.cast("string"), 12, "0").alias("path"), F.encode(content, "UTF-8").alias("content"))))
 
 
 _REFERENCE = f"""(SELECT id, CASE WHEN title = 'working' THEN wp_epsg ELSE epsg END AS epsg, crs_name, title FROM (SELECT *, CASE WHEN k % 2 = 0 AND {c._VALID} THEN 'working' WHEN k % 2 = 0 AND est_lat IS NOT NULL THEN 'base' ELSE 'canonical' END AS title
