@@ -55,7 +55,8 @@ def folder(spark, some):
     """A folder with small tables, in which there are nulls, empty, very long and repeated texts."""
     path = scratch_path(spark, "small")
     some.unionByName(some.filter("doc_id % 10 = 0")).coalesce(2).write.parquet(f"{path}/documents.parquet")
-    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").coalesce(1).write.parquet(f"{path}/labels.parquet")
+    for name in ("labels", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").coalesce(1).write.parquet(f"{path}/{name}.parquet")
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("page_id < 600")
     odd = spark.createDataFrame([(9000, None, None), (9001, "", ""), (9002, "no scheme", "z" * 1000), (9003, "http://q.org", "z" * 1000), (9004, "http://long.com/x?" + "y" * 30_000, "w" * 200_000)], "page_id long, url string, html string")
     pages.unionByName(odd).unionByName(odd.limit(1)).coalesce(2).write.parquet(f"{path}/pages.parquet")
