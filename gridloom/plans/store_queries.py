@@ -140,7 +140,8 @@ def solid_faces(spark, sf_dir):
     u = (F.col("o_orderkey") % 40 + 1).cast("double")
     corners = ((0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4))
     ring = F.array(*(F.struct((u * x).alias("x_feet"), (u * y).alias("y_feet")) for x, y in corners))
-    solids = c._read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"), F.when(F.col("o_orderkey") % 2 == 0, ring).otherwise(F.reverse(ring)).alias("footprint"), F.lit(5.0).alias("base_feet"), (F.col("o_orderkey") % 30 + 3).cast("double").alias("height_feet"))
+    orders = r._spread(c._read(spark, sf_dir, "orders").select("o_orderkey"))  # a small file would be cut in one task
+    solids = orders.select(F.col("o_orderkey").alias("source_id"), F.when(F.col("o_orderkey") % 2 == 0, ring).otherwise(F.reverse(ring)).alias("footprint"), F.lit(5.0).alias("base_feet"), (F.col("o_orderkey") % 30 + 3).cast("double").alias("height_feet"))
     faces = extrusion.extruded(solids, "source_id").withColumn("area", extrusion.area(F.col("a"), F.col("b"), F.col("c")))
     of = lambda side: F.round(F.sum(F.when(F.col("side") == side, F.col("area"))), 6)
     flat = F.col("side") != "wall"

@@ -4,6 +4,7 @@ import io
 import json
 import random
 import threading
+import time
 
 import numpy as np
 import pytest
@@ -225,6 +226,30 @@ def test_rings_that_cannot_be_extruded(spark, ring, fault):
         extrusion.extruded(rows, "id").collect()
 
 
+def test_many_rings_are_cut_together(spark):
+    """Rings of all sizes and faults in one batch: each gets the faces that it gets alone, and 20,000 of them take seconds, not half a minute."""
+    rng, rings = np.random.default_rng(5), [None, [], [(0, 0), (1, 1)], [(0, 0), (4, 4), (4, 0), (0, 5)], [(0, 0), (1, 1), (2, 2)]]
+    for n in rng.integers(3, 30, 200):
+        angles = np.sort(rng.random(n)) * 2 * np.pi
+        rings.append(np.round(np.stack([np.cos(angles), np.sin(angles)], axis=1) * rng.uniform(0.2, 5, (n, 1)), 1)[:: rng.choice([-1, 1])].tolist())
+    corners = [None if r is None else [{"x_feet": float(x), "y_feet": float(y)} for x, y in r] for r in rings]
+    rows = spark.createDataFrame([(i, x, 1.0, None if i == 9 else 2.0) for i, x in enumerate(corners)], "id long, footprint array<struct<x_feet: double, y_feet: double>>, base_feet double, height_feet double").coalesce(1)
+    got = {}
+    for f in extrusion.extruded(rows, "id", strict=False).collect():
+        got.setdefault(f["id"], []).append((f["side"], f["pos"], *(f[v] and f[v].asDict() for v in "abc")) if f["fault"] is None else f["fault"])
+    for i, ring in enumerate(rings):
+        try:
+            want = list(extrusion.faces_of(np.array(ring or [], float), 1.0, 2.0))
+        except ValueError as e:
+            want = [str(e)]
+        assert got[i] == (["no base or no height"] if i == 9 and len(want) > 1 else want)
+    ell, m = np.array([(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)], float), 20_000
+    began = time.process_time()
+    solid, faces = extrusion._solids(np.tile(ell, (m, 1)), np.full(m, 6), np.zeros(m), np.ones(m))
+    assert np.bincount(solid).tolist() == [20] * m and faces[0].slice(0, 20).to_pylist() == ["top"] * 4 + ["bottom"] * 4 + ["wall"] * 12
+    assert time.process_time() - began < 6
+
+
 # --- messages ---
 
 
