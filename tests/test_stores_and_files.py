@@ -307,3 +307,16 @@ def test_records_of_three_versions(spark):
 def test_exports(spark, text, fault):
     r = spark.createDataFrame([(text,)], "value string").select(snapshots.snapshot(F.col("value")).alias("s")).first()["s"]
     assert (r["supported"], r["fault"]) == (True, None) if fault is None else not r["supported"] and r["fault"].startswith(fault)
+
+
+def test_a_table_of_exports_is_parsed_once(spark):
+    """Exports of a table read as each does alone, and the plan parses each text once."""
+    texts = [None, "", "[1]", '"x"', "{}", '{"ProjectId":1', '{"ProjectId":7,"Title":"t","ReadOnly":true,"AngleRadians":0.5,"EastWestFeet":1}', '{"ProjectId":"1"}', '{"ProjectId":1,"Title":5,"ElevationFeet":"far"}', '{"ProjectId":1.5,"ReadOnly":null}', '{"ProjectId":1,"ReadOnly":1,"AngleRadians":[2]}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, value string")
+    read = snapshots.snapshots(rows)
+    alone = rows.select("id", "value", snapshots.snapshot(F.col("value")).alias("s")).select("id", "value", "s.*")
+    assert read.columns == alone.columns and read.orderBy("id").collect() == alone.orderBy("id").collect()
+    faults = snapshots.quarantine(read)
+    assert sum(r["exports"] for r in faults.collect()) == read.filter("NOT supported").count() == 10
+    for plan in (read, faults):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
