@@ -6,12 +6,14 @@
    taken as independent given the class, a missing vote says nothing, and each kind of junk has labellers that overlap.
    One thing is known beforehand: a bad vote is rare on good documents (`RARE` at most). Each combination of votes gets
    its posterior.
-3. Scorer. A linear model over hashed word shapes learns the posteriors on a bounded sample (`FIT_DOCS` documents of
-   smallest hash) and scores every document; the score of a short text stays near the share of good ones. The cut lies
-   below all but `LOSS` of the sample's surely good documents, so that clean documents stay.
+3. Scorer. A linear model over hashed word shapes learns the posteriors of all documents: each of Newton's steps is a
+   pass in which tasks add up slopes and curvatures of their rows, and Spark adds up those of the tasks, row by row of
+   the matrix. Rows repeated with their ids are fitted on once. It scores every document; the score of a short text
+   stays near the share of good ones. The cut lies below all but `LOSS` of the surely good documents, so that clean
+   documents stay; counts of the scores' bits, 16 at a time, find it among all of them.
 
 Texts go through Python once: votes and features (a few hundred bytes a document) are written together, and the scorer
-reads those. `accepted` takes the rejected rows out natively: a Bloom filter of the rejected texts' hashes lets the others
+reads those, once a step. `accepted` takes the rejected rows out natively: a Bloom filter of the rejected texts' hashes lets the others
 pass where they are, and only those it doesn't shuffle.
 
 No given label is used; held-out labels measure it in the tests.
@@ -24,11 +26,12 @@ rows give no rows. Very long texts are read whole. Columns beside id and text ar
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +39,15 @@ from gridloom.llm import bloom
 from gridloom.llm.common import place_of, plain_names, row_hashes, written
 from gridloom.llm.tokens import let_go
 
-FIT_DOCS = 10_000
 #: Hashed features of the scorer.
 FEATURES = 512
-#: Share of the sample's surely good documents that the cut may lose.
+#: Weight that keeps the scorer's weights small: so much over RIDGE_DOCS documents, in proportion over more, and no less over fewer.
+RIDGE, RIDGE_DOCS = 0.3, 10_000
+#: Newton's steps end when no weight moves by so much, or after so many.
+SETTLED, MOST_STEPS = 1e-4, 25
+#: Documents whose features are held as an array at a time.
+HELD = 1000
+#: Share of the surely good documents that the cut may lose.
 LOSS = 0.002
 SURE = 0.95
 #: Words of evidence that a document's score starts with, at the share of good documents: a few words alone decide little.
@@ -204,21 +212,6 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) ->
     return good, chance, float(share)
 
 
-def _linear(x: np.ndarray, y: np.ndarray, ridge: float = 3.0) -> np.ndarray:
-    """Logistic weights for soft labels, by Newton's method; the last is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    keep = np.full(len(w), ridge / 10)
-    keep[-1] = 1e-6
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
 def chance(x: np.ndarray, n: np.ndarray, w: np.ndarray, share: float) -> np.ndarray:
     """Chance of being good, from features, numbers of words, weights and the share of good documents."""
     start, trust = np.log(share / (1 - share)), n / (n + HABIT)
@@ -242,6 +235,89 @@ def _read(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, f"{kinds}, pattern int, x binary, n long"), "votes")
 
 
+def _numbers(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features, numbers of words and patterns of a batch that ends in x, n and pattern, HELD rows at a time."""
+    for k in range(0, batch.num_rows, HELD):
+        x, n, pattern = batch.slice(k, HELD).columns[-3:]
+        yield dense(x.to_pylist(), n.to_numpy()), n.to_numpy(), pattern.to_numpy()
+
+
+def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Curvature (without the ridge) of the loss at weights w, a row a weight, and then its slope."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    slope = x.T @ (p - y)
+    x *= np.sqrt(p * (1 - p))[:, None]
+    return np.vstack([x.T @ x, slope])
+
+
+def _curve_of_all(rows: DataFrame, patterns: np.ndarray, good: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """As `_curve`, over a table of x, n and pattern: tasks add up their rows, then Spark adds up those sums, each row of the matrix by itself."""
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        total = np.zeros((FEATURES + 2, FEATURES + 1))
+        for batch in batches:
+            for x, _, pattern in _numbers(batch):
+                total += _curve(x, good[np.searchsorted(patterns, pattern)], w)
+        at, task = np.arange(len(total), dtype=np.int32), np.full(len(total), TaskContext.get().partitionId(), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(task), pa.array([v.tobytes() for v in total], pa.binary())], names=["at", "task", "v"])
+
+    def added(sums: pa.Table) -> pa.Table:
+        sums = sums.sort_by("task")  # the total doesn't depend on which task ended first
+        v = np.sum([np.frombuffer(x) for x in sums["v"].to_pylist()], axis=0)
+        return pa.table({"at": sums["at"][:1], "v": pa.array([v.tobytes()], pa.binary())})
+
+    parts = rows.select("x", "n", "pattern").mapInArrow(of_task, "at int, task int, v binary")
+    got = parts.groupBy("at").applyInArrow(added, "at int, v binary").collect()  # FEATURES + 2 rows
+    return np.stack([np.frombuffer(r["v"]) for r in sorted(got, key=lambda r: r["at"])])
+
+
+def _newton(curve: Callable[[np.ndarray], np.ndarray], features: int, docs: int) -> np.ndarray:
+    """Logistic weights for soft labels, by Newton's method; the last is the bias."""
+    w = np.zeros(features + 1)
+    keep = np.full(len(w), RIDGE * max(1.0, docs / RIDGE_DOCS))
+    keep[-1] = 1e-6
+    for _ in range(MOST_STEPS):
+        got = curve(w)
+        step = np.linalg.solve(got[:-1] + np.diag(keep), got[-1] + keep * w)
+        w = w - step
+        if np.abs(step).max() < SETTLED:
+            break
+    return w
+
+
+def _linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The weights for documents in memory."""
+    return _newton(lambda w: _curve(x, y, w), x.shape[1], len(x))
+
+
+def nth(keys: DataFrame, n: int) -> int:
+    """The n-th smallest (from 0) of the column `key`, non-negative longs: by counts of their first 16 bits, then of the next, among those that agree so far."""
+    found = 0
+    for shift in (48, 32, 16, 0):
+        if shift < 48:
+            keys = keys.filter(F.shiftright("key", shift + 16) == found)
+        for found, count in sorted(tuple(r) for r in keys.groupBy(F.shiftright("key", shift)).count().collect()):  # noqa: B007 - 65,536 rows at most
+            if n < count:
+                break
+            n -= count
+    return found
+
+
+def quantile(keys: DataFrame, share: float) -> float | None:
+    """The quantile of positive doubles, whose bits are the column `key`, between its neighbours in proportion as numpy has it; None of no rows."""
+    total = keys.count()
+    if not total:
+        return None
+    n, part = int(share * (total - 1)), share * (total - 1) % 1
+    low = nth(keys, n)
+    up_to, above = keys.agg(F.count_if(F.col("key") <= low), F.min(F.when(F.col("key") > low, F.col("key")))).first()
+    high = low if up_to > n + 1 or above is None else above
+    low, high = np.array([low, high]).view(np.float64)
+    return float(low + part * (high - low))
+
+
 def fitted(voted: DataFrame) -> tuple[np.ndarray, float, float] | None:
     """The scorer's weights, the share of good documents, and the cut; None without documents of both kinds."""
     table = sorted(tuple(r) for r in voted.groupBy("pattern").count().collect())  # 3^labellers rows at most
@@ -249,18 +325,21 @@ def fitted(voted: DataFrame) -> tuple[np.ndarray, float, float] | None:
         return None
     patterns, counts = np.array(table, np.int64).T
     good, _, share = label_model(patterns, counts.astype(float))
-    posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    # the hash that orders the sample goes along with each row, so an id that is missing or repeated is no matter
-    last = voted.select("h").distinct().orderBy("h").limit(FIT_DOCS).agg(F.max("h")).first()[0]
-    got = voted.filter(F.col("h") <= last).select("h", "pattern", "x", "n").dropDuplicates(["h"]).orderBy("h").collect()
-    n = np.array([r["n"] for r in got])
-    x = dense([r["x"] for r in got], n).astype(np.float64)
-    y = np.array([posterior[r["pattern"]] for r in got])
-    if y.min() > 0.5 or y.max() < 0.5:
+    if good.min() > 0.5 or good.max() < 0.5:
         return None
-    w = _linear(x, y)
-    sure = chance(x, n, w, share)[y > SURE]
-    return w, share, float(min(0.5, np.quantile(sure, LOSS))) if len(sure) else 0.5
+    # the hash goes along with each row, so an id that is missing or repeated is no matter
+    rows = written(voted.select("h", "x", "n", "pattern").dropDuplicates(["h"]), "distinct")
+    w = _newton(lambda w: _curve_of_all(rows, patterns, good, w), FEATURES, rows.count())
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, n, _ in _numbers(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(chance(x, n, w, share).view(np.int64))], names=["key"])
+
+    surely = [int(p) for p, y in zip(patterns, good, strict=True) if y > SURE]
+    sure = written(rows.join(F.broadcast(voted.sparkSession.createDataFrame([(p,) for p in surely], "pattern int")), "pattern", "left_semi").select("x", "n", "pattern").mapInArrow(keyed, "key long"), "sure")
+    cut = quantile(sure, LOSS)
+    return w, share, 0.5 if cut is None else min(0.5, cut)
 
 
 def _scored(voted: DataFrame, passed: list[str]) -> DataFrame:
@@ -271,13 +350,12 @@ def _scored(voted: DataFrame, passed: list[str]) -> DataFrame:
         for batch in batches:
             score = np.ones(batch.num_rows)
             if model is not None and batch.num_rows:
-                n = batch.column(len(passed) + 1).to_numpy()
-                score = chance(dense(batch.column(len(passed)).to_pylist(), n), n, *model[:2])
+                score = np.concatenate([chance(x, n, *model[:2]) for x, n, _ in _numbers(batch)])
             accepted = score >= (model[2] if model is not None else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=[*passed, "score", "accepted"])
 
     kinds = ", ".join(f"{c} {voted.schema[c].dataType.simpleString()}" for c in passed)
-    return voted.select(*passed, "x", "n").mapInArrow(run, f"{kinds}, score double, accepted boolean")
+    return voted.select(*passed, "x", "n", "pattern").mapInArrow(run, f"{kinds}, score double, accepted boolean")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -135,6 +135,33 @@ def test_quality(spark, docs_of):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, a in got.items() if a)
 
 
+def test_quality_is_fitted_on_all_rows(spark, monkeypatch):
+    """More rows than any sample of 10,000: weights, cut and scores are those of all of them, repeated rows once."""
+    rng, n = np.random.default_rng(6), 13_000
+    bad = rng.random(n) < 0.3
+    patterns = np.where(bad, 1 + 3 + 9, 2 + 6 + 18) + 27 * rng.integers(0, 3, n)
+    rows = []
+    for i in range(n):
+        x = np.bincount(rng.integers(0, 40, 30) + (20 if bad[i] else 0), minlength=quality.FEATURES)
+        at = np.flatnonzero(x)
+        rows.append((i, i, int(patterns[i]), at.astype("<u2").tobytes() + x[at].astype("<u4").tobytes(), 15))
+    voted = spark.createDataFrame(rows + rows[:50], "doc_id long, h long, pattern int, x binary, n long").repartition(5)
+    held, of_all = [], quality._curve_of_all
+    monkeypatch.setattr(quality, "_curve_of_all", lambda rows, *more: held.append(rows.count()) or of_all(rows, *more))
+    w, share, cut = quality.fitted(voted)
+    kinds, counts = np.unique(np.append(patterns, patterns[:50]), return_counts=True)
+    good, _, same = quality.label_model(kinds, counts.astype(float))
+    y, x = good[np.searchsorted(kinds, patterns)], quality.dense([r[3] for r in rows], np.full(n, 15))
+    want = quality._linear(x, y)
+    scores = quality.chance(x, np.full(n, 15), want, share)
+    assert set(held) == {n} and share == same and np.abs(w - want).max() < 1e-6
+    assert cut == pytest.approx(min(0.5, np.quantile(scores[y > quality.SURE], quality.LOSS)), abs=1e-9)
+    numbers = [0.25, 0.1, 0.1, 0.9, 0.5, 0.7, 1e-9]
+    keys = spark.createDataFrame([(int(np.float64(v).view(np.int64)),) for v in numbers], "key long")
+    assert [quality.quantile(keys, q) for q in (0, 0.1, 0.3, 0.5, 1)] == pytest.approx([np.quantile(numbers, q) for q in (0, 0.1, 0.3, 0.5, 1)], rel=1e-12)
+    assert quality.quantile(keys.limit(0), 0.5) is None
+
+
 def test_quality_odd_rows(docs_of):
     few = docs_of([(1, None), (1, None), (None, ""), (2, " \n"), (3, "A plain sentence that is fine.")])
     assert quality.accepted(few).count() == 5
