@@ -1,30 +1,61 @@
-"""Token ids of whole texts, by a public tokenizer file, with a cache of the pieces between spaces.
+"""Token ids of whole texts, by a public tokenizer file, with a cache of pieces of texts.
 
-A byte-level BPE first cuts a text into pre-tokens. A space before a character that isn't white space always starts a
-pre-token, and what stands left of it cannot change what comes after; so the ids of a text are those of its pieces,
-cut at such spaces, one after the other. Texts repeat most of their pieces, and a cache saves encoding them again. A
-single line end between characters that aren't white space is a pre-token of its own, and so are the signs that close a
-word of letters: pieces with either are put together from smaller ones.
+A byte-level BPE first cuts a text into pre-tokens, and some of its cuts show in two neighbouring bytes: before white space
+that follows what is none, before the last of white space that precedes what is none (a space goes with what follows, any
+other is a pre-token of its own), and between a letter and a stop. The ids of a text are those of its pieces, cut at all of
+these, one after the other. Pieces are cut and numbered as arrays, and only those not met before are encoded: many in one
+long string, where what a piece begins with marks its first id.
+
+White space beyond ASCII doesn't show in single bytes, and a token added to the vocabulary ends what stands before it: a text
+with any is encoded as it is.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
-SPLIT = re.compile(r" (?=\S)")
-#: Pieces kept in each of two generations, the longest piece kept, and characters that are cut into pieces at a time.
+#: Pieces kept, the longest piece kept in bytes, characters that are cut into pieces at a time, and pieces that are encoded in one string.
 KEPT = 600_000
-KEPT_CHARS = 64
-AT_ONCE = 1_000_000
-#: Signs that are a pre-token of their own after a word of letters, and runs of such signs at the end.
-STOPS = ".,;:!?*#%&$"
-SIGNS = re.compile(r"[^\w\s'][^\w\s]*\Z")
+KEPT_BYTES = 64
+AT_ONCE = 4_000_000
+JOINED = 2000
+#: Kinds of bytes: space, other white space, letters, stops, and what may be or begin a sign of white space that ASCII doesn't have.
+OTHER, SPACE, WHITE, LETTER, STOP, RARE = range(6)
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, OTHER, np.uint8)
+    for kind, chars in ((SPACE, b" "), (WHITE, b"\t\n\v\f\r"), (STOP, b".,;:!?*#%&$"), (RARE, b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3")):
+        out[list(chars)] = kind
+    for first in b"aA":
+        out[first : first + 26] = LETTER
+    return out
+
+
+def _pairs(cut: set[tuple[int, int]]) -> np.ndarray:
+    """Whether a pair of kinds, 8 times the first and the second, is in `cut`."""
+    return np.array([(k // 8, k % 8) in cut for k in range(64)])
+
+
+KINDS = _kinds()
+SOLID = (OTHER, LETTER, STOP, RARE)
+#: Pairs of kinds with a cut in between, and with one before the first.
+BETWEEN = _pairs({(a, b) for a in SOLID for b in (SPACE, WHITE)} | {(WHITE, b) for b in SOLID} | {(LETTER, STOP)})
+BEFORE = _pairs({(a, b) for a in (SPACE, WHITE) for b in SOLID})
+
+
+def _odd(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Places of white space beyond ASCII, and of some signs that are near to it."""
+    at = np.flatnonzero(kind == RARE)
+    a, b, c = (data[np.minimum(at + k, len(data) - 1)] for k in range(3))
+    mark = (b == 0x80) & ((c < 0x90) | (c > 0xA7)) | (b == 0x81)  # not quotes and dashes
+    return at[(a < 0x20) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & ((b == 0x9A) | (b == 0xA0)) | (a == 0xE2) & mark | (a == 0xE3) & (b == 0x80) & (c == 0x80)]
 
 
 def default_path() -> str:
@@ -38,17 +69,22 @@ class Encoder:
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        self.words = Tokenizer(self.tokenizer.model)  # of pre-tokens, in the signs that the vocabulary has for bytes, with spaces in between
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab()
-        self.spaced, self.line_end = np.zeros((2, max(names.values()) + 1), bool)  # whether an id's bytes begin so
+        self.spaced, self.line_end = np.zeros((2, max(names.values()) + 1), bool)  # whether an id begins with a space, or is a line end
         for name, i in names.items():
-            self.spaced[i], self.line_end[i] = name.startswith("\u0120"), name.startswith("\u010a")
-        self.known: dict[str, bytes] = {}  # pieces after a space, without it
-        self.older: dict[str, bytes] = {}
-        self.lines: dict[str, bytes] = {}  # the same after a line end, with its id
-        self.runs: dict[str, bytes] = {}  # signs after letters
+            self.spaced[i], self.line_end[i] = name.startswith("\u0120"), name == "\u010a"
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # numbers of pieces
+        self.first, self.size = np.zeros((2, 0), np.int64)  # by number: where a piece's ids begin, and how many they are
+        self.ids = np.zeros(0, "<u4")
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         group: list[str] = []
@@ -61,90 +97,93 @@ class Encoder:
                 group, chars = [], 0
         yield from self._group(group)
 
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+    def _alone(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > KEPT:
-            self.known, self.older = {}, self.known
-        if len(self.lines) > KEPT:
-            self.lines = {}
-        known, parts = self.known, [x.split(" ") for x in texts]
-        new = set().union(*(x[1:] for x in parts)).difference(known)
-        odd = {p for p in new if not p or p[0].isspace()}
-        if odd:
-            new -= odd
-            for i, x in enumerate(parts):
-                if not odd.isdisjoint(x):
-                    parts[i] = x = SPLIT.split(texts[i])
-                    new.update(p for p in x[1:] if p not in known)
-        self._learn(new)
-        heads = [x[0] for x in parts]
-        firsts = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
-        for x, first in zip(parts, firsts, strict=True):
-            yield np.array(first.ids, dtype="<u4").tobytes() + b"".join(map(known.__getitem__, x[1:]))
-        for p in new:
-            if len(p) > KEPT_CHARS:
-                del known[p]
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode pieces. Those without a space inside are put together from lines, and those from a stem of letters and a run of signs."""
-        known, older, lines = self.known, self.older, self.lines
-        again = list(filter(older.__contains__, new))
-        known.update(zip(again, map(older.__getitem__, again), strict=True))
-        new = new.difference(again)
-        stems = set(filter(str.isalpha, new))  # to be encoded after a space; `after` are those after a line end
-        after: set[str] = set()
-        signed, joined = [], []
-        for p in new - stems:
-            if "\n" not in p and " " not in p:
-                stem, run = self._cut(p)
-                if stem not in known:
-                    stems.add(stem)
-                if run:
-                    signed.append((p, stem, run))
-            elif " " in p or (of := p.split("\n")) != p.split():  # other white space too
-                known[p] = self._alone(" " + p)
-            else:
-                cut = [self._cut(x) for x in of]
-                if cut[0][0] not in known:
-                    stems.add(cut[0][0])
-                after.update(x for x, _ in cut[1:] if x not in lines)
-                joined.append((p, cut))
-        self._encode(stems, " ", self.spaced, known)
-        self._encode(after, "\n", self.line_end, lines)
-        for p, stem, run in signed:
-            known[p] = known[stem] + run
-        for p, cut in joined:
-            known[p] = known[cut[0][0]] + cut[0][1] + b"".join([lines[x] + run for x, run in cut[1:]])
-
-    def _cut(self, part: str) -> tuple[str, bytes]:
-        """A stem of letters and the ids of the signs after it; the whole part and no ids if it isn't made so."""
-        stem = part[:-1]
-        if not stem.isalpha():
-            m = SIGNS.search(part)
-            if m is None or not (stem := part[: m.start()]).isalpha():
-                return part, b""
-        elif part[-1] not in STOPS:
-            return part, b""
-        run = part[len(stem) :]
-        if run not in self.runs:
-            if len(self.runs) > KEPT:
-                self.runs = {}
-            self.runs[run] = self._alone(run)
-        return stem, self.runs[run]
-
-    def _encode(self, stems: set[str], mark: str, begins_with: np.ndarray, out: dict[str, bytes]) -> None:
-        """Ids of each stem after `mark`: they are encoded in long strings, where each id that begins with the mark begins a stem."""
-        order = list(stems)
-        for k in range(0, len(order), 2000):
-            some = order[k : k + 2000]
-            raw = np.array(self.tokenizer.encode_batch_fast([mark + mark.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            begins = np.flatnonzero(begins_with[raw])
-            if len(begins) != len(some):
+        if not texts:
+            return
+        raw = [x.encode() for x in texts]
+        whole: dict[int, bytes] = {}  # ids of texts that aren't cut
+        odd = [i for i, x in enumerate(texts) if any(map(x.__contains__, self.added))]
+        while True:
+            for i in odd:
+                raw[i], whole[i] = b"", self._alone(texts[i]).tobytes()
+            data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)  # a line end closes each text
+            ends = np.cumsum([len(x) + 1 for x in raw]) - 1
+            kind = KINDS[data]
+            odd = np.unique(np.searchsorted(ends, _odd(data, kind))).tolist()
+            if not odd:
+                break
+        pair = kind[:-1] << 3 | kind[1:]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = BETWEEN[pair]
+        cut[:-1] |= BEFORE[pair]
+        cut[0] = cut[ends] = cut[ends[:-1] + 1] = True
+        at = np.flatnonzero(cut)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        number, which = self._numbers(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        size = self.size[number][which]
+        last = np.searchsorted(at, ends)
+        size[last] = 0
+        stop = np.cumsum(size)
+        ids = self.ids[np.repeat(self.first[number][which] - stop + size, size) + np.arange(stop[-1])].tobytes()
+        stops = (4 * stop[last]).tolist()
+        for i, (a, b) in enumerate(zip([0, *stops], stops, strict=False)):
+            yield whole.get(i) or ids[a:b]
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The numbers of different pieces; those not met before are encoded."""
+        if len(self.known) > KEPT or len(self.ids) > 8 * KEPT:
+            self._forget()
+        out = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            new = [pieces[i] for i in at.tolist()]
+            out[at] = np.arange(len(self.size), len(self.size) + len(new))
+            self._learn(new)
+            self.known.update((p, n) for p, n in zip(new, out[at].tolist(), strict=True) if len(p) <= KEPT_BYTES)
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode pieces and give them the next numbers: words of ASCII letters as pre-tokens, others as they are, both with or without a space before them."""
+        data = np.frombuffer(b"".join(new), np.uint8)
+        begins = np.cumsum([0, *map(len, new)])[:-1]
+        kind = KINDS[data]
+        others = np.add.reduceat((kind != LETTER).astype(np.int64), begins)
+        ends_white = np.isin(kind[np.append(begins[1:], len(data)) - 1], (SPACE, WHITE))
+        spaced = ~ends_white & (kind[begins] == SPACE)
+        first, size = np.zeros((2, len(new)), np.int64)
+        found, total = [self.ids], len(self.ids)
+
+        def keep(at: list[int], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+            nonlocal total
+            if len(starts) != len(at):
                 raise ValueError("the tokenizer doesn't begin a token at each mark")
-            data, at = raw.tobytes(), [*(4 * begins).tolist(), 4 * len(raw)]
-            out.update(zip(some, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+            first[at], size[at] = total + starts, stops - starts
+            found.append(ids)
+            total += len(ids)
+
+        for tokenizer, plain in ((self.words, others == spaced), (self.tokenizer, others != spaced)):
+            for mark, places in (("\u0120", plain & spaced), ("\u010a", plain & ~spaced & ~ends_white)):
+                places = np.flatnonzero(places).tolist()
+                for k in range(0, len(places), JOINED):
+                    some = places[k : k + JOINED]
+                    if mark == "\u0120":
+                        text = b"".join([new[i] for i in some]).decode()
+                        text = text.replace(" ", " \u0120")[1:] if tokenizer is self.words else text
+                    else:
+                        text = "\n" + b"\n".join([new[i] for i in some]).decode()
+                        text = text.replace("\n", " \u010a ")[1:] if tokenizer is self.words else text
+                    ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                    marks = np.flatnonzero((self.spaced if mark == "\u0120" else self.line_end)[ids])
+                    keep(some, ids, marks + (mark == "\u010a"), np.append(marks[1:], len(ids)))
+        for i in np.flatnonzero(ends_white).tolist():
+            ids = self._alone(new[i].decode())
+            keep([i], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+        self.ids = np.concatenate(found)
+        self.first, self.size = np.append(self.first, first), np.append(self.size, size)
 
 
 @lru_cache(maxsize=1)
