@@ -6,13 +6,14 @@ other is a pre-token of its own), and between a letter and a stop. The ids of a
 these, one after the other. Pieces are cut and numbered as arrays, and only those not met before are encoded: many in one
 long string, where what a piece begins with marks its first id.
 
-White space beyond ASCII doesn't show in single bytes, and a token added to the vocabulary ends what stands before it: a text
-with any is encoded as it is.
+White space beyond ASCII is not cut at, and a piece with any is encoded by itself. A token added to the vocabulary ends what
+stands before it: a text with one is encoded as it is. Very long texts are encoded in parts, which begin at a space between letters.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -25,8 +26,9 @@ KEPT = 600_000
 KEPT_BYTES = 64
 AT_ONCE = 4_000_000
 JOINED = 2000
-#: Kinds of bytes: space, other white space, letters, stops, and what may be or begin a sign of white space that ASCII doesn't have.
-OTHER, SPACE, WHITE, LETTER, STOP, RARE = range(6)
+BETWEEN_WORDS = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Kinds of bytes: space, other white space, letters, stops, what may be or begin a sign of white space that ASCII doesn't have, and what is one.
+OTHER, SPACE, WHITE, LETTER, STOP, RARE, ODD = range(7)
 
 
 def _kinds() -> np.ndarray:
@@ -50,12 +52,26 @@ BETWEEN = _pairs({(a, b) for a in SOLID for b in (SPACE, WHITE)} | {(WHITE, b) f
 BEFORE = _pairs({(a, b) for a in (SPACE, WHITE) for b in SOLID})
 
 
-def _odd(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Places of white space beyond ASCII, and of some signs that are near to it."""
+def _kinds_of(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of texts in UTF-8; all bytes of white space beyond ASCII, and of some signs that are near to it, are ODD."""
+    kind = KINDS[data]
     at = np.flatnonzero(kind == RARE)
     a, b, c = (data[np.minimum(at + k, len(data) - 1)] for k in range(3))
     mark = (b == 0x80) & ((c < 0x90) | (c > 0xA7)) | (b == 0x81)  # not quotes and dashes
-    return at[(a < 0x20) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & ((b == 0x9A) | (b == 0xA0)) | (a == 0xE2) & mark | (a == 0xE3) & (b == 0x80) & (c == 0x80)]
+    odd = (a < 0x20) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & ((b == 0x9A) | (b == 0xA0)) | (a == 0xE2) & mark | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    for k, lead in enumerate((0, 0xC2, 0xE1)):
+        kind[at[odd & (a >= lead)] + k] = ODD
+    return kind
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of AT_ONCE characters, or more up to the next space between letters."""
+    at = 0
+    while at < len(text):
+        found = BETWEEN_WORDS.search(text, at + AT_ONCE)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
 
 
 def default_path() -> str:
@@ -92,7 +108,12 @@ class Encoder:
         for text in texts:
             group.append(text or "")
             chars += len(text or "")
-            if chars >= AT_ONCE:
+            if len(group[-1]) > 2 * AT_ONCE:
+                long = group.pop()
+                yield from self._group(group)
+                yield b"".join(x for part in _parts(long) for x in self._group([part]))
+                group, chars = [], 0
+            elif chars >= AT_ONCE:
                 yield from self._group(group)
                 group, chars = [], 0
         yield from self._group(group)
@@ -103,18 +124,12 @@ class Encoder:
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         if not texts:
             return
-        raw = [x.encode() for x in texts]
-        whole: dict[int, bytes] = {}  # ids of texts that aren't cut
-        odd = [i for i, x in enumerate(texts) if any(map(x.__contains__, self.added))]
-        while True:
-            for i in odd:
-                raw[i], whole[i] = b"", self._alone(texts[i]).tobytes()
-            data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)  # a line end closes each text
-            ends = np.cumsum([len(x) + 1 for x in raw]) - 1
-            kind = KINDS[data]
-            odd = np.unique(np.searchsorted(ends, _odd(data, kind))).tolist()
-            if not odd:
-                break
+        # ids of texts that aren't cut
+        whole = {i: self._alone(x).tobytes() for i, x in enumerate(texts) if any(map(x.__contains__, self.added))}
+        raw = [b"" if i in whole else x.encode() for i, x in enumerate(texts)]
+        data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)  # a line end closes each text
+        ends = np.cumsum([len(x) + 1 for x in raw]) - 1
+        kind = _kinds_of(data)
         pair = kind[:-1] << 3 | kind[1:]
         cut = np.zeros(len(data), bool)
         cut[1:] = BETWEEN[pair]
@@ -150,10 +165,10 @@ class Encoder:
         """Encode pieces and give them the next numbers: words of ASCII letters as pre-tokens, others as they are, both with or without a space before them."""
         data = np.frombuffer(b"".join(new), np.uint8)
         begins = np.cumsum([0, *map(len, new)])[:-1]
-        kind = KINDS[data]
+        kind = _kinds_of(data)
         others = np.add.reduceat((kind != LETTER).astype(np.int64), begins)
-        ends_white = np.isin(kind[np.append(begins[1:], len(data)) - 1], (SPACE, WHITE))
-        spaced = ~ends_white & (kind[begins] == SPACE)
+        alone = np.isin(kind[np.append(begins[1:], len(data)) - 1], (SPACE, WHITE)) | (np.add.reduceat((kind == ODD).astype(np.int64), begins) > 0)
+        spaced = ~alone & (kind[begins] == SPACE)
         first, size = np.zeros((2, len(new)), np.int64)
         found, total = [self.ids], len(self.ids)
 
@@ -166,7 +181,7 @@ class Encoder:
             total += len(ids)
 
         for tokenizer, plain in ((self.words, others == spaced), (self.tokenizer, others != spaced)):
-            for mark, places in (("\u0120", plain & spaced), ("\u010a", plain & ~spaced & ~ends_white)):
+            for mark, places in (("\u0120", plain & spaced), ("\u010a", plain & ~spaced & ~alone)):
                 places = np.flatnonzero(places).tolist()
                 for k in range(0, len(places), JOINED):
                     some = places[k : k + JOINED]
@@ -179,9 +194,12 @@ class Encoder:
                     ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
                     marks = np.flatnonzero((self.spaced if mark == "\u0120" else self.line_end)[ids])
                     keep(some, ids, marks + (mark == "\u010a"), np.append(marks[1:], len(ids)))
-        for i in np.flatnonzero(ends_white).tolist():
-            ids = self._alone(new[i].decode())
-            keep([i], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+        places = np.flatnonzero(alone).tolist()
+        for k in range(0, len(places), JOINED):
+            some = places[k : k + JOINED]
+            each = [x.ids for x in self.tokenizer.encode_batch_fast([new[i].decode() for i in some], add_special_tokens=False)]
+            stops = np.cumsum([len(x) for x in each])
+            keep(some, np.array([i for x in each for i in x], "<u4"), np.append(0, stops[:-1]), stops)
         self.ids = np.concatenate(found)
         self.first, self.size = np.append(self.first, first), np.append(self.size, size)
 

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from gridloom.llm import exact_dedup, mixing, packing, simhash, simple8b
+from gridloom.llm import exact_dedup, mixing, packing, simhash, simple8b, tokens
 from gridloom.llm.common import scratch_path
 from gridloom.llm.graph import components
 from gridloom.llm.tokens import Encoder
@@ -55,6 +55,17 @@ def test_encoder_cuts_where_the_tokenizer_does(tokenizer):
         assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)] + [[]]
 
 
+def test_encoder_takes_long_texts_in_parts(tokenizer, monkeypatch):
+    rng = random.Random(6)
+    for odd in ("", "\xa0", "<|endoftext|>"):
+        texts = ["".join(rng.choices(["ab", " ", "  ", " cd", "\n", ".", "é", odd], k=rng.randint(0, 400))) for _ in range(60)]
+        monkeypatch.setattr(tokens, "AT_ONCE", rng.randint(1, 90))
+        encoder, seen = Encoder(), []
+        monkeypatch.setattr(encoder, "_group", lambda x, seen=seen, f=encoder._group: seen.append(sum(map(len, x))) or f(x))
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert max(seen) < max(map(len, texts))
+
+
 def test_encoder_saves_most_of_the_tokenizers_work(tokenizer):
     """At the size of the check a task has three tenths of the tokenizer's own time at most (four tenths were over the budget)."""
     table = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()
